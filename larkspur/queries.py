@@ -1,0 +1,39 @@
+"""Every operator of the library applied to whole tables, with SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function of (table reader) as the query ``name``; the reader takes a table's name."""
+
+    def add(make):
+        QUERIES[name] = lambda spark, sf_dir: make(lambda t: table(spark, sf_dir, t))
+        if sql:
+            ORACLE_SQL[name] = sql
+        return make
+
+    return add
+
+
+@query(
+    "groupby2",
+    """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(avg(l_extendedprice), 4) AS mean_price, count(*) AS n
+    FROM lineitem GROUP BY 1, 2 ORDER BY 1, 2""",
+)
+def _groupby2(t):
+    return (
+        t("lineitem").groupBy("l_returnflag", "l_linestatus")
+        .agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.count("*").alias("n"))
+        .orderBy("l_returnflag", "l_linestatus")
+    )
