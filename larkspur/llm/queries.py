@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm import bpe, chat, decontaminate, license_scan, pii, quality_classifier, quality_rules, warc
+from larkspur.llm import bpe, chat, decontaminate, license_scan, ngram_join, pii, quality_classifier, quality_rules, suffix_dedup, warc
 from larkspur.llm._shared import new_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -20,6 +20,14 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_rules.quality_rules(docs, quality_rules.fit_forest(docs, _table(spark, sf_dir, "labels")))
@@ -57,6 +65,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op7_warc, op8_chat_windows, op9_pii, op10_decontaminate)
+    f.__name__: f
+    for f in (
+        op1_license_scan, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op7_warc, op8_chat_windows, op9_pii, op10_decontaminate,
+    )
 }
 ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.license_scan_sql(), "op7_warc": warc.ARCHIVES_SQL, "op8_chat_windows": chat.DIGESTS_SQL}
