@@ -1,0 +1,332 @@
+"""Window expressions: cumulative and rolling values, moving means and price indicators.
+
+Each function returns a Column over ``ordered(order, by)``; rows without a full window are null.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable, Sequence
+
+from pyspark.sql import Column, Window, functions as F
+
+from larkspur.plans import POS, full, ordered, trailing
+
+Order = str | Sequence[str]
+
+
+def cumulative(f: Callable[[Column], Column], x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """f of the rows so far, null where the row itself is null: sum, count, max, min."""
+    return F.when(x.isNotNull(), f(x).over(ordered(order, by).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def cumulative_product(x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    w = ordered(order, by).rowsBetween(Window.unboundedPreceding, 0)
+    sign = F.when(F.sum((x < 0).cast("int")).over(w) % 2 == 1, -1.0).otherwise(1.0)
+    size = F.exp(F.sum(F.log(F.abs(F.when(x != 0, x)))).over(w))
+    return F.when(x.isNotNull(), F.when(F.max((x == 0).cast("int")).over(w) == 1, 0.0).otherwise(sign * F.coalesce(size, F.lit(1.0))))
+
+
+def rolling(f: Callable[..., Column], n: int, *x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """Any aggregate over the last ``n`` rows."""
+    return full(n, f(*x).over(trailing(n, order, by)), order, by)
+
+
+def preceding(f: Callable[..., Column], n: int, *x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """Any aggregate over the ``n`` rows before the current one."""
+    return full(n + 1, f(*x).over(ordered(order, by).rowsBetween(-n, -1)), order, by)
+
+
+def lagged(x: Column, n: int = 1, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return (F.lag(x, n) if n >= 0 else F.lead(x, -n)).over(ordered(order, by))
+
+
+def diff(x: Column, n: int = 1, order: Order = POS, by: Sequence[str] = (), absolute: bool = False) -> Column:
+    d = x - lagged(x, n, order, by)
+    return F.abs(d) if absolute else d
+
+
+def weighted(x: Column, weights: Sequence[float], order: Order = POS, by: Sequence[str] = (), first_lag: int = 0) -> Column:
+    """Sum of weights[i] * x of i rows ago; null where a row is missing."""
+    w = ordered(order, by)
+    return sum((F.lag(x, i + first_lag).over(w) * k for i, k in enumerate(weights) if i + first_lag or k is not None), F.lit(0.0)) if first_lag else sum((F.lag(x, i).over(w) * k for i, k in enumerate(weights[1:], 1)), x * weights[0])
+
+
+def returns(x: Column, kind: str = "percentage", n: int = 1, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    p = lagged(x, n, order, by)
+    return {"log": F.log(x / p), "percentage": x / p - 1, "monetary": x - p, "trinary": F.signum(x - p)}[kind]
+
+
+def z_score(x: Column, by: Sequence[str] = ()) -> Column:
+    w = Window.partitionBy(*by)
+    return (x - F.avg(x).over(w)) / F.stddev_samp(x).over(w)
+
+
+def normalize(x: Column, kind: str = "min_max", by: Sequence[str] = ()) -> Column:
+    w = Window.partitionBy(*by)
+    low, high = F.min(x).over(w), F.max(x).over(w)
+    return {
+        "min_max": (x - low) / (high - low), "simple": x / F.sum(x).over(w), "euclidean": x / F.sqrt(F.sum(x * x).over(w)), "maxi": x / high, "z_score": z_score(x, by),
+        "decimal_scaling": x / F.pow(F.lit(10.0), F.floor(F.log10(F.max(F.abs(x)).over(w))) + 1), "log_transform": F.log(x), "root_transform": F.sqrt(x), "unit_length": x / F.sqrt(F.sum(x * x).over(w)),
+    }[kind]
+
+
+def probability(x: Column, kind: str = "arithmetic", by: Sequence[str] = ()) -> Column:
+    v = {"arithmetic": x, "log": F.log(x), "softmax": F.exp(x), "pow2": F.pow(F.lit(2.0), x), "pow10": F.pow(F.lit(10.0), x)}[kind]
+    return v / F.sum(v).over(Window.partitionBy(*by))
+
+
+def category(x: str, order: str = POS, by: Sequence[str] = ()) -> Column:
+    """Codes by first appearance need ``first_seen``, the least position of each value."""
+    return F.min(order).over(Window.partitionBy(*by, x))
+
+
+def symmetric_triangle(n: int) -> list[float]:
+    raw = [min(i + 1, n - i) for i in range(n)]
+    return [r / sum(raw) for r in raw]
+
+
+def symmetric_triangle_mean(x: Column, n: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return full(n + 1, weighted(x, symmetric_triangle(n), order, by, first_lag=1), order, by)
+
+
+def weighted_mean(x: Column, n: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    total = n * (n + 1) / 2
+    return full(n, weighted(x, [(n - i) / total for i in range(n)], order, by), order, by)
+
+
+def linreg_mean(x: Column, n: int, kind: str = "linreg", order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """The regression line over the ``n`` rows before the current one."""
+    t = F.row_number().over(ordered(order, by)).cast("double")
+    w = ordered(order, by).rowsBetween(-n, -1)
+    sums = lambda v: F.sum(v).over(w)
+    slope = (n * sums(x * t) - sums(t) * sums(x)) / (n * sums(t * t) - sums(t) * sums(t))
+    middle = sums(x) / n
+    value = {"slope": slope, "linreg": middle + slope * (n - 1) / 2, "forecast": middle + slope * (n + 1) / 2, "intercept": middle - slope * (n - 1) / 2, "theta": F.atan(slope), "degree": F.degrees(F.atan(slope))}[kind]
+    return full(n + 1, value, order, by)
+
+
+def hampel(df, name: str, n: int, deviations: float = 3.0, kind: str = "median", order: Order = POS, by: Sequence[str] = ()):
+    """Rows further than ``deviations`` scaled rolling deviations from the rolling median or mean."""
+    f = F.median if kind == "median" else F.avg
+    away = df.withColumn("__d", F.abs(F.col(name) - rolling(f, n, F.col(name), order=order, by=by)))
+    return away.withColumn("__l", rolling(f, n, F.col("__d"), order=order, by=by)).where(F.col("__d") > deviations * 1.4826 * F.col("__l")).drop("__d", "__l")
+
+
+# Prices
+
+
+def drawdown(x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    top = cumulative(F.max, x, order, by)
+    return F.struct((top - x).alias("drawdown"), (1 - x / top).alias("percent"), F.log(top / x).alias("log"))
+
+
+def double_cross_over(x: Column, short: int, long: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    a, b = rolling(F.avg, short, x, order=order, by=by), rolling(F.avg, long, x, order=order, by=by)
+    return F.struct((x - a).alias("raw_to_short"), (x - b).alias("raw_to_long"), (a - b).alias("short_to_long"))
+
+
+def bollinger(x: Column, n: int = 20, upper: float = 2.0, lower: float = 2.0, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    m, s = rolling(F.avg, n, x, order=order, by=by), rolling(F.stddev_samp, n, x, order=order, by=by)
+    return F.struct((m + upper * s - x).alias("upper_to_raw"), (x - (m - lower * s)).alias("raw_to_lower"))
+
+
+def rolling_mid(low: Column, high: Column, n: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return (rolling(F.min, n, low, order=order, by=by) + rolling(F.max, n, high, order=order, by=by)) / 2
+
+
+def williams_r(low: Column, high: Column, close: Column, n: int = 14, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    a, b = rolling(F.min, n, low, order=order, by=by), rolling(F.max, n, high, order=order, by=by)
+    return 100 * ((close - a) / (b - a) - 1)
+
+
+def psychological_line(close: Column, n: int = 14, open_: Column | None = None, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    up = close > (lagged(close, 1, order, by) if open_ is None else open_)
+    return 100 * F.sum(F.coalesce(up, F.lit(False)).cast("int")).over(trailing(n, order, by)) / n
+
+
+def commodity_channel(low: Column, high: Column, close: Column, n: int = 14, lambert: float = 0.015, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    price = (low + high + close) / 3
+    values = F.collect_list(price).over(trailing(n, order, by))
+    mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
+    spread = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / n
+    return full(n, (price - mean) / (lambert * spread), order, by)
+
+
+def garman_klass(low: Column, high: Column, open_: Column, close: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    v = 0.5 * F.pow(F.log(high / low), 2) - (2 * math.log(2) - 1) * F.pow(F.log(close / open_), 2)
+    return F.sqrt(periods * preceding(F.avg, n, v, order=order, by=by))
+
+
+def parkinson(low: Column, high: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return F.sqrt(periods * rolling(F.avg, n, F.pow(F.log(high / low), 2) / (4 * math.log(2)), order=order, by=by))
+
+
+def yang_zhang(low: Column, high: Column, open_: Column, close: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    k = 0.34 / (1.34 + (n + 1) / (n - 1))
+    before = lagged(close, 1, order, by)
+    o, c = F.log(open_ / before), F.log(close / before)
+    rs = F.log(high / close) * F.log(high / open_) + F.log(low / close) * F.log(low / open_)
+    var = lambda v: preceding(F.var_samp, n, v, order=order, by=by)
+    return F.sqrt(periods * (var(o) + k * var(c) + (1 - k) * preceding(F.avg, n, rs, order=order, by=by)))
+
+
+def hodges_tompkins(x: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    size = F.count("*").over(Window.partitionBy(*by)) - n + 1
+    adjust = 1 / (1 - n / size + (n * n - 1) / (3 * size * size))
+    return rolling(F.stddev_samp, n, returns(x, "log", 1, order, by), order=order, by=by) * math.sqrt(periods) * adjust
+
+
+def slope(x: Column, n: int = 1, angle: bool = False, degrees: bool = False, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    s = diff(x, n, order, by) / n
+    return F.degrees(F.atan(s)) if angle and degrees else F.atan(s) if angle else s
+
+
+def ultimate_oscillator(low: Column, high: Column, close: Column, fast: int = 7, medium: int = 14, slow: int = 28, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    before = lagged(close, 1, order, by)
+    bp, tr = close - F.least(low, before), F.greatest(high, before) - F.least(low, before)
+    part = lambda n: rolling(F.sum, n, bp, order=order, by=by) / rolling(F.sum, n, tr, order=order, by=by)
+    return 100 * (4 * part(fast) + 2 * part(medium) + part(slow)) / 7
+
+
+def ulcer_index(x: Column, n: int = 14, use_sum: bool = True, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    top = F.max(x).over(trailing(n, order, by))
+    down = F.pow(100 * (x - top) / top, 2)
+    return F.sqrt(rolling(F.sum if use_sum else F.avg, n, down, order=order, by=by) / n)
+
+
+def ttm_trend(low: Column, high: Column, close: Column, n: int = 5, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return close > rolling(F.avg, n + 1, (low + high) / 2, order=order, by=by)
+
+
+def pivot_points(low: Column, high: Column, close: Column) -> Column:
+    p = (low + high + close) / 3
+    return F.struct(
+        p.alias("pivot"), (2 * p - low).alias("r1"), (2 * p - high).alias("s1"), (p + high - low).alias("r2"), (p - high + low).alias("s2"), (high + 2 * (p - low)).alias("r3"), (low - 2 * (high - p)).alias("s3")
+    )
+
+
+def centre_of_gravity(x: Column, n: int = 10, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return full(n, -weighted(x, list(range(1, n + 1)), order, by) / F.sum(x).over(trailing(n, order, by)), order, by)
+
+
+def arnaud_legoux(x: Column, n: int = 10, sigma: float = 6.0, offset: float = 0.85, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    raw = [math.exp(-((i - offset * (n - 1)) ** 2) / (2 * (n / sigma) ** 2)) for i in range(n)]
+    return full(n, weighted(x, [r / sum(raw) for r in raw], order, by), order, by)
+
+
+def rate_of_change(x: Column, n: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return diff(x, n, order, by) / lagged(x, n, order, by)
+
+
+def accumulation(low: Column, high: Column, open_: Column, close: Column, volume: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return cumulative(F.sum, (close - open_) * volume / (high - low), order, by)
+
+
+def chaikin_money_flow(low: Column, high: Column, open_: Column, close: Column, volume: Column, n: int = 21, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return rolling(F.sum, n, (close - open_) * volume / (high - low), order=order, by=by) / rolling(F.sum, n, volume, order=order, by=by)
+
+
+def vertical_horizontal(x: Column, n: int = 28, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return (rolling(F.max, n, x, order=order, by=by) - rolling(F.min, n, x, order=order, by=by)) / rolling(F.sum, n, diff(x, 1, order, by, True), order=order, by=by)
+
+
+def on_balance_volume(close: Column, volume: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return cumulative(F.sum, F.coalesce(F.signum(diff(close, 1, order, by)), F.lit(1.0)) * volume, order, by)
+
+
+def true_range(low: Column, high: Column, close: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    before = lagged(close, 1, order, by)
+    return F.greatest(F.abs(high - low), F.coalesce(F.abs(high - before), F.lit(0.0)), F.coalesce(F.abs(before - low), F.lit(0.0)))
+
+
+def decay(x: Column, n: int = 5, exponential: bool = False, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return F.greatest(x, lagged(x, 1, order, by) - (math.exp(-n) if exponential else 1 / n), F.lit(0.0))
+
+
+def coppock(x: Column, long: int = 14, short: int = 11, n: int = 10, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return weighted_mean(rate_of_change(x, long, order, by) + rate_of_change(x, short, order, by), n, order, by)
+
+
+def balance_of_power(low: Column, high: Column, open_: Column, close: Column) -> Column:
+    return (close - open_) / (high - low)
+
+
+def vortex(low: Column, high: Column, close: Column, n: int = 14, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    tr = rolling(F.sum, n, true_range(low, high, close, order, by), order=order, by=by)
+    up, down = F.abs(high - lagged(low, 1, order, by)), F.abs(low - lagged(high, 1, order, by))
+    return F.struct((rolling(F.sum, n, up, order=order, by=by) / tr).alias("plus"), (rolling(F.sum, n, down, order=order, by=by) / tr).alias("minus"))
+
+
+def detrended_price(x: Column, n: int = 20, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return x - F.lag(rolling(F.avg, n, x, order=order, by=by), n // 2 + 1).over(ordered(order, by))
+
+
+def acceleration_bands(close: Column, high: Column, low: Column, n: int = 20, multiplier: float = 4.0, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    k = multiplier * (high - low) / (high + low)
+    mean = lambda v: rolling(F.avg, n, v, order=order, by=by)
+    return F.struct(mean(low * (1 - k)).alias("lower"), mean(close).alias("middle"), mean(high * (1 + k)).alias("upper"))
+
+
+def price_distance(low: Column, high: Column, open_: Column, close: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return full(2, 2 * (high - low) + F.abs(lagged(open_, -1, order, by) - close) - F.abs(close - open_), order, by)
+
+
+def ease_of_movement(low: Column, high: Column, volume: Column, n: int = 14, divisor: float = 1e8, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return rolling(F.avg, n, diff((high + low) / 2, 1, order, by) / ((volume / divisor) / (high - low)), order=order, by=by)
+
+
+def price_volume_trend(close: Column, volume: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return cumulative(F.sum, returns(close, "percentage", 1, order, by) * volume, order, by)
+
+
+def chop_index(low: Column, high: Column, close: Column, n: int = 14, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    tr = rolling(F.sum, n, true_range(low, high, close, order, by), order=order, by=by)
+    spread = rolling(F.max, n, high, order=order, by=by) - rolling(F.min, n, low, order=order, by=by)
+    return 100 * (F.log10(tr) - F.log10(spread)) / math.log10(n)
+
+
+def relative_vigor(low: Column, high: Column, open_: Column, close: Column, n: int = 14, triangle: int = 4, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    mean = lambda v: symmetric_triangle_mean(v, triangle, order, by)
+    return rolling(F.sum, n, mean(close - open_), order=order, by=by) / rolling(F.sum, n, mean(high - low), order=order, by=by)
+
+
+def peaks_and_valleys(x: Column, index: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """The last peak and valley (value, index) known at each row."""
+    w = ordered(order, by)
+    a, b = F.lag(x).over(w), F.lag(x, 2).over(w)
+    known = w.rowsBetween(Window.unboundedPreceding, 0)
+    at = F.struct(a.alias("value"), F.lag(index).over(w).alias("index"))
+    return F.struct(F.last(F.when((a > b) & (a > x), at), ignorenulls=True).over(known).alias("peak"), F.last(F.when((a < b) & (a < x), at), ignorenulls=True).over(known).alias("valley"))
+
+
+def bias(x: Column, n: int = 26, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    return x / rolling(F.avg, n, x, order=order, by=by) - 1
+
+
+def non_zero_range(a: Column, b: Column, by: Sequence[str] = ()) -> Column:
+    """a - b; as soon as one row is 0, the machine epsilon is added to all."""
+    zero = F.max(((a - b) == 0).cast("int")).over(Window.partitionBy(*by))
+    return a - b + zero * 2.220446049250313e-16
+
+
+def gradient(f: Column, c: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    df_ = F.coalesce(lagged(f, -1, order, by), f) - F.coalesce(lagged(f, 1, order, by), f)
+    dc = F.coalesce(lagged(c, -1, order, by), c) - F.coalesce(lagged(c, 1, order, by), c)
+    return F.when(dc == 0, 0.0).otherwise(df_ / dc)
+
+
+def entropy(x: Column, n: int, base: float = 2, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    p = x / F.sum(x).over(trailing(n, order, by))
+    return rolling(F.sum, n, -p * F.log(p) / math.log(base), order=order, by=by)
+
+
+def expo_smoother(x: Column, alpha: float, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """One pass over raw neighbours: a two-point average."""
+    before = F.coalesce(lagged(x, 1, order, by), x)
+    return before + alpha * (x - before)
+
+
+def fixed_autocorrelation(x: Column, lag: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """Correlation of the last ``lag`` rows with the ``lag`` rows before them."""
+    return full(2 * lag, F.corr(x, lagged(x, lag, order, by)).over(trailing(lag, order, by)), order, by)

@@ -1,0 +1,102 @@
+"""Row order, series keys and the runner for algorithms that need a whole series in order."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
+
+INDEX, POS = "INDEX", "__pos"
+
+
+def ordered(order: str | Sequence[str] = POS, by: Sequence[str] = ()) -> WindowSpec:
+    """Rows in ``order`` within each series; without a series key the whole table is one task's work."""
+    order = [order] if isinstance(order, str) else list(order)
+    return (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*order)
+
+
+def trailing(n: int, order: str | Sequence[str] = POS, by: Sequence[str] = ()) -> WindowSpec:
+    return ordered(order, by).rowsBetween(-(n - 1), 0)
+
+
+def full(n: int, value: Column, order: str | Sequence[str] = POS, by: Sequence[str] = ()) -> Column:
+    """``value`` where a window of ``n`` rows is complete, else null."""
+    return F.when(F.row_number().over(ordered(order, by)) >= n, value)
+
+
+def missing(x: Column) -> Column:
+    """Null, or not a number."""
+    return x.isNull() | F.isnan(x.cast("double"))
+
+
+def as_number(df: DataFrame, name: str) -> Column:
+    """A column as a double: seconds since 1970 for times."""
+    kind = df.schema[name].dataType
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(F.col(name).cast("timestamp")) / 1e6
+    return F.col(name).cast("double")
+
+
+#: Key values that are looked at to cut a table into ranges.
+BOUNDS = 1000
+
+
+def with_positions(df: DataFrame, order: str | Sequence[str] | None = None) -> DataFrame:
+    """Adds POS, the rows' 0-based place in ``order``, without a single-task window over the rows.
+
+    A fixed number of values of the first key, chosen by hash, cuts the table into ranges;
+    rows are numbered within their range, and the sizes of the ranges before are added. Only
+    these sizes meet in one task. Without ``order``, rows are numbered as the source gives
+    them; the source's splits then must not change between jobs.
+    """
+    if not order:
+        numbered = df.withColumn("__at", F.monotonically_increasing_id())
+        part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+        placed = numbered.withColumn("__part", part).withColumn("__row", row).drop("__at")
+    else:
+        keys = [order] if isinstance(order, str) else list(order)
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        kind = df.schema[keys[0]].dataType
+        seen = sorted(x[0] for x in df.select(keys[0]).where(F.col(keys[0]).isNotNull()).orderBy(F.xxhash64(keys[0])).limit(BOUNDS).distinct().collect())
+        bounds = [seen[len(seen) * i // n] for i in range(1, n)] if len(seen) >= n else []
+        part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(keys[0]))), F.lit(0)) if bounds else F.lit(0)
+        placed = df.withColumn("__part", F.when(F.col(keys[0]).isNull(), F.lit(-1)).otherwise(part).cast("long"))
+        placed = placed.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1)
+    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
+    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    out = placed.join(F.broadcast(before), "__part")
+    return out.withColumn(POS, F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")
+
+
+def by_series(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:
+    """Adds ``outputs`` (name to type), computed by ``kernel`` from the arrays of ``columns`` of each series in order.
+
+    One task handles one series; a table with many series is spread over its keys.
+    """
+    order = [order] if isinstance(order, str) else list(order)
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items())).fields])
+    kinds = dict(outputs)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable").reset_index(drop=True)
+        found = kernel(*[part[c].to_numpy() for c in columns], **options)
+        for name in kinds:
+            part[name] = found[name]
+        return part
+
+    return (df.groupBy(*by) if by else df.groupBy(F.lit(0))).applyInPandas(run, schema)
+
+
+def summarised(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:
+    """One row for each series: its key and what ``kernel`` returns for its columns in order."""
+    order = [order] if isinstance(order, str) else list(order)
+    keys = [df.schema[c] for c in by]
+    schema = T.StructType([*keys, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items())).fields])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(order, kind="stable")
+        found = kernel(*[part[c].to_numpy() for c in columns], **options)
+        return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, **found}])[[*by, *outputs]]
+
+    return (df.groupBy(*by) if by else df.groupBy(F.lit(0))).applyInPandas(run, schema)

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+
+from larkspur.functions import aggregates as A, indicators as I, ml as M, scalars as S, sequential as Q, windows as W
+from larkspur.operators import frame as O, grouping as G, joins as J
+from larkspur.plans import POS, by_series, ordered, summarised, with_positions
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -37,3 +41,615 @@ def _groupby2(t):
         .agg(F.round(F.sum("l_quantity"), 2).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price"), F.count("*").alias("n"))
         .orderBy("l_returnflag", "l_linestatus")
     )
+
+
+def r(x, n: int = 6):
+    """Rounded, so that the order of sums doesn't show."""
+    return F.round(x, n)
+
+
+BY, AT = ["user_id"], ["ts", "event_id"]
+SERIES = "PARTITION BY user_id ORDER BY ts, event_id"
+#: Prices of a day: first, highest, lowest and last value of a user's events, and how many.
+BARS = """bars AS (SELECT user_id, date_trunc('day', ts) AS day, arg_min(value, event_id) FILTER (rf = 1) AS open, max(value) AS high, min(value) AS low, arg_min(value, event_id) FILTER (rl = 1) AS close, count(*)::DOUBLE AS volume
+    FROM (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS rf, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts DESC, event_id DESC) AS rl FROM events) GROUP BY 1, 2)"""
+
+
+def bars(t) -> DataFrame:
+    key = F.struct("ts", "event_id")
+    return (
+        t("events").groupBy("user_id", F.date_trunc("day", "ts").alias("day"))
+        .agg(F.min_by("value", key).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", key).alias("close"), F.count("*").cast("double").alias("volume"))
+    )
+
+
+DAY = {"order": ["day"], "by": ["user_id"]}
+
+
+def rows(t, name: str, key: str) -> DataFrame:
+    return with_positions(t(name), [key])
+
+
+# Selection
+
+
+@query("get_data", "SELECT o_orderkey, o_totalprice FROM orders")
+def _get_data(t):
+    return O.get_data(t("orders"), ["o_totalprice"], "o_orderkey")
+
+
+@query("get_data_by_sel", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 30 AND l_discount < 0.05")
+def _sel(t):
+    return O.get_data_by_sel(t("lineitem"), (F.col("l_quantity") > 30) & (F.col("l_discount") < 0.05)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("get_data_by_idx", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 5000")
+def _idx(t):
+    return O.get_data_by_idx(t("orders"), 100, 5000, index="o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("get_data_by_loc", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p, count(*) OVER () AS n FROM orders) WHERE p >= 10 AND p < n - 9")
+def _loc(t):
+    return O.get_data_by_loc(rows(t, "orders", "o_orderkey"), 10, -10).select("o_orderkey")
+
+
+@query("get_data_by_like", "SELECT p_partkey, p_name FROM part WHERE regexp_matches(lower(p_name), '^.*a[^x-z].e.*$')")
+def _like(t):
+    return O.get_data_by_like(t("part"), {"p_name": "*A[^x-z]?e*"}, case_insensitive=True).select("p_partkey", "p_name")
+
+
+@query("get_data_every_n", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) WHERE p >= 3 AND (p - 3) % 7 = 0")
+def _every(t):
+    return O.get_data_every_n(rows(t, "orders", "o_orderkey"), 7, 3).select("o_orderkey")
+
+
+@query("get_data_by_rand")
+def _rand(t):
+    return O.get_data_by_rand(rows(t, "orders", "o_orderkey"), 0.1, 5, True).select("o_orderkey")
+
+
+@query("before_times", "SELECT event_id FROM events WHERE ts::TIME < TIME '10:30:00'")
+def _before(t):
+    return O.before_times(t("events"), "ts", 10, 30).select("event_id")
+
+
+@query("between_times", "SELECT event_id FROM events WHERE ts::TIME > TIME '09:00:00' AND ts::TIME < TIME '17:30:00'")
+def _between(t):
+    return O.between_times(t("events"), "ts", (9, 0), (17, 30)).select("event_id")
+
+
+@query("at_times", "SELECT event_id FROM events WHERE hour(ts) = 12 AND minute(ts) = 0 AND second(ts) = 0 AND microsecond(ts) % 1000000 < 1000")
+def _at(t):
+    return O.at_times(t("events"), "ts", 12).select("event_id")
+
+
+@query("on_days", "SELECT event_id FROM events WHERE dayofweek(ts) IN (0, 6)")
+def _days(t):
+    return O.on_days(t("events"), "ts", [1, 7]).select("event_id")
+
+
+@query("on_days_in_month", "SELECT o_orderkey FROM orders WHERE day(o_orderdate) IN (1, 15)")
+def _month_days(t):
+    return O.on_days_in_month(t("orders"), "o_orderdate", [1, 15]).select("o_orderkey")
+
+
+@query("in_months", "SELECT o_orderkey FROM orders WHERE month(o_orderdate) IN (2, 11)")
+def _months(t):
+    return O.in_months(t("orders"), "o_orderdate", [2, 11]).select("o_orderkey")
+
+
+@query("get_data_by_stdev", "SELECT o_orderkey FROM (SELECT o_orderkey, (o_totalprice - avg(o_totalprice) OVER ()) / stddev_pop(o_totalprice) OVER () AS z FROM orders) WHERE z > -1 AND z < 1")
+def _stdev(t):
+    return O.by_stdev(t("orders"), "o_totalprice", 1, -1).select("o_orderkey")
+
+
+_QUANTILE = "(SELECT CASE WHEN n % 2 = 0 OR k < n * {q} THEN (v[k] + v[least(n, k + 1)]) / 2 ELSE v[k] END FROM (SELECT v, n, greatest(1, least(n, floor(n * {q} + 0.5)::BIGINT)) AS k FROM (SELECT list({x} ORDER BY {x}) AS v, count({x}) AS n FROM {t})))"
+
+
+@query("above_quantile", f"SELECT o_orderkey FROM orders WHERE o_totalprice >= {_QUANTILE.format(q=0.9, x='o_totalprice', t='orders')}")
+def _above(t):
+    return O.by_quantile(t("orders"), "o_totalprice", 0.9).select("o_orderkey")
+
+
+@query("remove_below_quantile", f"SELECT o_orderkey FROM orders WHERE NOT o_totalprice < {_QUANTILE.format(q=0.3, x='o_totalprice', t='orders')}")
+def _below(t):
+    return O.by_quantile(t("orders"), "o_totalprice", 0.3, above=False, remove=True).select("o_orderkey")
+
+
+@query("masks", "SELECT c_custkey, (c_acctbal >= 0 AND c_acctbal < 1000)::INT AS small, starts_with(c_name, 'Customer')::INT AS named, (c_acctbal IS NULL OR isnan(c_acctbal))::INT AS bad FROM customer")
+def _masks(t):
+    return t("customer").select("c_custkey", O.in_between(F.col("c_acctbal"), 0, 1000).alias("small"), F.startswith("c_name", F.lit("Customer")).cast("int").alias("named"), O.missing(F.col("c_acctbal")).cast("int").alias("bad"))
+
+
+@query("peaks", f"SELECT event_id, coalesce(value > lag(value) OVER w AND value > lead(value) OVER w AND value > lag(value, 2) OVER w AND value > lead(value, 2) OVER w, false)::INT AS peak, coalesce(value < lag(value) OVER w AND value < lead(value) OVER w, false)::INT AS valley FROM events WINDOW w AS ({SERIES})")
+def _peaks(t):
+    return t("events").select("event_id", O.peaks(F.col("value"), 2, AT, BY).alias("peak"), O.peaks(F.col("value"), 1, AT, BY, True).alias("valley"))
+
+
+@query("class_count", "SELECT CASE WHEN l_quantity < 10 THEN 'low' WHEN l_quantity < 40 THEN 'mid' ELSE 'high' END AS class, count(*) AS count FROM lineitem GROUP BY 1")
+def _class(t):
+    q = F.col("l_quantity")
+    return O.class_count(t("lineitem"), F.when(q < 10, "low").when(q < 40, "mid").otherwise("high"))
+
+
+@query("count_if", "SELECT count(*) FILTER (l_quantity > 25 AND l_tax < 0.04) AS n FROM lineitem")
+def _count(t):
+    return t("lineitem").agg(F.count_if((F.col("l_quantity") > 25) & (F.col("l_tax") < 0.04)).alias("n"))
+
+
+@query("pattern_match", "SELECT coalesce(bool_and(ok), true) AS matches FROM (SELECT o_orderkey >= lag(o_orderkey) OVER (ORDER BY o_orderkey) AS ok FROM orders)")
+def _pattern(t):
+    return O.pattern_match(t("orders"), "o_orderkey", "monotonic_increasing", "o_orderkey")
+
+
+@query("unique_values", "SELECT o_orderpriority, min(p) AS first_at FROM (SELECT o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) GROUP BY 1")
+def _unique(t):
+    return O.unique_values(rows(t, "orders", "o_orderkey"), "o_orderpriority").withColumnRenamed(POS, "first_at")
+
+
+@query("first_last_valid", "SELECT min(p) AS first_valid, max(p) AS last_valid FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders)")
+def _valid(t):
+    return O.first_last_valid(rows(t, "orders", "o_orderkey"), "o_totalprice")
+
+
+@query("inversion_count", "SELECT n_regionkey, count(*) FILTER (a.n_nationkey > b.n_nationkey) AS inversions FROM (SELECT n_regionkey, n_nationkey, n_name FROM nation) a JOIN nation b USING (n_regionkey) WHERE a.n_name < b.n_name GROUP BY 1")
+def _inversions(t):
+    return summarised(t("nation"), Q.inversions, ["n_nationkey"], {"inversions": "bigint"}, "n_name", ["n_regionkey"])
+
+
+@query("string_stats", "SELECT round(avg(length(p_name)), 6) AS avg_size, round(stddev_samp(length(p_name)), 6) AS std_size, round(sum(length(p_name) - length(regexp_replace(p_name, '[0-9]', '', 'g'))) / sum(length(p_name)), 6) AS avg_digits FROM part")
+def _strings(t):
+    return O.string_stats(t("part"), "p_name").select(r("avg_size").alias("avg_size"), r("std_size").alias("std_size"), r("avg_digits").alias("avg_digits"))
+
+
+_DESCRIBE = " UNION ALL ".join(
+    f"""SELECT '{c}' AS name, s AS statistic, round(v, 6) AS value FROM (SELECT unnest(['COUNT', 'MISSING', 'MEAN', 'STD', 'MIN', 'MAX', '25%', '50%', '75%']) AS s,
+    unnest([count(*)::DOUBLE, 0.0, avg({c}), stddev_samp({c}), min({c}), max({c}), {_QUANTILE.format(q=0.25, x=c, t="lineitem")}, {_QUANTILE.format(q=0.5, x=c, t="lineitem")}, {_QUANTILE.format(q=0.75, x=c, t="lineitem")}]) AS v FROM lineitem)"""
+    for c in ("l_quantity", "l_extendedprice")
+)
+
+
+@query("describe", _DESCRIBE)
+def _describe(t):
+    return O.describe(t("lineitem"), ["l_quantity", "l_extendedprice"]).withColumn("value", r("value"))
+
+
+@query("consolidate", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS net FROM lineitem")
+def _consolidate(t):
+    return O.consolidate(t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount"), ["l_extendedprice", "l_discount"], "net", lambda a, b: r(a * (1 - b), 4))
+
+
+# Joins
+
+
+for _policy, _sql in (("inner_join", "JOIN"), ("left_join", "LEFT JOIN"), ("right_join", "RIGHT JOIN"), ("left_right_join", "FULL JOIN")):
+
+    def _joined(t, policy=_policy):
+        a = t("orders").where("o_orderkey % 3 <> 0").select("o_custkey", "o_orderkey")
+        return J.join_by_column(a, t("customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", policy)
+
+    query(f"join_by_column_{_policy}", f"SELECT coalesce(o_custkey, c_custkey) AS o_custkey, o_orderkey, c_name FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) {_sql} (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(_joined)
+
+
+@query("join_by_index", "SELECT n.n_regionkey AS r_regionkey, n_name, r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
+def _join_index(t):
+    return J.join_by_index(t("nation").select(F.col("n_regionkey").alias("r_regionkey"), "n_name"), t("region"), "inner_join", "r_regionkey")
+
+
+@query("gen_join", """SELECT a.p AS __pos, CASE WHEN c_acctbal >= s_acctbal THEN c_custkey END AS "lhs.c_custkey", CASE WHEN c_acctbal < s_acctbal THEN s_suppkey END AS "rhs.s_suppkey"
+    FROM (SELECT *, row_number() OVER (ORDER BY c_custkey) - 1 AS p FROM customer) a JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier) b USING (p)""")
+def _gen(t):
+    out = J.gen_join(rows(t, "customer", "c_custkey"), rows(t, "supplier", "s_suppkey"), lambda: F.when(F.col("`lhs.c_acctbal`") >= F.col("`rhs.s_acctbal`"), "include_left").otherwise("include_right"))
+    return out.select(POS, "`lhs.c_custkey`", "`rhs.s_suppkey`")
+
+
+_QUOTES = "q AS (SELECT user_id, ts, min(value) AS quote FROM events WHERE event_type = (SELECT min(event_type) FROM events) GROUP BY 1, 2)"
+
+
+def _asof(t, policy):
+    e = t("events")
+    kind = e.agg(F.min("event_type").alias("__k"))
+    quotes = e.join(F.broadcast(kind), F.col("event_type") == F.col("__k")).groupBy("user_id", "ts").agg(F.min("value").alias("quote")).withColumn(POS, F.lit(0))
+    return J.asof_join(e.select("event_id", "user_id", "ts"), quotes, "ts", ["quote"], policy, by=BY).select("event_id", "quote")
+
+
+@query("asof_join_backward", f"WITH {_QUOTES} SELECT event_id, quote FROM events e ASOF LEFT JOIN q ON e.user_id = q.user_id AND e.ts >= q.ts")
+def _asof_back(t):
+    return _asof(t, "backward")
+
+
+@query("asof_join_forward", f"WITH {_QUOTES} SELECT event_id, quote FROM events e ASOF LEFT JOIN q ON e.user_id = q.user_id AND e.ts <= q.ts")
+def _asof_ahead(t):
+    return _asof(t, "forward")
+
+
+@query("asof_join_nearest", f"WITH {_QUOTES}, b AS (SELECT event_id, e.ts, q.ts AS bt, quote AS bq FROM events e ASOF LEFT JOIN q ON e.user_id = q.user_id AND e.ts >= q.ts), f AS (SELECT event_id, q.ts AS ft, quote AS fq FROM events e ASOF LEFT JOIN q ON e.user_id = q.user_id AND e.ts <= q.ts) SELECT event_id, CASE WHEN bt IS NOT NULL AND (ft IS NULL OR ts - bt <= ft - ts) THEN bq ELSE fq END AS quote FROM b JOIN f USING (event_id)")
+def _asof_near(t):
+    return _asof(t, "nearest")
+
+
+@query("modify_by_idx", "SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN c_custkey * 2.0 ELSE c_acctbal END AS c_acctbal FROM customer")
+def _modify(t):
+    c = t("customer").select("c_custkey", "c_acctbal")
+    return J.modify_by_idx(c, c.where("c_custkey % 5 = 0").withColumn("c_acctbal", F.col("c_custkey") * 2.0), "c_custkey")
+
+
+@query("frame_arithmetic", "SELECT o_orderkey, round(o_totalprice + o_totalprice / 2, 4) AS o_totalprice FROM orders WHERE o_orderkey % 2 = 0")
+def _arith(t):
+    o = t("orders").select("o_orderkey", "o_totalprice")
+    half = J.arithmetic(o.where("o_orderkey % 2 = 0"), 2.0, lambda a, b: a / b, "o_orderkey")
+    return J.arithmetic(o, half, lambda a, b: r(a + b, 4), "o_orderkey")
+
+
+# Groups
+
+
+@query("groupby1", "SELECT l_returnflag, max(l_orderkey) AS \"INDEX\", round(avg(l_quantity), 6) AS m, count(*) AS n FROM lineitem GROUP BY 1")
+def _group1(t):
+    return G.groupby(t("lineitem"), ["l_returnflag"], r(F.avg("l_quantity")).alias("m"), F.count("*").alias("n"), index=F.max("l_orderkey"))
+
+
+@query("groupby3", "SELECT l_returnflag, l_linestatus, l_linenumber, round(stddev_samp(l_quantity), 6) AS s FROM lineitem GROUP BY 1, 2, 3")
+def _group3(t):
+    return G.groupby(t("lineitem"), ["l_returnflag", "l_linestatus", "l_linenumber"], r(F.stddev_samp("l_quantity")).alias("s"))
+
+
+@query("value_counts", "SELECT o_orderpriority AS \"INDEX\", count(*) AS counts FROM orders GROUP BY 1")
+def _counts(t):
+    return G.value_counts(t("orders"), "o_orderpriority")
+
+
+@query("crosstab", "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F')::DOUBLE AS \"F\", count(*) FILTER (o_orderstatus = 'O')::DOUBLE AS \"O\", count(*) FILTER (o_orderstatus = 'P')::DOUBLE AS \"P\" FROM orders GROUP BY 1")
+def _crosstab(t):
+    return G.crosstab(t("orders"), "o_orderpriority", "o_orderstatus", ["F", "O", "P"])
+
+
+@query("pivot_table", "SELECT l_returnflag, round(avg(l_quantity) FILTER (l_linestatus = 'F'), 6) AS \"F\", round(avg(l_quantity) FILTER (l_linestatus = 'O'), 6) AS \"O\" FROM lineitem GROUP BY 1")
+def _pivot_table(t):
+    return G.pivot_table(t("lineitem"), "l_returnflag", "l_linestatus", ["F", "O"], r(F.avg("l_quantity")))
+
+
+@query("covariance_matrix", "SELECT unnest(['l_quantity', 'l_discount']) AS \"column\", round(unnest([covar_samp(l_quantity, l_quantity), covar_samp(l_quantity, l_discount)]), 6) AS l_quantity, round(unnest([covar_samp(l_quantity, l_discount), covar_samp(l_discount, l_discount)]), 6) AS l_discount FROM lineitem")
+def _cov(t):
+    return G.covariance_matrix(t("lineitem"), ["l_quantity", "l_discount"]).select("column", r("l_quantity").alias("l_quantity"), r("l_discount").alias("l_discount"))
+
+
+@query("bucketize_by_count", "SELECT bucket, n FROM (SELECT p // 100 AS bucket, max(p // 100) OVER () AS l, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS p FROM orders) GROUP BY 1) WHERE bucket < l")
+def _by_count(t):
+    return G.bucketize_by_count(rows(t, "orders", "o_orderkey"), 100, F.count("*").alias("n"))
+
+
+@query("bucketize_by_distance")
+def _by_distance(t):
+    return G.bucketize_by_distance(t("events"), "ts", 86400.0, F.count("*").alias("n"), r(F.avg("value")).alias("m"), by=BY)
+
+
+@query("resample_monthly", "SELECT bucket, n, total FROM (SELECT date_trunc('month', o_orderdate) AS bucket, count(*) AS n, round(sum(o_totalprice), 2) AS total, max(date_trunc('month', o_orderdate)) OVER () AS l FROM orders GROUP BY 1) WHERE bucket < l")
+def _resample(t):
+    return G.resample(t("orders"), "o_orderdate", "monthly", 1, F.count("*").alias("n"), r(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# Order, sets, shape
+
+
+@query("top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def _top(t):
+    return O.top_n(rows(t, "orders", "o_orderkey"), "o_totalprice", 20).select("o_orderkey", "o_totalprice")
+
+
+@query("n_smallest", "SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal), c_custkey LIMIT 15")
+def _small(t):
+    return O.top_n(rows(t, "customer", "c_custkey"), "c_acctbal", 15, True, True, True).select("c_custkey", "c_acctbal")
+
+
+@query("remove_top_n", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k > 50")
+def _remove_top(t):
+    return O.remove_top_n(rows(t, "orders", "o_orderkey"), "o_totalprice", 50).select("o_orderkey")
+
+
+@query("sort", "SELECT c_custkey, c_acctbal FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey")
+def _sort(t):
+    return O.sort(t("customer").select("c_custkey", "c_acctbal"), {"c_acctbal": "abs_desce", "c_custkey": "ascen"})
+
+
+@query("sort_freq", "SELECT s_suppkey, s_nationkey FROM supplier")
+def _freq(t):
+    return O.sort_freq(t("supplier").select("s_suppkey", "s_nationkey"), "s_nationkey", "desce")
+
+
+@query("permutation", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS __pos FROM customer")
+def _permutation(t):
+    return O.permutation(rows(t, "customer", "c_custkey"), {"c_acctbal": "desce"})
+
+
+@query("shuffle")
+def _shuffle(t):
+    return O.shuffle(rows(t, "supplier", "s_suppkey"), ["s_acctbal"], 3).select("s_suppkey", "s_acctbal")
+
+
+@query("concat", "SELECT c_custkey AS k, c_name AS name, c_acctbal AS b FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
+def _concat(t):
+    return O.concat(t("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("b")), t("supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name")))
+
+
+@query("difference", """SELECT c_custkey, c_acctbal AS "self.c_acctbal", c_acctbal + 1 AS "other.c_acctbal" FROM customer WHERE c_custkey % 4 = 0""")
+def _difference(t):
+    a = t("customer").select("c_custkey", "c_acctbal")
+    return O.difference(a, a.withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(0)), "c_custkey")
+
+
+@query("remove_duplicates", "SELECT max(o_orderkey) AS o_orderkey FROM orders GROUP BY o_custkey, o_orderstatus")
+def _dups(t):
+    return O.remove_duplicates(t("orders"), ["o_custkey", "o_orderstatus"], "last", "o_orderkey").select("o_orderkey")
+
+
+@query("duplication_mask", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey) AS o_custkey_dup FROM orders")
+def _dup_mask(t):
+    return O.duplication_mask(t("orders"), ["o_custkey"]).select("o_orderkey", "o_custkey_dup")
+
+
+@query("explode", "SELECT vec_id, i - 1 AS at, embedding[i] AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def _explode(t):
+    return t("embeddings").select("vec_id", F.posexplode("embedding").alias("at", "x"))
+
+
+@query("unpivot", "SELECT l_orderkey, variable, values FROM (UNPIVOT (SELECT l_orderkey, l_quantity, l_discount FROM lineitem) ON l_quantity, l_discount INTO NAME variable VALUE values)")
+def _unpivot(t):
+    return O.unpivot(t("lineitem"), "l_orderkey", ["l_quantity", "l_discount"])
+
+
+@query("pivot", "SELECT o_custkey, max(o_totalprice) FILTER (o_orderstatus = 'F') AS \"F\", max(o_totalprice) FILTER (o_orderstatus = 'O') AS \"O\" FROM orders GROUP BY 1")
+def _pivot(t):
+    return t("orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O"]).agg(F.max("o_totalprice"))
+
+
+@query("indicators", "SELECT o_orderkey, (o_orderstatus = 'F')::INT AS is_F, (o_orderstatus = 'O')::INT AS is_O, o_orderstatus AS back FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def _indicators(t):
+    o = O.load_indicators(t("orders").where("o_orderstatus IN ('F', 'O')").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O"], "is_")
+    return O.from_indicators(o.drop("o_orderstatus"), ["is_F", "is_O"], "back", "is_")
+
+
+@query("shift", f"SELECT event_id, lag(value, 2) OVER ({SERIES}) AS value FROM events")
+def _shift(t):
+    return O.shift(t("events"), ["value"], 2, order=AT, by=BY).select("event_id", "value")
+
+
+@query("rotate", "SELECT a.s_suppkey, b.s_acctbal FROM (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS p, count(*) OVER () AS n FROM supplier) a JOIN (SELECT *, row_number() OVER (ORDER BY s_suppkey) - 1 AS p FROM supplier) b ON b.p = (a.p - 3 + a.n) % a.n")
+def _rotate(t):
+    return O.rotate(rows(t, "supplier", "s_suppkey"), ["s_acctbal"], 3).select("s_suppkey", "s_acctbal")
+
+
+# Missing values
+
+
+_GAPS = "g AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE value END AS x FROM events)"
+
+
+def gaps(t):
+    return t("events").select("user_id", "ts", "event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("x"))
+
+
+@query("fill_forward", f"WITH {_GAPS} SELECT event_id, last_value(x IGNORE NULLS) OVER ({SERIES} ROWS UNBOUNDED PRECEDING) AS x FROM g")
+def _ffill(t):
+    return O.fill_missing(gaps(t), "x", "fill_forward", order=AT, by=BY).select("event_id", "x")
+
+
+@query("fill_backward", f"WITH {_GAPS} SELECT event_id, first_value(x IGNORE NULLS) OVER ({SERIES} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x FROM g")
+def _bfill(t):
+    return O.fill_missing(gaps(t), "x", "fill_backward", order=AT, by=BY).select("event_id", "x")
+
+
+@query("fill_linear", f"""WITH {_GAPS}, k AS (SELECT *, last_value(x IGNORE NULLS) OVER ({SERIES} ROWS UNBOUNDED PRECEDING) AS a, last_value(CASE WHEN x IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER ({SERIES} ROWS UNBOUNDED PRECEDING) AS ta,
+    first_value(x IGNORE NULLS) OVER ({SERIES} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b, first_value(CASE WHEN x IS NOT NULL THEN epoch_us(ts) END IGNORE NULLS) OVER ({SERIES} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tb FROM g)
+    SELECT event_id, round(coalesce(x, a + (b - a) * ((epoch_us(ts) - ta) / (tb - ta))), 4) AS x FROM k""")
+def _linear(t):
+    return O.fill_missing(gaps(t), "x", "linear_interpolate", index="ts", order=AT, by=BY).select("event_id", r("x", 4).alias("x"))
+
+
+@query("drop_missing", f"WITH {_GAPS} SELECT event_id FROM g WHERE x IS NOT NULL")
+def _drop(t):
+    return O.drop_missing(gaps(t), ["x"]).select("event_id")
+
+
+@query("replace", "SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'done' WHEN 'O' THEN 'open' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def _replace(t):
+    return O.replace(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "O"], ["done", "open"])
+
+
+@query("make_stationary", f"SELECT event_id, round(coalesce(value - lag(value) OVER w, lead(value) OVER w - value), 6) AS value FROM events WINDOW w AS ({SERIES})")
+def _stationary(t):
+    return O.make_stationary(t("events"), "value", "differencing", AT, BY).select("event_id", r("value").alias("value"))
+
+
+# Aggregates
+
+
+@query("moments", "SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS geometric, round(count(*) / sum(1 / l_quantity), 6) AS harmonic, round(sqrt(sum(l_quantity * l_quantity) / count(*)), 6) AS quadratic, round(stddev_samp(l_quantity) / sqrt(count(*)), 6) AS sem, round(stddev_samp(l_quantity) / avg(l_quantity), 6) AS cv FROM lineitem GROUP BY 1")
+def _moments(t):
+    x = F.col("l_quantity")
+    return t("lineitem").groupBy("l_returnflag").agg(r(A.geometric_mean(x)).alias("geometric"), r(A.harmonic_mean(x)).alias("harmonic"), r(A.quadratic_mean(x)).alias("quadratic"), r(A.sem(x)).alias("sem"), r(A.coefficient_of_variation(x)).alias("cv"))
+
+
+@query("pairs", "SELECT round(covar_samp(l_extendedprice, l_quantity) / var_samp(l_quantity), 6) AS beta, round(corr(l_extendedprice, l_quantity), 6) AS corr, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(stddev_samp(l_tax - l_discount), 6) AS tracking FROM lineitem")
+def _pairs(t):
+    a, b = F.col("l_extendedprice"), F.col("l_quantity")
+    return t("lineitem").agg(r(A.beta(a, b)).alias("beta"), r(F.corr(a, b)).alias("corr"), r(A.regression(b, a)["intercept"], 4).alias("intercept"), r(A.tracking_error(F.col("l_tax"), F.col("l_discount"))).alias("tracking"))
+
+
+@query("stats", "SELECT round(sqrt(count(*)) * sum(power(l_quantity - m, 3)) / power(sum(power(l_quantity - m, 2)), 1.5), 5) AS skew, round(count(*) * sum(power(l_quantity - m, 4)) / power(sum(power(l_quantity - m, 2)), 2) - 3, 5) AS kurtosis FROM lineitem, (SELECT avg(l_quantity) AS m FROM lineitem)")
+def _stats(t):
+    s = A.stats(F.col("l_quantity"))
+    return t("lineitem").agg(r(s["skew"], 5).alias("skew"), r(s["kurtosis"], 5).alias("kurtosis"))
+
+
+@query("quantile", f"SELECT round({_QUANTILE.format(q=0.35, x='l_extendedprice', t='lineitem')}, 6) AS q0, round({_QUANTILE.format(q=0.5, x='l_extendedprice', t='lineitem')}, 6) AS q1")
+def _quantile(t):
+    return O.quantiles(t("lineitem"), "l_extendedprice", [0.35, 0.5]).select(r("q0").alias("q0"), r("q1").alias("q1"))
+
+
+@query("mode", "SELECT l_quantity AS value, count(*) AS count FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) AS p FROM lineitem) GROUP BY 1 ORDER BY 2 DESC, min(p) LIMIT 3")
+def _mode(t):
+    return A.mode(with_positions(t("lineitem"), ["l_orderkey", "l_linenumber"]), "l_quantity", 3)
+
+
+@query("rank", "SELECT c_custkey, (rank() OVER (ORDER BY c_mktsegment) - 1 + (count(*) OVER (PARTITION BY c_mktsegment) - 1) / 2)::DOUBLE AS rank FROM customer")
+def _rank(t):
+    c = t("customer")
+    return c.select("c_custkey", A.ranks(c, "c_mktsegment", "average", "c_custkey").cast("double").alias("rank"))
+
+
+@query("autocorrelation", f"SELECT 0 AS lag, round(corr(value, value), 6) AS corr FROM events UNION ALL SELECT 1, round(corr(value, l1), 6) FROM (SELECT value, lag(value) OVER (ORDER BY ts, event_id) AS l1 FROM events) UNION ALL SELECT 2, round(corr(value, l1), 6) FROM (SELECT value, lag(value, 2) OVER (ORDER BY ts, event_id) AS l1 FROM events)")
+def _acf(t):
+    return A.autocorrelation(t("events"), "value", 3, AT).select("lag", r("corr").alias("corr"))
+
+
+@query("mutual_information", "SELECT round(sum(n / t * log2(n * t / (a * b))), 6) AS mutual_information FROM (SELECT n, sum(n) OVER () AS t, sum(n) OVER (PARTITION BY l_returnflag) AS a, sum(n) OVER (PARTITION BY l_linestatus) AS b FROM (SELECT l_returnflag, l_linestatus, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1, 2))")
+def _mutual(t):
+    return A.mutual_information(t("lineitem"), "l_returnflag", "l_linestatus").select(r("mutual_information").alias("mutual_information"))
+
+
+@query("z_outliers", "SELECT l_orderkey, l_linenumber FROM (SELECT *, abs(l_extendedprice - avg(l_extendedprice) OVER ()) / stddev_samp(l_extendedprice) OVER () AS z FROM lineitem) WHERE z > 2")
+def _z(t):
+    return A.z_outliers(t("lineitem"), "l_extendedprice", 2).select("l_orderkey", "l_linenumber")
+
+
+@query("tests")
+def _tests(t):
+    l = t("lineitem")
+    one = A.kolmogorov_smirnov(l, "l_tax", "l_discount").select(r("statistic").alias("ks"))
+    return one.crossJoin(A.mann_whitney(l, "l_tax", "l_discount").select(r("z", 4).alias("mwu_z"))).crossJoin(A.durbin_watson(t("events"), "value", AT).select(r("d").alias("dw")))
+
+
+@query("polynomial_fit")
+def _poly(t):
+    return A.polynomial_fit(t("lineitem"), "l_quantity", "l_extendedprice", 2).withColumn("coefficient", r("coefficient", 3))
+
+
+# Windows
+
+
+@query("cumulative", f"SELECT event_id, round(sum(value) OVER w, 4) AS s, max(value) OVER w AS m, count(value) OVER w AS n FROM events WINDOW w AS ({SERIES} ROWS UNBOUNDED PRECEDING)")
+def _cum(t):
+    x = F.col("value")
+    return t("events").select("event_id", r(W.cumulative(F.sum, x, AT, BY), 4).alias("s"), W.cumulative(F.max, x, AT, BY).alias("m"), W.cumulative(F.count, x, AT, BY).alias("n"))
+
+
+@query("simple_roll", f"SELECT event_id, CASE WHEN row_number() OVER ({SERIES}) >= 5 THEN round(avg(value) OVER ({SERIES} ROWS 4 PRECEDING), 6) END AS m FROM events")
+def _roll(t):
+    return t("events").select("event_id", r(W.rolling(F.avg, 5, F.col("value"), order=AT, by=BY)).alias("m"))
+
+
+@query("returns", f"SELECT event_id, round(value - lag(value) OVER ({SERIES}), 6) AS monetary, round(value - lag(value, 3) OVER ({SERIES}), 6) AS diff3 FROM events")
+def _returns(t):
+    return t("events").select("event_id", r(W.returns(F.col("value"), "monetary", 1, AT, BY)).alias("monetary"), r(W.diff(F.col("value"), 3, AT, BY)).alias("diff3"))
+
+
+@query("z_score", "SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER ()) / stddev_samp(o_totalprice) OVER (), 5) AS z, round((o_totalprice - min(o_totalprice) OVER ()) / (max(o_totalprice) OVER () - min(o_totalprice) OVER ()), 6) AS scaled FROM orders")
+def _zscore(t):
+    x = F.col("o_totalprice")
+    one = t("orders").agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.min(x).alias("lo"), F.max(x).alias("hi"))
+    return t("orders").crossJoin(F.broadcast(one)).select("o_orderkey", r((x - F.col("m")) / F.col("s"), 5).alias("z"), r((x - F.col("lo")) / (F.col("hi") - F.col("lo"))).alias("scaled"))
+
+
+@query("linreg_mean", f"SELECT event_id, CASE WHEN row_number() OVER ({SERIES}) >= 6 THEN round(regr_slope(value, t) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 4) END AS slope FROM (SELECT *, row_number() OVER ({SERIES}) AS t FROM events)")
+def _linreg(t):
+    e = t("events").withColumn("t", F.row_number().over(ordered(AT, BY)).cast("double"))
+    w = ordered(AT, BY).rowsBetween(-5, -1)
+    return e.select("event_id", r(F.when(F.col("t") >= 6, F.regr_slope(F.col("value"), F.col("t")).over(w)), 4).alias("slope"))
+
+
+# Prices
+
+
+def _bar_query(name, sql, make):
+    window = "WINDOW w AS (PARTITION BY user_id ORDER BY day), w5 AS (PARTITION BY user_id ORDER BY day ROWS 4 PRECEDING), u AS (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING)"
+    query(name, f"WITH {BARS} SELECT user_id, day, {sql} AS x FROM bars {window}" if sql else None)(lambda t: bars(t).select("user_id", "day", r(make(*[F.col(c) for c in ("low", "high", "open", "close", "volume")]), 4).alias("x")))
+
+
+_full = "CASE WHEN row_number() OVER w >= 5 THEN {} END"
+_bar_query("williams_r", _full.format("round(100 * ((close - min(low) OVER w5) / nullif(max(high) OVER w5 - min(low) OVER w5, 0) - 1), 4)"), lambda l, h, o, c, v: F.try_divide(100 * (c - F.max(h).over(ordered(**DAY).rowsBetween(-4, 0))), W.rolling(F.max, 5, h, **DAY) - W.rolling(F.min, 5, l, **DAY)))
+_bar_query("rolling_mid", _full.format("round((min(low) OVER w5 + max(high) OVER w5) / 2, 4)"), lambda l, h, o, c, v: W.rolling_mid(l, h, 5, **DAY))
+_bar_query("bollinger_upper", _full.format("round(avg(close) OVER w5 + 2 * stddev_samp(close) OVER w5 - close, 4)"), lambda l, h, o, c, v: W.bollinger(c, 5, **DAY)["upper_to_raw"])
+_bar_query("drawdown", "round(max(close) OVER u - close, 4)", lambda l, h, o, c, v: W.drawdown(c, **DAY)["drawdown"])
+_bar_query("true_range", "round(greatest(abs(high - low), coalesce(abs(high - lag(close) OVER w), 0), coalesce(abs(lag(close) OVER w - low), 0)), 4)", lambda l, h, o, c, v: W.true_range(l, h, c, **DAY))
+_bar_query("on_balance_volume", "round(sum(d) OVER u, 4)".replace("sum(d)", "sum(s * volume)"), lambda l, h, o, c, v: W.on_balance_volume(c, v, **DAY))
+ORACLE_SQL["on_balance_volume"] = f"WITH {BARS}, d AS (SELECT *, coalesce(sign(close - lag(close) OVER (PARTITION BY user_id ORDER BY day)), 1) AS s FROM bars) SELECT user_id, day, round(sum(s * volume) OVER (PARTITION BY user_id ORDER BY day ROWS UNBOUNDED PRECEDING), 4) AS x FROM d"
+_bar_query("pivot_point", "round((low + high + close) / 3, 4)", lambda l, h, o, c, v: W.pivot_points(l, h, c)["pivot"])
+_bar_query("psychological_line", "round(100 * sum((close > open)::INT) OVER w5 / 5, 4)", lambda l, h, o, c, v: W.psychological_line(c, 5, o, **DAY))
+_bar_query("price_distance", "CASE WHEN row_number() OVER w >= 2 THEN round(2 * (high - low) + abs(lead(open) OVER w - close) - abs(close - open), 4) END", lambda l, h, o, c, v: W.price_distance(l, h, o, c, **DAY))
+_bar_query("detrended_price", "round(close - CASE WHEN row_number() OVER w >= 8 THEN (lag(close, 3) OVER w + lag(close, 4) OVER w + lag(close, 5) OVER w + lag(close, 6) OVER w + lag(close, 7) OVER w) / 5 END, 4)", lambda l, h, o, c, v: W.rolling(F.first, 1, c, **DAY) - F.when(F.row_number().over(ordered(**DAY)) >= 8, sum((F.lag(c, i).over(ordered(**DAY)) for i in range(4, 8)), F.lag(c, 3).over(ordered(**DAY))) / 5))
+
+
+def _kernel_query(name, kernel, columns, output, **options):
+    def make(t):
+        out = by_series(bars(t), kernel, columns, {output: "double"}, ["day"], ["user_id"], **options)
+        return out.select("user_id", "day", r(F.when(~F.isnan(output), F.col(output)), 4).alias("x"))
+
+    query(name)(make)
+
+
+for _name, _kernel, _columns, _output, _options in (
+    ("ewm_mean", Q.ewm_mean, ["close"], "ewm", {"value": 5.0}), ("ewm_var", Q.ewm_var, ["close"], "var", {"value": 5.0}), ("zero_lag_mean", Q.zero_lag_mean, ["close"], "zlmm", {"n": 5}), ("macd", I.macd, ["close"], "macd", {"short": 3, "long": 6, "signal": 3}),
+    ("rsi", I.rsi, ["close"], "rsi", {"n": 5}), ("rsx", I.rsx, ["close"], "rsx", {"n": 5}), ("relative_volatility", I.relative_volatility, ["close", "high", "low"], "rvi", {"n": 5}), ("inertia", I.inertia, ["close", "high", "low"], "inertia", {"n": 4, "rvi": 4}),
+    ("mass_index", I.mass_index, ["low", "high"], "mass_index", {"fast": 3, "slow": 5}), ("hull_mean", I.hull_mean, ["close"], "hull", {"n": 6}), ("kama", I.kama, ["close"], "kama", {"n": 5}), ("fisher_transform", I.fisher_transform, ["low", "high"], "fisher", {"n": 5}),
+    ("percent_price", I.percent_price, ["close"], "ppo", {"fast": 3, "slow": 6, "signal": 3}), ("parabolic_sar", I.parabolic_sar, ["low", "high", "close"], "sar", {}), ("even_better_sine", I.even_better_sine, ["close"], "sine", {}), ("super_smoother", I.super_smoother, ["close"], "smooth", {}),
+    ("variable_index_average", I.variable_index_average, ["close"], "vidya", {"n": 5}), ("average_directional", I.average_directional, ["low", "high", "close"], "adx", {"n": 5}), ("holt_winter_channel", I.holt_winter_channel, ["close"], "middle", {}), ("heikin_ashi", I.heikin_ashi, ["low", "high", "open", "close"], "open", {}),
+    ("keltner", I.keltner, ["low", "high", "close"], "upper", {"n": 5}), ("trix", I.trix, ["close"], "trix", {"n": 5}), ("pretty_good", I.pretty_good, ["low", "high", "close"], "pgo", {"n": 5}), ("t3", I.t3, ["close"], "t3", {"n": 5}), ("elder_ray", I.elder_ray, ["close", "high", "low"], "bulls", {"n": 5}),
+    ("elder_force", I.elder_force, ["close", "volume"], "efi", {"n": 5}), ("elder_thermometer", I.elder_thermometer, ["low", "high"], "mean", {"n": 5}), ("chande_kroll", I.chande_kroll, ["low", "high", "close"], "long_stop", {"p": 3, "q": 5}), ("quantitative_qualitative", I.quantitative_qualitative, ["close"], "rsi_ma", {"n": 5, "smooth": 3}),
+    ("high_pass", I.high_pass, ["close"], "filtered", {}), ("band_pass", I.band_pass, ["close"], "filtered", {}), ("trend_smoother", I.trend_smoother, ["close"], "smooth", {}), ("average_true_range", I.average_true_range, ["low", "high", "close"], "atr", {"n": 5}), ("expanding", Q.expanding, ["close"], "expanding", {}),
+):
+    # A name that holds an input column of the bars is written to a column of its own.
+    _kernel_query(_name, (lambda k, o: lambda *a, **b: {f"k_{o}": k(*a, **b)[o]})(_kernel, _output), _columns, f"k_{_output}", **_options)
+
+
+# Models
+
+
+@query("knn", "SELECT p_partkey, round(sqrt(power(p_size - 10, 2) + power(p_retailprice - 1000, 2)), 6) AS distance FROM part ORDER BY sqrt(power(p_size - 10, 2) + power(p_retailprice - 1000, 2)), p_partkey LIMIT 10")
+def _knn(t):
+    return M.knn(rows(t, "part", "p_partkey"), ["p_size", "p_retailprice"], [10.0, 1000.0], 10).select("p_partkey", r("distance").alias("distance"))
+
+
+@query("kmeans")
+def _kmeans(t):
+    return M.kmeans(t("part"), ["p_size", "p_retailprice"], 3).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+@query("pca")
+def _pca(t):
+    return M.pca(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"], k=2).agg(r(F.var_samp("pc0"), 2).alias("v0"), r(F.var_samp("pc1"), 2).alias("v1"))
+
+
+@query("markov_stationary")
+def _markov(t):
+    return M.markov_stationary(t("events").where("user_id < 50"), "event_type", "event_id").withColumn("probability", r("probability"))
+
+
+@query("calinski_harabasz", "WITH s AS (SELECT label, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings WHERE label NOT IN (-1, -2)) GROUP BY 1) SELECT round(((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / (sum(q - s * s / n) / (sum(n) - count(*))), 4) AS calinski_harabasz FROM s")
+def _ch(t):
+    e = t("embeddings").select("label", F.get("embedding", F.lit(0)).cast("double").alias("x"))
+    return M.calinski_harabasz(e, ["x"], "label").select(r("calinski_harabasz", 4).alias("calinski_harabasz"))
+
+
+@query("sigmoid", "SELECT l_orderkey, l_linenumber, round(1 / (1 + exp(-l_discount)), 6) AS s, round(greatest(0, l_quantity - 25), 6) AS relu FROM lineitem")
+def _sigmoid(t):
+    return t("lineitem").select("l_orderkey", "l_linenumber", r(S.sigmoid(F.col("l_discount"))).alias("s"), r(S.rectify(F.col("l_quantity") - 25)).alias("relu"))
+
+
+@query("weekdays", "SELECT o_orderkey, (SELECT count(*) FROM range(o_orderdate::DATE + 1, o_orderdate::DATE + 31, INTERVAL 1 DAY) d(x) WHERE isodow(x) < 6) AS n, isodow(o_orderdate) > 5 AS weekend FROM orders")
+def _weekdays(t):
+    d = F.to_date("o_orderdate")
+    return t("orders").select("o_orderkey", S.weekdays_between(d, F.date_add(d, 30)).cast("long").alias("n"), F.dayofweek(d).isin(1, 7).alias("weekend"))
+
+
+# The published comparison: three aggregates, and a selection
+
+
+@query("bench_calculation", "SELECT round(avg(l_quantity), 6) AS mean, round(var_samp(l_discount), 8) AS variance, round(corr(l_discount, l_tax), 6) AS corr FROM lineitem")
+def _calculation(t):
+    return t("lineitem").agg(r(F.avg("l_quantity")).alias("mean"), r(F.var_samp("l_discount"), 8).alias("variance"), r(F.corr("l_discount", "l_tax")).alias("corr"))
+
+
+@query("bench_selection", "SELECT count(*) AS n FROM lineitem WHERE l_extendedprice > 50000")
+def _selection(t):
+    return t("lineitem").where("l_extendedprice > 50000").agg(F.count("*").alias("n"))
