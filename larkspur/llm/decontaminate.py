@@ -178,7 +178,7 @@ def _blocks(benchmark: DataFrame, id_column: str) -> Iterator[list[tuple[int, by
 
 
 def find_items(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE, columns: list[str] | None = None) -> DataFrame:
-    """``columns`` of ``docs`` (its doc_id by default) and ``item_ids``, the benchmark items that each row's whole text holds.
+    """``columns`` of ``docs`` (its doc_id by default) and ``__item_ids``, the benchmark items that each row's whole text holds.
 
     Benchmark items are the query set: they go to the executors in blocks of bounded size,
     and each block is one pass over ``docs`` without a shuffle. Rows with null or empty text
@@ -188,14 +188,14 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RA
     result = None
     for block in _blocks(benchmark, "item_id"):
         source = docs.select(*columns, F.col("text").alias("__text")) if result is None else result
-        base = source if result is None else source.select(*columns, "__text", F.col("item_ids").alias("__items"))
+        base = source if result is None else source.select(*columns, "__text", F.col("__item_ids").alias("__items"))
         result = _pass(base, columns, block, edit_rate)
     return result.drop("__text")
 
 
 def _pass(df: DataFrame, columns: list[str], block: list[tuple[int, bytes]], edit_rate: float) -> DataFrame:
     earlier = "__items" in df.columns
-    schema = T.StructType([df.schema[c] for c in [*columns, "__text"]] + [T.StructField("item_ids", T.ArrayType(T.LongType()))])
+    schema = T.StructType([df.schema[c] for c in [*columns, "__text"]] + [T.StructField("__item_ids", T.ArrayType(T.LongType()))])
     n = len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,9 +211,9 @@ def _pass(df: DataFrame, columns: list[str], block: list[tuple[int, bytes]], edi
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
     """doc_id, contaminated and item_ids for every row of ``docs``."""
-    return find_items(docs, benchmark, edit_rate).select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), "item_ids")
+    return find_items(docs, benchmark, edit_rate).select("doc_id", (F.size("__item_ids") > 0).alias("contaminated"), F.col("__item_ids").alias("item_ids"))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:
     """The rows of ``docs``, with their columns, whose text holds no benchmark item."""
-    return find_items(docs, benchmark, edit_rate, docs.columns).where(F.size("item_ids") == 0).select(*docs.columns)
+    return find_items(docs, benchmark, edit_rate, docs.columns).where(F.size("__item_ids") == 0).select(*docs.columns)

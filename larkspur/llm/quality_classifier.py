@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from larkspur.llm import _kernels as k
+from larkspur.llm._shared import written
 from larkspur.llm.rule_stats import rule_stats
 
 #: At most so many labelled rows are brought to the driver, and so many words kept as evidence of toxic text.
@@ -127,23 +128,31 @@ def _logit(p: Column) -> Column:
 def site_posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
     """The posterior share of good documents for each host and path.
 
-    Soft counts of all documents are summed by path, then host, then over all. A host is
-    shrunk to the global share and a path to its host; how strongly comes from the spread of
-    the shares themselves (method of moments), so sites with few documents stay near their
-    prior. Aggregation is partial before each shuffle; the global row is one row.
+    Soft counts of all documents are summed by path, once; hosts and the whole are sums of
+    these. A host is shrunk to the global share and a path to its host's. How strongly comes
+    from the spread of the shares on that level beyond what their counts explain (method of
+    moments), so sites with few documents stay near their prior. Aggregation is partial
+    before each shuffle, and what is broadcast is one row.
     """
     p = 1 / (1 + F.exp(-F.col("evidence")))
-    paths = scored.groupBy(host, path).agg(F.count("*").alias("n"), F.sum(p).alias("good"))
+    paths = written(scored.groupBy(host, path).agg(F.count("*").alias("n"), F.sum(p).alias("good")), "sites")
     hosts = paths.groupBy(host).agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    share = F.col("host_good") / F.col("host_n")
-    world = hosts.agg(F.sum("host_n").alias("world_n"), F.sum("host_good").alias("world_good"), F.var_pop(share).alias("spread"), F.avg(1 / F.col("host_n")).alias("noise"))
-    mean = F.greatest(F.least(F.col("world_good") / F.col("world_n"), F.lit(1 - 1e-4)), F.lit(1e-4))
-    between = F.greatest(F.col("spread") - mean * (1 - mean) * F.col("noise"), mean * (1 - mean) / 500)
-    world = world.select(mean.alias("world_p"), F.greatest(mean * (1 - mean) / between - 1, F.lit(2.0)).alias("strength"))
+    mean = F.greatest(F.least(F.sum("host_good") / F.sum("host_n"), F.lit(1 - 1e-4)), F.lit(1e-4))
+
+    def strength(spread: Column, noise: Column, at: Column) -> Column:
+        """Of the Beta prior whose variance is the spread that is left."""
+        return F.greatest(at * (1 - at) / F.greatest(spread - at * (1 - at) * noise, at * (1 - at) / 500) - 1, F.lit(2.0))
+
+    world = hosts.agg(mean.alias("world_p"), F.var_pop(F.col("host_good") / F.col("host_n")).alias("spread"), F.avg(1 / F.col("host_n")).alias("noise"))
+    world = world.select("world_p", strength(F.col("spread"), F.col("noise"), F.col("world_p")).alias("strength"))
     hosts = hosts.crossJoin(F.broadcast(world)).select(
-        F.col(host).alias("__host"), ((F.col("host_good") + F.col("strength") * F.col("world_p")) / (F.col("host_n") + F.col("strength"))).alias("host_p"), "strength", "world_p"
+        F.col(host).alias("__host"), ((F.col("host_good") + F.col("strength") * F.col("world_p")) / (F.col("host_n") + F.col("strength"))).alias("host_p"), "world_p"
     )
-    return paths.join(hosts, F.col(host).eqNullSafe(F.col("__host"))).select(
+    placed = paths.join(hosts, F.col(host).eqNullSafe(F.col("__host")))
+    away = F.col("good") / F.col("n") - F.col("host_p")
+    within = placed.agg(F.avg(away * away).alias("spread"), F.avg(1 / F.col("n")).alias("noise"), F.first("world_p").alias("w"))
+    within = within.select(strength(F.col("spread"), F.col("noise"), F.col("w")).alias("strength"))
+    return placed.crossJoin(F.broadcast(within)).select(
         F.col(host).alias("__host"), F.col(path).alias("__path"), "host_p", ((F.col("good") + F.col("strength") * F.col("host_p")) / (F.col("n") + F.col("strength"))).alias("path_p"), "world_p"
     )
 
