@@ -87,7 +87,7 @@ def bucketize_by_distance(df: DataFrame, index: str, distance: float, *aggregate
         part["bucket"] = _anchored(pd.Series(np.asarray(seconds)), distance)
         return part
 
-    grouped = df.groupBy(*by) if by else df.groupBy(F.lit(0))
+    grouped = df.groupBy(*by)
     out = grouped.applyInPandas(run, schema).groupBy(*by, "bucket").agg(*aggregates)
     if keep_last:
         return out

@@ -85,7 +85,7 @@ def by_series(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str]
             part[name] = found[name]
         return part
 
-    return (df.groupBy(*by) if by else df.groupBy(F.lit(0))).applyInPandas(run, schema)
+    return df.groupBy(*by).applyInPandas(run, schema)
 
 
 def summarised(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:
@@ -99,4 +99,4 @@ def summarised(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str
         found = kernel(*[part[c].to_numpy() for c in columns], **options)
         return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, **found}])[[*by, *outputs]]
 
-    return (df.groupBy(*by) if by else df.groupBy(F.lit(0))).applyInPandas(run, schema)
+    return df.groupBy(*by).applyInPandas(run, schema)
