@@ -277,7 +277,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     sets = scratch.write(_sets(docs, n), "sets")
     real = sets.where("doc_id IS NOT NULL AND size > 0")
     groups = scratch.write(real.groupBy("signature").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "groups")
-    members = groups.select(F.col("rep").alias("doc_id"), "signature", "copies").join(sets.select("doc_id", "signature", "minima"), ["doc_id", "signature"]).dropDuplicates(["doc_id"])
+    # By id alone, so that the rows of an id are together already when one of them is taken.
+    own = sets.select("doc_id", F.col("signature").alias("of"), "minima")
+    members = groups.select(F.col("rep").alias("doc_id"), "signature", "copies").join(own.hint("merge"), "doc_id").where("signature = of").dropDuplicates(["doc_id"])
     members = scratch.write(members.select(F.col("doc_id").alias("rep"), "copies", "minima"), "members")
 
     runs = runs_needed(threshold, recall, DEPTHS[0] + 1)
@@ -310,7 +312,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     likely = scratch.write(_likely(placed.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j"), threshold), "likely")
 
     wanted = likely.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("leaves").alias("leaves"), F.collect_list(F.struct("path", "i", "j", "blocks")).alias("at"))
-    texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id") == F.col("rep")).select("rep", "text", "copies", "leaves", "at")
+    # Always by sorting: the plan is the same at every size.
+    texts = docs.select("doc_id", "text").join(wanted.hint("merge"), F.col("doc_id") == F.col("rep")).select("rep", "text", "copies", "leaves", "at")
 
     def shipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
