@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
@@ -69,34 +70,60 @@ def with_positions(df: DataFrame, order: str | Sequence[str] | None = None) -> D
     return out.withColumn(POS, F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")
 
 
+def _series(parts: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """Whole series at the front of each part and where they begin and end; rows come sorted by series."""
+    rest: pd.DataFrame | None = None
+    for part in parts:
+        table = part if rest is None or not len(rest) else pd.concat([rest, part], ignore_index=True)
+        cuts = _cuts(table, by)
+        if len(cuts) > 2:
+            yield table.iloc[: cuts[-2]], list(zip(cuts[:-2], cuts[1:-1]))
+            table = table.iloc[cuts[-2] :].reset_index(drop=True)
+        rest = table
+    if rest is not None and len(rest):
+        cuts = _cuts(rest, by)
+        yield rest, list(zip(cuts, cuts[1:]))
+
+
+def _cuts(table: pd.DataFrame, by: Sequence[str]) -> list[int]:
+    change = np.zeros(max(0, len(table) - 1), bool)
+    for c in by:
+        x, empty = table[c].to_numpy(), table[c].isna().to_numpy()
+        change |= (x[1:] != x[:-1]) & ~(empty[1:] & empty[:-1])
+    return [0, *(np.flatnonzero(change) + 1).tolist(), len(table)]
+
+
+def _dealt(df: DataFrame, order: str | Sequence[str], by: Sequence[str]) -> DataFrame:
+    keys = [*by, *([order] if isinstance(order, str) else order)]
+    return (df.repartition(*by) if by else df.repartition(1)).sortWithinPartitions(*keys)
+
+
 def by_series(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:
     """Adds ``outputs`` (name to type), computed by ``kernel`` from the arrays of ``columns`` of each series in order.
 
-    One task handles one series; a table with many series is spread over its keys.
+    Spark deals out and sorts the rows; a task walks through its series one after another
+    and holds one of them at a time besides the batch it reads.
     """
-    order = [order] if isinstance(order, str) else list(order)
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items())).fields])
-    kinds = dict(outputs)
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable").reset_index(drop=True)
-        found = kernel(*[part[c].to_numpy() for c in columns], **options)
-        for name in kinds:
-            part[name] = found[name]
-        return part
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table, ranges in _series(parts, by):
+            arrays = [table[c].to_numpy() for c in columns]
+            found = [kernel(*[x[a:b] for x in arrays], **options) for a, b in ranges]
+            yield table.assign(**{n: np.concatenate([np.asarray(f[n]) for f in found]) for n in outputs})
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return _dealt(df, order, by).mapInPandas(run, schema)
 
 
 def summarised(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:
     """One row for each series: its key and what ``kernel`` returns for its columns in order."""
-    order = [order] if isinstance(order, str) else list(order)
-    keys = [df.schema[c] for c in by]
-    schema = T.StructType([*keys, *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items())).fields])
+    schema = T.StructType([*(df.schema[c] for c in by), *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items())).fields])
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        found = kernel(*[part[c].to_numpy() for c in columns], **options)
-        return pd.DataFrame([{**{c: part[c].iloc[0] for c in by}, **found}])[[*by, *outputs]]
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for table, ranges in _series(parts, by):
+            arrays = [table[c].to_numpy() for c in columns]
+            found = pd.DataFrame([kernel(*[x[a:b] for x in arrays], **options) for a, b in ranges])
+            keys = table.iloc[[a for a, _ in ranges]][list(by)].reset_index(drop=True)
+            yield pd.concat([keys, found], axis=1)[[*by, *outputs]]
 
-    return df.groupBy(*by).applyInPandas(run, schema)
+    return _dealt(df.select(*dict.fromkeys([*by, *columns, *([order] if isinstance(order, str) else order)])), order, by).mapInPandas(run, schema)
