@@ -363,7 +363,7 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
     """The rows of ``docs`` that stand for their class: those with its least doc_id, each once. Rows without an id stay."""
     scratch = Scratch(docs.sparkSession, "ngram")
     kept = scratch.write(near_duplicates(docs, n, threshold, recall).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    found = docs.join(kept, F.col("doc_id") == F.col("__kept"))
+    found = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"))
     from pyspark.sql import Window
 
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
