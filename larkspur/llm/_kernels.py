@@ -59,7 +59,7 @@ def buffers(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(texts: pa.StringArray, most_bytes: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(texts: pa.StringArray, most_bytes: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``most_bytes``; a longer text is a range of its own."""
     if not len(texts):
         return

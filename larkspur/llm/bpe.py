@@ -21,7 +21,7 @@ from larkspur.llm import _kernels as k
 
 NONE = 1 << 30
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Pieces up to so many bytes are merged side by side; longer ones one by one.
 SIDE_BY_SIDE = 64
 

@@ -185,26 +185,27 @@ def find_items(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RA
     hold none; null items, repeated items and items under LEAST_BYTES add nothing.
     """
     columns = columns or ["doc_id"]
-    result = None
+    kept = [*columns, *([] if "text" in columns else ["text"])]
+    result = docs.select(*kept)
     for block in _blocks(benchmark, "item_id"):
-        source = docs.select(*columns, F.col("text").alias("__text")) if result is None else result
-        base = source if result is None else source.select(*columns, "__text", F.col("__item_ids").alias("__items"))
-        result = _pass(base, columns, block, edit_rate)
-    return result.drop("__text")
+        result = _pass(result, kept.index("text"), block, edit_rate)
+    return result.select(*columns, "__item_ids")
 
 
-def _pass(df: DataFrame, columns: list[str], block: list[tuple[int, bytes]], edit_rate: float) -> DataFrame:
-    earlier = "__items" in df.columns
-    schema = T.StructType([df.schema[c] for c in [*columns, "__text"]] + [T.StructField("__item_ids", T.ArrayType(T.LongType()))])
-    n = len(columns)
+def _pass(df: DataFrame, at: int, block: list[tuple[int, bytes]], edit_rate: float) -> DataFrame:
+    earlier = "__item_ids" in df.columns
+    schema = df.schema if earlier else T.StructType([*df.schema.fields, T.StructField("__item_ids", T.ArrayType(T.LongType()))])
+    n = len(schema) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = ItemIndex(block, edit_rate)
-        for batch in batches:
-            found = index.find(k.texts_of(batch.column(n)))
-            if earlier:
-                found = [sorted({*x, *y}) for x, y in zip(found, batch.column(n + 1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n + 1], pa.array(found, pa.list_(pa.int64()))], schema.names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2000):
+                batch = whole.slice(first, 2000)
+                found = index.find(k.texts_of(batch.column(at)))
+                if earlier:
+                    found = [sorted({*x, *y}) for x, y in zip(found, batch.column(n).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.list_(pa.int64()))], schema.names)
 
     return df.mapInArrow(run, schema)
 

@@ -281,8 +281,10 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
     schema, at, model = docs.schema, docs.columns.index(text_column), trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [None if x is None else redact(x, find_spans(x, model)[1]) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], schema.names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2000):
+                batch = whole.slice(first, 2000)
+                texts = [None if x is None else redact(x, find_spans(x, model)[1]) for x in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], schema.names)
 
     return docs.mapInArrow(run, schema)

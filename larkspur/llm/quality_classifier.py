@@ -16,6 +16,8 @@ from larkspur.llm.rule_stats import rule_stats
 #: At most so many labelled rows are brought to the driver, and so many words kept as evidence of toxic text.
 FIT_ROWS = 4000
 LEXICON = 512
+#: Rows that a worker scores and hands on at once.
+ROWS_AT_ONCE = 2000
 
 
 @dataclass
@@ -170,25 +172,28 @@ def classify(docs: DataFrame, evidence: Evidence | None, host: str = "source", p
     columns = columns or ["doc_id"]
     extra = [T.StructField("__evidence", T.DoubleType()), T.StructField("__toxic_odds", T.DoubleType()), T.StructField("__blank", T.BooleanType())]
 
-    def scorer(n: int, names: list[str], toxic: bool):
+    def scorer(at: int, n: int, names: list[str], toxic: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = k.texts_of(batch.column(n))
-                s = rule_stats(texts)
-                odds = evidence.quality(s["features"].astype(np.float64)) if evidence is not None and len(texts) else np.zeros(len(texts))
-                bad = evidence.toxic(texts) if evidence is not None and toxic else np.full(len(texts), -3.0)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(odds, pa.float64()), pa.array(bad, pa.float64()), pa.array(s["n_words"] == 0)], names)
+            for whole in batches:
+                for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                    batch = whole.slice(first, ROWS_AT_ONCE)
+                    texts = k.texts_of(batch.column(at))
+                    s = rule_stats(texts)
+                    odds = evidence.quality(s["features"].astype(np.float64)) if evidence is not None else np.zeros(len(texts))
+                    bad = evidence.toxic(texts) if evidence is not None and toxic else np.full(len(texts), -3.0)
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(odds, pa.float64()), pa.array(bad, pa.float64()), pa.array(s["n_words"] == 0)], names)
 
         return run
 
-    def scored(keep: list[Column], toxic: bool) -> DataFrame:
-        source = docs.select(*keep, F.col("text").alias("__text"))
-        fields = source.schema.fields[:-1] + extra
-        return source.mapInArrow(scorer(len(keep), [f.name for f in fields], toxic), T.StructType(fields))
+    def scored(keep: list[Column], names: list[str], toxic: bool) -> DataFrame:
+        at = names.index("text") if "text" in names else len(keep)  # a text that is kept goes to Python once
+        source = docs.select(*keep, *([] if "text" in names else [F.col("text").alias("__text")]))
+        fields = source.schema.fields[: len(keep)] + extra
+        return source.mapInArrow(scorer(at, len(keep), [f.name for f in fields], toxic), T.StructType(fields))
 
     site = [F.col(host).alias("__h"), F.col(path).alias("__l")]
-    sites = site_posteriors(scored(site, False).withColumnRenamed("__evidence", "evidence"), "__h", "__l")
-    full = scored([*[F.col(c) for c in columns], *site], True)
+    sites = site_posteriors(scored(site, [], False).withColumnRenamed("__evidence", "evidence"), "__h", "__l")
+    full = scored([*[F.col(c) for c in columns], *site], columns, True)
     joined = full.join(sites, F.col("__h").eqNullSafe(F.col("__host")) & F.col("__l").eqNullSafe(F.col("__path")), "left")
     odds = F.col("__evidence") + site_weight * (_logit(F.col("path_p")) - _logit(F.col("world_p")))
     return joined.select(
