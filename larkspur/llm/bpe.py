@@ -196,13 +196,16 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern)
-        for batch in batches:
-            texts = k.texts_of(batch.column(1))
-            for at, end in k.pieces(texts, 1 << 22):
-                ids = encoder.encode_all(texts.slice(at, end - at).to_pylist())
-                digests = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
-                decoded = [hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids]
-                columns = [batch.column(0).slice(at, end - at), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))] * with_ids, schema.names)
+        try:
+            for batch in batches:
+                texts = k.texts_of(batch.column(1))
+                for at, end in k.pieces(texts, 1 << 22):
+                    ids = encoder.encode_all(texts.slice(at, end - at).to_pylist())
+                    digests = [hashlib.sha256(x.tobytes()).hexdigest() for x in ids]
+                    decoded = [hashlib.sha256(encoder.decode(x)).hexdigest() for x in ids]
+                    columns = [batch.column(0).slice(at, end - at), pa.array(map(len, ids), pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns + [pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))] * with_ids, schema.names)
+        finally:
+            encoder.vocabulary.pieces.clear()  # a worker lives on for other tasks
 
     return docs.select(id_column, text_column).mapInArrow(run, schema)
