@@ -113,16 +113,23 @@ def _prefix_hash(words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _padded(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]) // 4
-    return np.frombuffer(b"".join([x.ljust(4 * width, b"\0") for x in column.to_pylist()]), "<u4").reshape(len(column), width), sizes
+def _padded(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of 32-bit hashes, filled up with 0, and how many each has; straight from the column's buffers."""
+    out, sizes, at = np.zeros((len(column), width), np.uint32), np.zeros(len(column), np.int64), 0
+    for chunk in column.chunks:
+        offsets = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+        own = sizes[at : at + len(chunk)] = np.diff(offsets) // 4
+        if offsets[-1] > offsets[0]:
+            out[at : at + len(chunk)][np.arange(width) < own[:, None]] = np.frombuffer(chunk.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view("<u4")
+        at += len(chunk)
+    return out, sizes
 
 
 def _compared(table: pa.Table) -> pa.RecordBatch | None:
     """Sorted suffixes of whole buckets: doc_id, start and end of the words around each that another document has too."""
     bucket, doc, pos = (table.column(c).to_numpy() for c in range(3))
-    left, l_size = _padded(table.column(3).combine_chunks(), WINDOW - 1)
-    right, r_size = _padded(table.column(4).combine_chunks(), SHORTEST)
+    left, l_size = _padded(table.column(3), WINDOW - 1)
+    right, r_size = _padded(table.column(4), SHORTEST)
     # What neighbours in sorted order have in common; none across buckets.
     same = right[1:] == right[:-1]
     common = np.where(same.all(1), SHORTEST, same.argmin(1))
