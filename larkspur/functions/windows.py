@@ -54,26 +54,26 @@ def weighted(x: Column, weights: Sequence[float], order: Order = POS, by: Sequen
 
 def returns(x: Column, kind: str = "percentage", n: int = 1, order: Order = POS, by: Sequence[str] = ()) -> Column:
     p = lagged(x, n, order, by)
-    return {"log": F.log(x / p), "percentage": x / p - 1, "monetary": x - p, "trinary": F.signum(x - p)}[kind]
+    return {"log": F.log(F.try_divide(x, p)), "percentage": F.try_divide(x, p) - 1, "monetary": x - p, "trinary": F.signum(x - p)}[kind]
 
 
 def z_score(x: Column, by: Sequence[str] = ()) -> Column:
     w = Window.partitionBy(*by)
-    return (x - F.avg(x).over(w)) / F.stddev_samp(x).over(w)
+    return F.try_divide(x - F.avg(x).over(w), F.stddev_samp(x).over(w))
 
 
 def normalize(x: Column, kind: str = "min_max", by: Sequence[str] = ()) -> Column:
     w = Window.partitionBy(*by)
     low, high = F.min(x).over(w), F.max(x).over(w)
     return {
-        "min_max": (x - low) / (high - low), "simple": x / F.sum(x).over(w), "euclidean": x / F.sqrt(F.sum(x * x).over(w)), "maxi": x / high, "z_score": z_score(x, by),
+        "min_max": F.try_divide(x - low, high - low), "simple": F.try_divide(x, F.sum(x).over(w)), "euclidean": F.try_divide(x, F.sqrt(F.sum(x * x).over(w))), "maxi": F.try_divide(x, high), "z_score": z_score(x, by),
         "decimal_scaling": x / F.pow(F.lit(10.0), F.floor(F.log10(F.max(F.abs(x)).over(w))) + 1), "log_transform": F.log(x), "root_transform": F.sqrt(x), "unit_length": x / F.sqrt(F.sum(x * x).over(w)),
     }[kind]
 
 
 def probability(x: Column, kind: str = "arithmetic", by: Sequence[str] = ()) -> Column:
     v = {"arithmetic": x, "log": F.log(x), "softmax": F.exp(x), "pow2": F.pow(F.lit(2.0), x), "pow10": F.pow(F.lit(10.0), x)}[kind]
-    return v / F.sum(v).over(Window.partitionBy(*by))
+    return F.try_divide(v, F.sum(v).over(Window.partitionBy(*by)))
 
 
 def category(x: str, order: str = POS, by: Sequence[str] = ()) -> Column:
@@ -118,7 +118,7 @@ def hampel(df, name: str, n: int, deviations: float = 3.0, kind: str = "median",
 
 def drawdown(x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
     top = cumulative(F.max, x, order, by)
-    return F.struct((top - x).alias("drawdown"), (1 - x / top).alias("percent"), F.log(top / x).alias("log"))
+    return F.struct((top - x).alias("drawdown"), (1 - F.try_divide(x, top)).alias("percent"), F.log(F.try_divide(top, x)).alias("log"))
 
 
 def double_cross_over(x: Column, short: int, long: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -137,7 +137,7 @@ def rolling_mid(low: Column, high: Column, n: int, order: Order = POS, by: Seque
 
 def williams_r(low: Column, high: Column, close: Column, n: int = 14, order: Order = POS, by: Sequence[str] = ()) -> Column:
     a, b = rolling(F.min, n, low, order=order, by=by), rolling(F.max, n, high, order=order, by=by)
-    return 100 * ((close - a) / (b - a) - 1)
+    return 100 * (F.try_divide(close - a, b - a) - 1)
 
 
 def psychological_line(close: Column, n: int = 14, open_: Column | None = None, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -150,30 +150,30 @@ def commodity_channel(low: Column, high: Column, close: Column, n: int = 14, lam
     values = F.collect_list(price).over(trailing(n, order, by))
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / n
     spread = F.aggregate(values, F.lit(0.0), lambda a, v: a + F.abs(v - mean)) / n
-    return full(n, (price - mean) / (lambert * spread), order, by)
+    return full(n, F.try_divide(price - mean, lambert * spread), order, by)
 
 
 def garman_klass(low: Column, high: Column, open_: Column, close: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    v = 0.5 * F.pow(F.log(high / low), 2) - (2 * math.log(2) - 1) * F.pow(F.log(close / open_), 2)
+    v = 0.5 * F.pow(F.log(F.try_divide(high, low)), 2) - (2 * math.log(2) - 1) * F.pow(F.log(F.try_divide(close, open_)), 2)
     return F.sqrt(periods * preceding(F.avg, n, v, order=order, by=by))
 
 
 def parkinson(low: Column, high: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return F.sqrt(periods * rolling(F.avg, n, F.pow(F.log(high / low), 2) / (4 * math.log(2)), order=order, by=by))
+    return F.sqrt(periods * rolling(F.avg, n, F.pow(F.log(F.try_divide(high, low)), 2) / (4 * math.log(2)), order=order, by=by))
 
 
 def yang_zhang(low: Column, high: Column, open_: Column, close: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
     before = lagged(close, 1, order, by)
-    o, c = F.log(open_ / before), F.log(close / before)
-    rs = F.log(high / close) * F.log(high / open_) + F.log(low / close) * F.log(low / open_)
+    o, c = F.log(F.try_divide(open_, before)), F.log(F.try_divide(close, before))
+    rs = F.log(F.try_divide(high, close)) * F.log(F.try_divide(high, open_)) + F.log(F.try_divide(low, close)) * F.log(F.try_divide(low, open_))
     var = lambda v: preceding(F.var_samp, n, v, order=order, by=by)
     return F.sqrt(periods * (var(o) + k * var(c) + (1 - k) * preceding(F.avg, n, rs, order=order, by=by)))
 
 
 def hodges_tompkins(x: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
     size = F.count("*").over(Window.partitionBy(*by)) - n + 1
-    adjust = 1 / (1 - n / size + (n * n - 1) / (3 * size * size))
+    adjust = F.try_divide(F.lit(1.0), 1 - F.try_divide(F.lit(n), size) + F.try_divide(F.lit(n * n - 1), 3 * size * size))
     return rolling(F.stddev_samp, n, returns(x, "log", 1, order, by), order=order, by=by) * math.sqrt(periods) * adjust
 
 
@@ -185,13 +185,13 @@ def slope(x: Column, n: int = 1, angle: bool = False, degrees: bool = False, ord
 def ultimate_oscillator(low: Column, high: Column, close: Column, fast: int = 7, medium: int = 14, slow: int = 28, order: Order = POS, by: Sequence[str] = ()) -> Column:
     before = lagged(close, 1, order, by)
     bp, tr = close - F.least(low, before), F.greatest(high, before) - F.least(low, before)
-    part = lambda n: rolling(F.sum, n, bp, order=order, by=by) / rolling(F.sum, n, tr, order=order, by=by)
+    part = lambda n: F.try_divide(rolling(F.sum, n, bp, order=order, by=by), rolling(F.sum, n, tr, order=order, by=by))
     return 100 * (4 * part(fast) + 2 * part(medium) + part(slow)) / 7
 
 
 def ulcer_index(x: Column, n: int = 14, use_sum: bool = True, order: Order = POS, by: Sequence[str] = ()) -> Column:
     top = F.max(x).over(trailing(n, order, by))
-    down = F.pow(100 * (x - top) / top, 2)
+    down = F.pow(F.try_divide(100 * (x - top), top), 2)
     return F.sqrt(rolling(F.sum if use_sum else F.avg, n, down, order=order, by=by) / n)
 
 
@@ -207,7 +207,7 @@ def pivot_points(low: Column, high: Column, close: Column) -> Column:
 
 
 def centre_of_gravity(x: Column, n: int = 10, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return full(n, -weighted(x, list(range(1, n + 1)), order, by) / F.sum(x).over(trailing(n, order, by)), order, by)
+    return full(n, F.try_divide(-weighted(x, list(range(1, n + 1)), order, by), F.sum(x).over(trailing(n, order, by))), order, by)
 
 
 def arnaud_legoux(x: Column, n: int = 10, sigma: float = 6.0, offset: float = 0.85, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -216,19 +216,19 @@ def arnaud_legoux(x: Column, n: int = 10, sigma: float = 6.0, offset: float = 0.
 
 
 def rate_of_change(x: Column, n: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return diff(x, n, order, by) / lagged(x, n, order, by)
+    return F.try_divide(diff(x, n, order, by), lagged(x, n, order, by))
 
 
 def accumulation(low: Column, high: Column, open_: Column, close: Column, volume: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return cumulative(F.sum, (close - open_) * volume / (high - low), order, by)
+    return cumulative(F.sum, F.try_divide((close - open_) * volume, high - low), order, by)
 
 
 def chaikin_money_flow(low: Column, high: Column, open_: Column, close: Column, volume: Column, n: int = 21, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return rolling(F.sum, n, (close - open_) * volume / (high - low), order=order, by=by) / rolling(F.sum, n, volume, order=order, by=by)
+    return F.try_divide(rolling(F.sum, n, F.try_divide((close - open_) * volume, high - low), order=order, by=by), rolling(F.sum, n, volume, order=order, by=by))
 
 
 def vertical_horizontal(x: Column, n: int = 28, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return (rolling(F.max, n, x, order=order, by=by) - rolling(F.min, n, x, order=order, by=by)) / rolling(F.sum, n, diff(x, 1, order, by, True), order=order, by=by)
+    return F.try_divide(rolling(F.max, n, x, order=order, by=by) - rolling(F.min, n, x, order=order, by=by), rolling(F.sum, n, diff(x, 1, order, by, True), order=order, by=by))
 
 
 def on_balance_volume(close: Column, volume: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -249,13 +249,13 @@ def coppock(x: Column, long: int = 14, short: int = 11, n: int = 10, order: Orde
 
 
 def balance_of_power(low: Column, high: Column, open_: Column, close: Column) -> Column:
-    return (close - open_) / (high - low)
+    return F.try_divide(close - open_, high - low)
 
 
 def vortex(low: Column, high: Column, close: Column, n: int = 14, order: Order = POS, by: Sequence[str] = ()) -> Column:
     tr = rolling(F.sum, n, true_range(low, high, close, order, by), order=order, by=by)
     up, down = F.abs(high - lagged(low, 1, order, by)), F.abs(low - lagged(high, 1, order, by))
-    return F.struct((rolling(F.sum, n, up, order=order, by=by) / tr).alias("plus"), (rolling(F.sum, n, down, order=order, by=by) / tr).alias("minus"))
+    return F.struct(F.try_divide(rolling(F.sum, n, up, order=order, by=by), tr).alias("plus"), F.try_divide(rolling(F.sum, n, down, order=order, by=by), tr).alias("minus"))
 
 
 def detrended_price(x: Column, n: int = 20, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -263,7 +263,7 @@ def detrended_price(x: Column, n: int = 20, order: Order = POS, by: Sequence[str
 
 
 def acceleration_bands(close: Column, high: Column, low: Column, n: int = 20, multiplier: float = 4.0, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    k = multiplier * (high - low) / (high + low)
+    k = F.try_divide(multiplier * (high - low), high + low)
     mean = lambda v: rolling(F.avg, n, v, order=order, by=by)
     return F.struct(mean(low * (1 - k)).alias("lower"), mean(close).alias("middle"), mean(high * (1 + k)).alias("upper"))
 
@@ -273,7 +273,7 @@ def price_distance(low: Column, high: Column, open_: Column, close: Column, orde
 
 
 def ease_of_movement(low: Column, high: Column, volume: Column, n: int = 14, divisor: float = 1e8, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return rolling(F.avg, n, diff((high + low) / 2, 1, order, by) / ((volume / divisor) / (high - low)), order=order, by=by)
+    return rolling(F.avg, n, F.try_divide(diff((high + low) / 2, 1, order, by) * (high - low), volume / divisor), order=order, by=by)
 
 
 def price_volume_trend(close: Column, volume: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -288,7 +288,7 @@ def chop_index(low: Column, high: Column, close: Column, n: int = 14, order: Ord
 
 def relative_vigor(low: Column, high: Column, open_: Column, close: Column, n: int = 14, triangle: int = 4, order: Order = POS, by: Sequence[str] = ()) -> Column:
     mean = lambda v: symmetric_triangle_mean(v, triangle, order, by)
-    return rolling(F.sum, n, mean(close - open_), order=order, by=by) / rolling(F.sum, n, mean(high - low), order=order, by=by)
+    return F.try_divide(rolling(F.sum, n, mean(close - open_), order=order, by=by), rolling(F.sum, n, mean(high - low), order=order, by=by))
 
 
 def peaks_and_valleys(x: Column, index: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -301,7 +301,7 @@ def peaks_and_valleys(x: Column, index: Column, order: Order = POS, by: Sequence
 
 
 def bias(x: Column, n: int = 26, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return x / rolling(F.avg, n, x, order=order, by=by) - 1
+    return F.try_divide(x, rolling(F.avg, n, x, order=order, by=by)) - 1
 
 
 def non_zero_range(a: Column, b: Column, by: Sequence[str] = ()) -> Column:
@@ -313,11 +313,11 @@ def non_zero_range(a: Column, b: Column, by: Sequence[str] = ()) -> Column:
 def gradient(f: Column, c: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
     df_ = F.coalesce(lagged(f, -1, order, by), f) - F.coalesce(lagged(f, 1, order, by), f)
     dc = F.coalesce(lagged(c, -1, order, by), c) - F.coalesce(lagged(c, 1, order, by), c)
-    return F.when(dc == 0, 0.0).otherwise(df_ / dc)
+    return F.coalesce(F.try_divide(df_, dc), F.lit(0.0))
 
 
 def entropy(x: Column, n: int, base: float = 2, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    p = x / F.sum(x).over(trailing(n, order, by))
+    p = F.try_divide(x, F.sum(x).over(trailing(n, order, by)))
     return rolling(F.sum, n, -p * F.log(p) / math.log(base), order=order, by=by)
 
 

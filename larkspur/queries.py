@@ -579,6 +579,38 @@ _bar_query("psychological_line", "round(100 * sum((close > open)::INT) OVER w5 /
 _bar_query("price_distance", "CASE WHEN row_number() OVER w >= 2 THEN round(2 * (high - low) + abs(lead(open) OVER w - close) - abs(close - open), 4) END", lambda l, h, o, c, v: W.price_distance(l, h, o, c, **DAY))
 _bar_query("detrended_price", "round(close - CASE WHEN row_number() OVER w >= 8 THEN (lag(close, 3) OVER w + lag(close, 4) OVER w + lag(close, 5) OVER w + lag(close, 6) OVER w + lag(close, 7) OVER w) / 5 END, 4)", lambda l, h, o, c, v: W.rolling(F.first, 1, c, **DAY) - F.when(F.row_number().over(ordered(**DAY)) >= 8, sum((F.lag(c, i).over(ordered(**DAY)) for i in range(4, 8)), F.lag(c, 3).over(ordered(**DAY))) / 5))
 
+_bar_query("commodity_channel", None, lambda l, h, o, c, v: W.commodity_channel(l, h, c, 5, **DAY))
+_bar_query("garman_klass", None, lambda l, h, o, c, v: W.garman_klass(l, h, o, c, 5, **DAY))
+_bar_query("parkinson", None, lambda l, h, o, c, v: W.parkinson(l, h, 5, **DAY))
+_bar_query("yang_zhang", None, lambda l, h, o, c, v: W.yang_zhang(l, h, o, c, 5, **DAY))
+_bar_query("hodges_tompkins", None, lambda l, h, o, c, v: W.hodges_tompkins(c, 5, **DAY))
+_bar_query("slope", "round((close - lag(close, 2) OVER w) / 2, 4)", lambda l, h, o, c, v: W.slope(c, 2, **DAY))
+_bar_query("ultimate_oscillator", None, lambda l, h, o, c, v: W.ultimate_oscillator(l, h, c, 3, 5, 7, **DAY))
+_bar_query("ulcer_index", None, lambda l, h, o, c, v: W.ulcer_index(c, 5, **DAY))
+_bar_query("centre_of_gravity", None, lambda l, h, o, c, v: W.centre_of_gravity(c, 5, **DAY))
+_bar_query("arnaud_legoux", None, lambda l, h, o, c, v: W.arnaud_legoux(c, 5, **DAY))
+_bar_query("rate_of_change", "round((close - lag(close) OVER w) / nullif(lag(close) OVER w, 0), 4)", lambda l, h, o, c, v: W.rate_of_change(c, 1, **DAY))
+_bar_query("accumulation", None, lambda l, h, o, c, v: W.accumulation(l, h, o, c, v, **DAY))
+_bar_query("chaikin_money_flow", _full.format("round(sum((close - open) * volume / nullif(high - low, 0)) OVER w5 / sum(volume) OVER w5, 4)"), lambda l, h, o, c, v: W.chaikin_money_flow(l, h, o, c, v, 5, **DAY))
+_bar_query("vertical_horizontal", None, lambda l, h, o, c, v: W.vertical_horizontal(c, 5, **DAY))
+_bar_query("decay", "round(greatest(close, lag(close) OVER w - 0.2, 0), 4)", lambda l, h, o, c, v: W.decay(c, 5, **DAY))
+_bar_query("coppock", None, lambda l, h, o, c, v: W.coppock(c, 4, 3, 3, **DAY))
+_bar_query("balance_of_power", "round((close - open) / nullif(high - low, 0), 4)", lambda l, h, o, c, v: W.balance_of_power(l, h, o, c))
+_bar_query("vortex", None, lambda l, h, o, c, v: W.vortex(l, h, c, 5, **DAY)["plus"])
+_bar_query("acceleration_bands", None, lambda l, h, o, c, v: W.acceleration_bands(c, h, l, 5, **DAY)["upper"])
+_bar_query("ease_of_movement", None, lambda l, h, o, c, v: W.ease_of_movement(l, h, v, 5, **DAY))
+_bar_query("price_volume_trend", None, lambda l, h, o, c, v: W.price_volume_trend(c, v, **DAY))
+_bar_query("chop_index", None, lambda l, h, o, c, v: W.chop_index(l, h, c, 5, **DAY))
+_bar_query("relative_vigor", None, lambda l, h, o, c, v: W.relative_vigor(l, h, o, c, 5, **DAY))
+_bar_query("peaks_and_valleys", None, lambda l, h, o, c, v: W.peaks_and_valleys(c, F.col("day"), **DAY)["peak"]["value"])
+_bar_query("bias", _full.format("round(close / nullif(avg(close) OVER w5, 0) - 1, 4)"), lambda l, h, o, c, v: W.bias(c, 5, **DAY))
+_bar_query("symmetric_triangle", "CASE WHEN row_number() OVER w >= 5 THEN round((lag(close) OVER w + 2 * lag(close, 2) OVER w + 2 * lag(close, 3) OVER w + lag(close, 4) OVER w) / 6, 4) END", lambda l, h, o, c, v: W.symmetric_triangle_mean(c, 4, **DAY))
+_bar_query("weighted_mean", "CASE WHEN row_number() OVER w >= 3 THEN round((3 * close + 2 * lag(close) OVER w + lag(close, 2) OVER w) / 6, 4) END", lambda l, h, o, c, v: W.weighted_mean(c, 3, **DAY))
+_bar_query("double_cross_over", None, lambda l, h, o, c, v: W.double_cross_over(c, 3, 6, **DAY)["short_to_long"])
+_bar_query("expo_smoother", "round(coalesce(lag(close) OVER w, close) + 0.3 * (close - coalesce(lag(close) OVER w, close)), 4)", lambda l, h, o, c, v: W.expo_smoother(c, 0.3, **DAY))
+_bar_query("gradient", None, lambda l, h, o, c, v: W.gradient(c, F.unix_date(F.col("day").cast("date")).cast("double"), **DAY))
+_bar_query("clip", "round(least(greatest(close, 50), 200), 4)", lambda l, h, o, c, v: S.clip(c, 50.0, 200.0))
+
 
 def _kernel_query(name, kernel, columns, output, **options):
     def make(t):
