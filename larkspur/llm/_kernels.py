@@ -6,6 +6,10 @@ hashes are found for many texts at once, without a Python string per word.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,6 +76,24 @@ def pieces(texts: pa.StringArray, most_bytes: int = 1 << 19) -> Iterator[tuple[i
         at = end
 
 
+def tidy(run):
+    """A worker's function over batches that gives memory back when a task ends, since workers live on for other stages."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            global _powers
+            _powers = np.ones(1, U64), np.ones(1, U64)
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # glibc alone keeps what is freed
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
 class Hasher:
     """Hashes of any byte ranges of a buffer in constant time each."""
 

@@ -208,4 +208,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_column: str =
         finally:
             encoder.vocabulary.pieces.clear()  # a worker lives on for other tasks
 
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+    return docs.select(id_column, text_column).mapInArrow(k.tidy(run), schema)

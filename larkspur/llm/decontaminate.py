@@ -207,7 +207,7 @@ def _pass(df: DataFrame, at: int, block: list[tuple[int, bytes]], edit_rate: flo
                     found = [sorted({*x, *y}) for x, y in zip(found, batch.column(n).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, pa.list_(pa.int64()))], schema.names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(k.tidy(run), schema)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, edit_rate: float = EDIT_RATE) -> DataFrame:

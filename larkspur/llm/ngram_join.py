@@ -72,7 +72,7 @@ def _sets(docs: DataFrame, n: int) -> DataFrame:
                     ["doc_id", "signature", "size", "minima"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, signature binary, size int, minima binary")
+    return docs.select("doc_id", "text").mapInArrow(k.tidy(run), "doc_id bigint, signature binary, size int, minima binary")
 
 
 def _split(path: np.ndarray, row: np.ndarray, minima: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +111,7 @@ def _descend(rows: DataFrame, levels: int, threshold: float, runs: int = 0) -> D
                 path, row = _split(path, row, minima, threshold)
             yield pa.RecordBatch.from_arrays([pa.array(batch.column(0).to_numpy(zero_copy_only=False)[row]), pa.array(path.view(np.int64))], ["rep", "path"])
 
-    return rows.mapInArrow(run, "rep bigint, path bigint")
+    return rows.mapInArrow(k.tidy(run), "rep bigint, path bigint")
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[pa.Array]]:
@@ -195,7 +195,7 @@ def _likely(rows: DataFrame, threshold: float) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([c.take(some) for c in group[:7]], names)
 
     names = ["path", "i", "j", "blocks", "rep", "copies", "leaves"]
-    return rows.select(*names, "sketch").mapInArrow(run, T.StructType([rows.schema[n] for n in names]))
+    return rows.select(*names, "sketch").mapInArrow(k.tidy(run), T.StructType([rows.schema[n] for n in names]))
 
 
 def _verified(rows: DataFrame, threshold: float) -> DataFrame:
@@ -231,7 +231,7 @@ def _verified(rows: DataFrame, threshold: float) -> DataFrame:
             some = np.unique(np.concatenate([a, b]))
             yield pa.RecordBatch.from_arrays([pa.array(rep[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], ["rep", "links", "root"])
 
-    return rows.mapInArrow(run, "rep bigint, links bigint, root bigint")
+    return rows.mapInArrow(k.tidy(run), "rep bigint, links bigint, root bigint")
 
 
 def _shared_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in small], pa.binary()), batch.column(3)], ["rep", "copies", "sketch", "own"])
 
     joined = members.join(per_rep, "rep").select("rep", "copies", "minima", "own")
-    joined = joined.mapInArrow(sketches, T.StructType([joined.schema["rep"], joined.schema["copies"], T.StructField("sketch", T.BinaryType()), joined.schema["own"]]))
+    joined = joined.mapInArrow(k.tidy(sketches), T.StructType([joined.schema["rep"], joined.schema["copies"], T.StructField("sketch", T.BinaryType()), joined.schema["own"]]))
     placed = joined.select("rep", "copies", "sketch", F.col("own.path").alias("leaves"), F.explode("own").alias("leaf")).select("rep", "copies", "sketch", "leaves", F.col("leaf.path").alias("path"), F.col("leaf.blocks").alias("blocks"))
     placed = _dealt(placed)
     likely = scratch.write(_likely(placed.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j"), threshold), "likely")
@@ -322,7 +322,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
                 own = [x.tobytes() for x in shingle_sets(texts.slice(a, b - a), n)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in (0, 2, 3, 4)), pa.array(own, pa.binary())], ["rep", "copies", "leaves", "at", "tokens"])
 
-    whole = texts.mapInArrow(shipped, T.StructType([texts.schema[c] for c in ("rep", "copies", "leaves", "at")] + [T.StructField("tokens", T.BinaryType())]))
+    whole = texts.mapInArrow(k.tidy(shipped), T.StructType([texts.schema[c] for c in ("rep", "copies", "leaves", "at")] + [T.StructField("tokens", T.BinaryType())]))
     whole = whole.select("rep", "copies", "leaves", "tokens", F.explode("at").alias("at")).select("at.path", "at.i", "at.j", "at.blocks", "rep", "copies", "leaves", "tokens")
     checked = scratch.write(_verified(whole.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j"), threshold), "checked")
 
@@ -356,7 +356,7 @@ def _dealt(placed: DataFrame) -> DataFrame:
 
     names = ["rep", "copies", "sketch", "leaves", "path", "blocks", "i", "j"]
     rows = placed.select(*names[:6])
-    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
+    return rows.mapInArrow(k.tidy(run), T.StructType([*rows.schema.fields, T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType())]))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:

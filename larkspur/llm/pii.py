@@ -273,7 +273,7 @@ def detect(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows)) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:]], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(k.tidy(run), schema)
 
 
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -287,4 +287,4 @@ def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
                 texts = [None if x is None else redact(x, find_spans(x, model)[1]) for x in batch.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(k.tidy(run), schema)

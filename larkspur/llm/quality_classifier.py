@@ -99,7 +99,7 @@ def fit_evidence(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, l
     seen = (
         docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"])
         .select("text", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
-        .mapInArrow(stats, "quality int, toxic int, features array<double>, words array<bigint>")
+        .mapInArrow(k.tidy(stats), "quality int, toxic int, features array<double>, words array<bigint>")
     )
     # Words are counted where they are; only those in the most toxic and fewest other texts come back.
     counted = (
@@ -189,7 +189,7 @@ def classify(docs: DataFrame, evidence: Evidence | None, host: str = "source", p
         at = names.index("text") if "text" in names else len(keep)  # a text that is kept goes to Python once
         source = docs.select(*keep, *([] if "text" in names else [F.col("text").alias("__text")]))
         fields = source.schema.fields[: len(keep)] + extra
-        return source.mapInArrow(scorer(at, len(keep), [f.name for f in fields], toxic), T.StructType(fields))
+        return source.mapInArrow(k.tidy(scorer(at, len(keep), [f.name for f in fields], toxic)), T.StructType(fields))
 
     site = [F.col(host).alias("__h"), F.col(path).alias("__l")]
     sites = site_posteriors(scored(site, [], False).withColumnRenamed("__evidence", "evidence"), "__h", "__l")

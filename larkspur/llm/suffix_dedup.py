@@ -66,7 +66,7 @@ def _positions(docs: DataFrame) -> DataFrame:
                 row = np.searchsorted(counts, places, "right") - 1
                 yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(ids[a:b][row]), pa.array((places - counts[row]).astype(np.int32))], ["gram", "doc_id", "pos"])
 
-    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(run, "gram bigint, doc_id bigint, pos int")
+    return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(k.tidy(run), "gram bigint, doc_id bigint, pos int")
 
 
 def _suffixes(rows: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _suffixes(rows: DataFrame) -> DataFrame:
                                 ["bucket", "doc_id", "pos", "left", "right"],
                             )
 
-    return rows.mapInArrow(run, "bucket bigint, doc_id bigint, pos int, left binary, right binary")
+    return rows.mapInArrow(k.tidy(run), "bucket bigint, doc_id bigint, pos int, left binary, right binary")
 
 
 def _prefix_hash(words: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ def _matches(suffixes: DataFrame) -> DataFrame:
             if out is not None:
                 yield out
 
-    return suffixes.mapInArrow(run, "doc_id bigint, start bigint, end bigint")
+    return suffixes.mapInArrow(k.tidy(run), "doc_id bigint, start bigint, end bigint")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

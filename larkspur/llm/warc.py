@@ -11,6 +11,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from larkspur.llm import _kernels as k
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Payloads with fewer bytes are always stored whole.
@@ -112,7 +113,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()])], schema.names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
-    return files.mapInArrow(run, schema)
+    return files.mapInArrow(k.tidy(run), schema)
 
 
 ARCHIVES_SQL = f"""
