@@ -28,14 +28,39 @@ _FACTOR = _rng.integers(1, 1 << 63, WIDTH, dtype=np.uint64) * np.uint64(2) + np.
 _SHIFT = _rng.integers(0, 1 << 63, WIDTH, dtype=np.uint64)
 
 
-def runs_needed(threshold: float, recall: float, depth: int) -> int:
-    """Runs after which a pair at the threshold has met in a leaf with probability ``recall``."""
-    two = 1 / threshold - 1  # the share of buckets that sample two coordinates: 1 / threshold on average
+def _spread(threshold: float) -> list[float]:
+    """How likely a pair at the threshold has 0, 1, ... WIDTH minima in common."""
+    return [math.comb(WIDTH, c) * threshold**c * (1 - threshold) ** (WIDTH - c) for c in range(WIDTH + 1)]
+
+
+def least_common(threshold: float, recall: float) -> int:
+    """Common minima below which a pair is not compared: four deviations, or more where a tenth of the allowed loss needs it."""
+    least = math.ceil((threshold - 4 * math.sqrt(threshold * (1 - threshold) / WIDTH)) * WIDTH)
+    while least > 0 and sum(_spread(threshold)[:least]) > (1 - recall) / 10:
+        least -= 1
+    return max(0, least)
+
+
+def _lost(common: int, threshold: float, depth: int) -> float:
+    """How likely a pair with so many common minima shares no bucket ``depth`` levels down in one run."""
+    two = min(1.0, 1 / threshold - 1)  # the share of buckets that sample two coordinates: 1 / threshold on average
+    one = common / WIDTH
+    both = one * (common - 1) / (WIDTH - 1)
     lost = 0.0
     for _ in range(depth):
-        meets = threshold * (1 - lost)
-        lost = (1 - two) * (1 - meets) + two * (1 - meets) ** 2
-    return max(1, math.ceil(math.log(1 - recall) / math.log(lost)))
+        lost = (1 - two) * (1 - one + one * lost) + two * (1 - 2 * one + both + 2 * (one - both) * lost + both * lost**2)
+    return lost
+
+
+def runs_needed(threshold: float, recall: float, depth: int) -> int:
+    """Runs after which a pair at the threshold has met in a leaf with probability ``recall``, over the spread of its common minima."""
+    least = least_common(threshold, recall)
+    spread = _spread(threshold)
+    lost = [_lost(c, threshold, depth) for c in range(least, WIDTH + 1)]
+    missed, runs = sum(spread[:least]), 1
+    while missed + sum(p * x**runs for p, x in zip(spread[least:], lost)) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def shingle_sets(texts: pa.StringArray, n: int) -> Iterator[np.ndarray]:
@@ -175,9 +200,8 @@ def _distinct(columns: list[pa.Array], at: int) -> list[pa.Array]:
     return [c.take(pa.array(first)) for c in columns] if len(first) < len(rep) else columns
 
 
-def _likely(rows: DataFrame, threshold: float) -> DataFrame:
-    """path, i, j, blocks, rep, copies and leaves of the members that have a partner whose sketch is near."""
-    least = (threshold - 4 * math.sqrt(threshold * (1 - threshold) / WIDTH)) * WIDTH
+def _likely(rows: DataFrame, least: int) -> DataFrame:
+    """path, i, j, blocks, rep, copies and leaves of the members that have a partner with ``least`` equal values in the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _by_group(batches, 3):
@@ -282,7 +306,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     members = groups.select(F.col("rep").alias("doc_id"), "signature", "copies").join(own.hint("merge"), "doc_id").where("signature = of").dropDuplicates(["doc_id"])
     members = scratch.write(members.select(F.col("doc_id").alias("rep"), "copies", "minima"), "members")
 
-    runs = runs_needed(threshold, recall, DEPTHS[0] + 1)
+    # For the deepest leaves: members of large buckets go on with the same runs.
+    runs = runs_needed(threshold, recall, DEPTHS[-1])
     found = _descend(members.select("rep", "minima"), DEPTHS[0], threshold, runs)
     leaves: DataFrame | None = None
     for depth, following in zip(DEPTHS, (*DEPTHS[1:], None)):
@@ -309,7 +334,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     joined = joined.mapInArrow(k.tidy(sketches), T.StructType([joined.schema["rep"], joined.schema["copies"], T.StructField("sketch", T.BinaryType()), joined.schema["own"]]))
     placed = joined.select("rep", "copies", "sketch", F.col("own.path").alias("leaves"), F.explode("own").alias("leaf")).select("rep", "copies", "sketch", "leaves", F.col("leaf.path").alias("path"), F.col("leaf.blocks").alias("blocks"))
     placed = _dealt(placed)
-    likely = scratch.write(_likely(placed.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j"), threshold), "likely")
+    likely = scratch.write(_likely(placed.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j"), least_common(threshold, recall)), "likely")
 
     wanted = likely.groupBy("rep").agg(F.first("copies").alias("copies"), F.first("leaves").alias("leaves"), F.collect_list(F.struct("path", "i", "j", "blocks")).alias("at"))
     # Always by sorting: the plan is the same at every size.

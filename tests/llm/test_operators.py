@@ -103,6 +103,24 @@ def test_runs_reach_the_recall():
     assert ngram_join.runs_needed(0.8, 0.99, 2) <= ngram_join.runs_needed(0.8, 0.99, 6)
 
 
+def test_pairs_at_the_threshold_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LIMIT", 1)  # every bucket counts as large and descends to the last depth
+    r, pairs, rows = random.Random(8), 1500, []
+    for i in range(pairs):
+        words = [f"w{r.getrandbits(48)}" for _ in range(104)]
+        rows += [(2 * i, " ".join(words[:94])), (2 * i + 1, " ".join(words[:84] + words[94:]))]  # 80 of 100 shingles in common
+    found = ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id % 2 = 1 AND n_links = 1").count()
+    assert found >= 0.99 * pairs
+
+
+def test_runs_cover_the_deepest_leaves():
+    r, depth = random.Random(9), ngram_join.DEPTHS[-1]
+    runs = ngram_join.runs_needed(0.8, 0.995, depth)
+    lost = [ngram_join._lost(sum(r.random() < 0.8 for _ in range(ngram_join.WIDTH)), 0.8, depth) ** runs for _ in range(4000)]
+    assert sum(lost) / len(lost) <= 0.006
+    assert ngram_join.least_common(0.8, 0.9999) <= ngram_join.least_common(0.8, 0.995)
+
+
 # Repeated passages
 
 
