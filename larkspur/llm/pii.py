@@ -75,8 +75,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 #: Each generator's kind and pattern; all need a digit, an @ or a word for it, which _MAYBE finds.
 GENERATORS = (
-    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|auth)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,200}")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,60}[0-9])[A-Za-z0-9+/_=-]{16,200}(?![A-Za-z0-9+/_=-])")),
+    ("secret", re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key|auth)[\x20]?[=:][\x20]?[\"']?[^\s\"']{6,}+")),
+    ("secret", re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}+")),
     ("account", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("account", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("account", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){7,18}(?![0-9A-Za-z])")),
@@ -84,13 +84,16 @@ GENERATORS = (
     ("contact", re.compile(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,64}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]{2,24})+")),
     ("contact", re.compile(r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){4,7}[0-9a-f]{1,4}(?![0-9a-f:])")),
 )
+#: The generator of unbroken runs, which must hold a digit somewhere.
+_RUNS = 1
+_DIGIT = re.compile("[0-9]")
 _MAYBE = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key|auth)[\x20]?[=:]|(?i:[\[(]\x20?at\x20?[\])])")
 _WORDS = ("password", "token", "secret", "key", "ssn", "account", "iban", "phone", "call", "contact", "mail", "order", "invoice", "version", "build", "page", "isbn", "commit", "date", "id")
 
 
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
     """Kind, start, end and generator of every proposal; they may overlap."""
-    return [(kind, *m.span(), g) for g, (kind, pattern) in enumerate(GENERATORS) for m in pattern.finditer(text)]
+    return [(kind, *m.span(), g) for g, (kind, pattern) in enumerate(GENERATORS) for m in pattern.finditer(text) if g != _RUNS or _DIGIT.search(text, *m.span())]
 
 
 def features(text: str, start: int, end: int, generator: int) -> list[float]:

@@ -318,6 +318,18 @@ def test_added_spans_and_redaction(docs, none):
     assert pii.detect(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [200, 201, 360, 5000])
+def test_long_secrets_are_whole(length):
+    r, model = random.Random(length), pii.trained()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    key = "".join(r.choice(letters + "0123456789") for _ in range(length))
+    late = "".join(r.choice(letters) for _ in range(100)) + key[100:]
+    for before, secret in (("token=", key), ("token=", late), ("api_key = \"", key), ("some words ", key), ("some words ", late)):
+        text = f"{before}{secret} and more words"
+        out = pii.redact(text, pii.find_spans(text, model)[1])
+        assert "[SECRET]" in out and out.endswith(" and more words") and len(out) < 50
+
+
 def test_trees_on_held_out_examples():
     rows, truth = [], []
     for text, yes in pii._examples(99, 1500):
