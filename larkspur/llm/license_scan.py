@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Spellings that licence matching guidelines treat as equal, as (spelling, canonical).
@@ -56,13 +59,52 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+#: A line that states a copyright: the word or its sign before a sign, a year, a placeholder or a capitalised holder. Others may be wrapped text.
+STATEMENT_LINE = (
+    r"(?m)^[^A-Za-z0-9\n]*(?:(?i:copyright|\(c\)|©)[ \t:]*(?:(?i:\(c\)|©|by )[^\n]*|[0-9\[<{][^\n]*|[A-Z][a-z][^\n]*)|©[^\n]*|(?i:all rights reserved)[^A-Za-z0-9\n]*)$"
+)
+LICENSES = os.path.join(os.path.dirname(os.path.abspath(__file__)), "licenses")
+# The title lines that usual files have above texts that don't begin with their title.
+TITLES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "0BSD License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The BSD 2-Clause License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License", "BSD License"),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The BSD 3-Clause License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License", "BSD License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+    "Zlib": ("zlib License", "The zlib License", "zlib/libpng License"),
+}
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """license_id and text of KNOWN and of the files in LICENSES, with each title, plain and numbered clauses, with and without appendix."""
+    texts = list(KNOWN.items())
+    for name in sorted(os.listdir(LICENSES)):
+        with open(os.path.join(LICENSES, name), encoding="utf-8") as file:
+            texts.append((name.removesuffix(".txt").split("+")[0], file.read()))
+    out = []
+    for name, text in texts:
+        forms = {text, re.sub(r"(?s)(END OF TERMS AND CONDITIONS).*", r"\1", text), re.sub(r"(?s)\s*END OF TERMS AND CONDITIONS.*", "", text)}
+        if name.startswith("BSD"):
+            forms |= {re.sub(r"(?m)^\s*[0-9]\. ", "* ", x) for x in forms}
+        out += [(name, f"{title}\n\n{x}") for x in forms for title in ("", *TITLES.get(name, ()))]
+    return out
+
 
 def canonical(text: Column) -> Column:
     """Lower case, without copyright lines, words of ASCII letters and digits with one space between, one spelling of each word.
 
     Characters beyond ASCII end words. A null text is an empty text.
     """
-    out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " ")
+    return _words(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, " "))
+
+
+def without_statements(text: Column) -> Column:
+    """The canonical form if only lines that state a copyright are left out, however the text is wrapped."""
+    return _words(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), STATEMENT_LINE, " ")))
+
+
+def _words(out: Column) -> Column:
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^a-z0-9]+", " "), F.lit(" "))
     for spelling, one in SPELLINGS:
         if spelling != one:
@@ -71,24 +113,30 @@ def canonical(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: dict[str, str] | None = None) -> DataFrame:
-    """license_id and digest of each known licence; of equal forms, the least id."""
-    rows = spark.createDataFrame(sorted((known or KNOWN).items()), "license_id string, text string")
-    return rows.select("license_id", F.sha2(canonical(F.col("text")), 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    """license_id and digest of each known licence, in both forms; of equal forms, the least id."""
+    rows = spark.createDataFrame(sorted(known.items() if known else known_texts()), "license_id string, text string")
+    forms = F.explode(F.array(canonical(F.col("text")), without_statements(F.col("text")))).alias("form")
+    return rows.select("license_id", forms).select("license_id", F.sha2("form", 256).alias("digest")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def license_scan(docs: DataFrame, known: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For every row: the digest of its whole text's canonical form and the licence that has this digest, or null.
 
+    A text that no licence equals there is looked up once more by its form without copyright
+    statements, which doesn't depend on where its lines are wrapped.
+
     ``known`` has digest (unique) and license_id; it is joined by hash, and Spark broadcasts
     it only if it is below the session's size limit. Null and empty texts have the digest of
     the empty text and match nothing; repeated rows give repeated results.
     """
-    digests = docs.select(id_column, F.sha2(canonical(F.col(text_column)), 256).alias("canonical_sha256"))
-    empty = F.sha2(F.lit(""), 256)
+    text = F.col(text_column)
+    digests = docs.select(id_column, F.sha2(canonical(text), 256).alias("canonical_sha256"), F.sha2(without_statements(text), 256).alias("__whole"))
+    known = known.where(F.col("digest") != F.sha2(F.lit(""), 256))
+    first, second = known.select(F.col("digest").alias("__first"), F.col("license_id").alias("__id")), known.select(F.col("digest").alias("__second"), F.col("license_id").alias("__other"))
     return (
-        digests.join(known.where(F.col("digest") != empty).select("digest", "license_id"), F.col("canonical_sha256") == F.col("digest"), "left")
-        .select(id_column, "canonical_sha256", "license_id", F.col("license_id").isNotNull().alias("is_license"))
-    )
+        digests.join(first, F.col("canonical_sha256") == F.col("__first"), "left").join(second, F.col("__whole") == F.col("__second"), "left")
+        .select(id_column, "canonical_sha256", F.coalesce("__id", "__other").alias("license_id"), F.coalesce("__id", "__other").isNotNull().alias("is_license"))
+    )
 
 
 def license_scan_sql() -> str:

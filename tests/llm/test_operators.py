@@ -397,3 +397,21 @@ def test_license_scan(spark):
     assert sorted(got, key=str) == sorted([(1, "MIT"), (2, "MIT"), (3, "MIT"), (4, None), (5, None), (6, None), (7, None), (1, "MIT")], key=str)
     ids = license_scan.license_scan(docs, license_scan.known_digests(spark)).columns
     assert ids == ["doc_id", "canonical_sha256", "license_id", "is_license"]
+
+
+def test_license_scan_of_usual_files(spark):
+    import textwrap
+
+    wrap = lambda text, width: "\n\n".join(textwrap.fill(p, width) for p in text.split("\n\n"))
+    rows = []
+    for name, title in (("MIT", "MIT License"), ("ISC", "ISC License"), ("0BSD", "BSD Zero Clause License"), ("Zlib", "zlib License")):
+        rows += [(name, f"{title}\n\nCopyright (c) 2020 Some One\n\n{wrap(license_scan.KNOWN[name], w)}") for w in range(40, 100)]
+    for name in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense"):
+        with open(f"{license_scan.LICENSES}/{name}.txt") as f:
+            text = f.read()
+        rows += [(name, text), (name, text.upper()), (None, text[: len(text) // 2])]
+        rows += [(name, f"Copyright 2019 The Authors.\nAll rights reserved.\n\n{text}")]
+    rows += [("Apache-2.0", text) for text in [dict(license_scan.known_texts())["Apache-2.0"]]] + [(None, "MIT License"), (None, "Copyright notice and more")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in license_scan.license_scan(docs, license_scan.known_digests(spark)).collect()}
+    assert [(i, n, got[i]) for i, (n, _) in enumerate(rows) if got[i] != n] == []
