@@ -102,9 +102,10 @@ def vector_distance(x: Column, target: Sequence[float]) -> Column:
     return F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, v: s + v))
 
 
-def markov_stationary(df: DataFrame, name: str, order: str = POS, loops: int = 1000, epsilon: float = 1e-12) -> DataFrame:
-    """Stationary distribution of the states of a column from counts of its transitions."""
-    pairs = df.select(F.col(name).alias("a"), F.lead(name).over(Window.orderBy(order)).alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).collect()
+def markov_stationary(df: DataFrame, name: str, order: str | Sequence[str] = POS, loops: int = 1000, epsilon: float = 1e-12, by: Sequence[str] = ()) -> DataFrame:
+    """Stationary distribution of the states of a column from counts of its transitions, within each series of ``by``."""
+    at = Window.partitionBy(*by).orderBy(*([order] if isinstance(order, str) else order))
+    pairs = df.select(F.col(name).alias("a"), F.lead(name).over(at).alias("b")).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n")).collect()
     states = sorted({r["a"] for r in pairs} | {r["b"] for r in pairs})
     m = np.zeros((len(states), len(states)))
     for r in pairs:

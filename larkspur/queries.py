@@ -654,7 +654,7 @@ def _pca(t):
 
 @query("markov_stationary")
 def _markov(t):
-    return M.markov_stationary(t("events").where("user_id < 50"), "event_type", "event_id").withColumn("probability", r("probability"))
+    return M.markov_stationary(t("events"), "event_type", AT, by=BY).withColumn("probability", r("probability"))
 
 
 @query("calinski_harabasz", "WITH s AS (SELECT label, count(*) AS n, sum(x) AS s, sum(x * x) AS q FROM (SELECT label, embedding[1]::DOUBLE AS x FROM embeddings WHERE label NOT IN (-1, -2)) GROUP BY 1) SELECT round(((sum(s * s / n) - sum(s) * sum(s) / sum(n)) / (count(*) - 1)) / (sum(q - s * s / n) / (sum(n) - count(*))), 4) AS calinski_harabasz FROM s")

@@ -1,5 +1,6 @@
 """Every query with SQL gives the rows that DuckDB gives."""
 
+import datetime
 import math
 import os
 
@@ -40,3 +41,16 @@ def test_query_equals_sql(spark, duck, name):
 @pytest.mark.parametrize("name", ["rsi", "parabolic_sar", "kmeans", "bucketize_by_distance", "pca", "markov_stationary"])
 def test_query_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_markov_over_all_users(spark, tmp_path):
+    series = {1: "abacab", 70: "bbca", 99: "cabbcaacb"}
+    # Users alternate in time, and ids run against it.
+    rows = [(1000 - 10 * i - u % 7, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=10 * i + u % 7), u, x) for u, s in series.items() for i, x in enumerate(s)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    m = [[sum(s[i : i + 2] == a + b for s in series.values() for i in range(len(s) - 1)) for b in "abc"] for a in "abc"]
+    p = [1 / 3] * 3
+    for _ in range(2000):
+        p = [(p[j] + sum(p[i] * m[i][j] / sum(m[i]) for i in range(3))) / 2 for j in range(3)]
+    got = {r["state"]: r["probability"] for r in QUERIES["markov_stationary"](spark, str(tmp_path)).collect()}
+    assert got == pytest.approx(dict(zip("abc", p)), abs=2e-6)
