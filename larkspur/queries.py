@@ -230,6 +230,12 @@ for _policy, _sql in (("inner_join", "JOIN"), ("left_join", "LEFT JOIN"), ("righ
 
     query(f"join_by_column_{_policy}", f"SELECT coalesce(o_custkey, c_custkey) AS o_custkey, o_orderkey, c_name FROM (SELECT * FROM orders WHERE o_orderkey % 3 <> 0) {_sql} (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")(_joined)
 
+    # Whole tables; the queries above keep the rows that their SQL names.
+    def _joined_whole(t, policy=_policy):
+        return J.join_by_column(t("orders").select("o_custkey", "o_orderkey"), t("customer").select(F.col("c_custkey").alias("o_custkey"), "c_name"), "o_custkey", policy)
+
+    query(f"join_by_column_whole_{_policy}", f"SELECT coalesce(o_custkey, c_custkey) AS o_custkey, o_orderkey, c_name FROM orders {_sql} customer ON o_custkey = c_custkey")(_joined_whole)
+
 
 @query("join_by_index", "SELECT n.n_regionkey AS r_regionkey, n_name, r_name FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey")
 def _join_index(t):

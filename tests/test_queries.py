@@ -54,3 +54,14 @@ def test_markov_over_all_users(spark, tmp_path):
         p = [(p[j] + sum(p[i] * m[i][j] / sum(m[i]) for i in range(3))) / 2 for j in range(3)]
     got = {r["state"]: r["probability"] for r in QUERIES["markov_stationary"](spark, str(tmp_path)).collect()}
     assert got == pytest.approx(dict(zip("abc", p)), abs=2e-6)
+
+
+@pytest.mark.parametrize("policy, kept", [("inner_join", ""), ("left_join", "l"), ("right_join", "r"), ("left_right_join", "lr")])
+def test_whole_joins_with_unmatched_rows(spark, tmp_path, policy, kept):
+    orders, customers = [(i, i % 8) for i in range(1, 31)] + [(31, None)], [(c, f"c{c}") for c in range(3, 12)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(customers, "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    names, used = dict(customers), {c for _, c in orders}
+    want = [(c, o, names.get(c)) for o, c in orders if c in names or "l" in kept] + [(c, None, n) for c, n in customers if c not in used and "r" in kept]
+    got = QUERIES[f"join_by_column_whole_{policy}"](spark, str(tmp_path)).select("o_custkey", "o_orderkey", "c_name").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
