@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 
-from larkspur.functions.sequential import NAN, before, decay_of, ewm, mean, rolled, span
+from larkspur.functions.sequential import NAN, before, mean, plain_span, rolled, span
 
 
 def _range(low, high, close):
@@ -22,51 +22,69 @@ def average_true_range(low, high, close, n=14, normalize=False):
 
 
 def macd(x, short=12, long=26, signal=9):
-    line = span(x, short) - span(x, long)
-    s = span(line, signal)
+    line = plain_span(x, short) - plain_span(x, long)
+    s = plain_span(line, signal)
     return {"macd": line, "signal": s, "histogram": line - s}
 
 
-def rsi(x, n=14):
-    """Each move updates only the average of its own side."""
-    r = np.asarray(x, float) / before(x) - 1
-    out, up, down = np.full(len(r), NAN), 0.0, 0.0
-    for i in range(1, len(r)):
-        if i < n:
-            up, down = up + max(r[i], 0) / n, down + max(-r[i], 0) / n
-        elif r[i] > 0:
+def rsi(x, n=14, kind="percentage"):
+    """Each move updates only the average of its own side. A price of 0 gives no return, and too short a series no index."""
+    x = np.asarray(x, float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = {"percentage": x / before(x) - 1, "monetary": x - before(x), "log": np.log(x / before(x))}[kind]
+    out, up, down = np.full(len(x), NAN), 0.0, 0.0
+    if n >= len(x) - 3:
+        return {"rsi": out}
+    for i in range(1, len(x)):
+        if 0 < r[i] < math.inf:
             up = (up * (n - 1) + r[i]) / n
-        elif r[i] < 0:
+        elif -math.inf < r[i] < 0:
             down = (down * (n - 1) - r[i]) / n
-        if i >= n - 1:
+        if i >= n - 1 and (up or down):
             out[i] = 100 - 100 / (1 + up / down) if down else 100.0
     return {"rsi": out}
 
 
-def rsx(x, n=14):
-    """RSI on a triple smoothing without lag."""
-    a = 3 / (n + 2)
-    d = np.diff(np.asarray(x, float), prepend=np.asarray(x, float)[:1])
-
-    def smooth(v):
-        for _ in range(3):
-            p = ewm(v, a)
-            v = 1.5 * p - 0.5 * ewm(p, a)
+class _Smoothed:
+    """Three stages of one and a half times an average less half the average of it."""
+
+    def __init__(self, a):
+        self.a, self.first, self.second = a, [0.0] * 3, [0.0] * 3
+
+    def add(self, v):
+        for k in range(3):
+            self.first[k] += self.a * (v - self.first[k])
+            self.second[k] += self.a * (self.first[k] - self.second[k])
+            v = 1.5 * self.first[k] - 0.5 * self.second[k]
         return v
 
-    top, bottom = smooth(d), smooth(np.abs(d))
-    out = np.clip(50 * (np.divide(top, bottom, out=np.zeros(len(d)), where=bottom > 1e-12) + 1), 0, 100)
-    out[: n - 1] = NAN
+
+def rsx(x, n=14):
+    """RSI on a smoothing without lag. It is 50 until the counted rows exceed n - 1 (5 at least), and the count begins anew if the price has not moved by then."""
+    x = 100 * np.asarray(x, float)
+    out, wait, counted, moved = np.full(len(x), NAN), max(n - 1, 5), 0, False
+    top, bottom = _Smoothed(3 / (n + 2)), _Smoothed(3 / (n + 2))
+    share = [0.0, 0.0]
+    if len(x) >= n:
+        out[n - 1] = 0.0
+    for i in range(n, len(x)):
+        if not counted:
+            counted, moved, last = 1, False, x[i]
+        else:
+            counted = min(counted, wait) + 1
+            share = [top.add(x[i] - last), bottom.add(abs(x[i] - last))]
+            moved = moved or (counted <= wait and x[i] != last)
+            last = x[i]
+            if counted == wait and not moved:
+                counted = 0
+        out[i] = min(100.0, max(0.0, 50 * (share[0] / share[1] + 1))) if counted > wait and share[1] > np.finfo(float).eps else 50.0
     return {"rsx": out}
 
 
 def _volatility_index(x, n):
-    s, x = rolled(lambda w: w.std(1, ddof=1), x, n), np.asarray(x, float)
-    d = x - before(x)
-    up, down = ewm(np.where(d > 0, s, 0), 1 / n), ewm(np.where(d < 0, s, 0), 1 / n)
-    out = 100 * up / np.where(up + down == 0, NAN, up + down)
-    out[: n - 1] = NAN
-    return out
+    s, d = rolled(lambda w: w.std(1, ddof=1), x, n), np.asarray(x, float) - before(x)
+    up, down = span(np.where(np.isnan(d), NAN, d > 0) * s, n), span(np.where(np.isnan(d), NAN, d < 0) * s, n)
+    return 100 * up / np.where(up + down == 0, NAN, up + down)
 
 
 def relative_volatility(close, high, low, n=14):
@@ -74,11 +92,11 @@ def relative_volatility(close, high, low, n=14):
 
 
 def _line_before(x, n):
-    """End value of the regression line over the n rows before each row."""
-    t = np.arange(n) - (n - 1) / 2
+    """Value at place n - 1 of the regression line over the n rows before each row, which stand at 1 to n."""
+    t = np.arange(1, n + 1) - (n + 1) / 2
 
     def fit(w):
-        return w.mean(1) + (w * t).sum(1) / (t @ t) * (n - 1) / 2
+        return w.mean(1) + (w * t).sum(1) / (t @ t) * (n - 3) / 2
 
     return before(rolled(fit, x, n))
 
@@ -87,18 +105,36 @@ def inertia(close, high, low, n=20, rvi=14):
     return {"inertia": _line_before(relative_volatility(close, high, low, rvi)["rvi"], n)}
 
 
+def _non_zero(a, b):
+    """a - b; as soon as one row is 0, the machine epsilon is added to all."""
+    d = np.asarray(a, float) - np.asarray(b, float)
+    return d + np.finfo(float).eps if (d == 0).any() else d
+
+
 def mass_index(low, high, fast=9, slow=25):
-    r = span(np.asarray(high, float) - np.asarray(low, float), fast)
-    return {"mass_index": rolled(lambda w: w.sum(1), r / span(r, fast), slow)}
+    r = plain_span(_non_zero(high, low), fast)
+    return {"mass_index": rolled(lambda w: w.sum(1), r / plain_span(r, fast), slow)}
 
 
 def weighted_mean(x, n):
-    w = np.arange(1, n + 1)
-    return rolled(lambda v: (v * w).sum(1) / w.sum(), x, n)
+    """Weights 1 to n over the last n rows; rows without a number are passed over and don't count."""
+
+    def fit(w):
+        known = ~np.isnan(w)
+        rank = np.cumsum(known, 1)
+        many = known.sum(1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where(known, w * rank, 0).sum(1) / (many * (many + 1) / 2)
+
+    return rolled(fit, x, n)
 
 
 def hull_mean(x, n=10):
-    return {"hull": weighted_mean(2 * weighted_mean(x, n // 2) - weighted_mean(x, n), int(math.sqrt(n)))}
+    """The weighted mean over sqrt(n) rows of twice the one over n / 2 less the one over n; in the last row, of the former alone."""
+    half, whole = weighted_mean(x, n // 2), weighted_mean(x, n)
+    raw = 2 * half - whole
+    raw[-1:] = half[-1:]
+    return {"hull": weighted_mean(raw, int(math.sqrt(n)))}
 
 
 def kama(x, n=10, fast=2, slow=30):
@@ -117,46 +153,64 @@ def kama(x, n=10, fast=2, slow=30):
 def fisher_transform(low, high, n=9):
     m = (np.asarray(low, float) + np.asarray(high, float)) / 2
     a, b = rolled(lambda w: w.min(1), m, n), rolled(lambda w: w.max(1), m, n)
-    out, v, f = np.full(len(m), NAN), 0.0, 0.0
-    for i in range(n - 1, len(m)):
-        v = 0.66 * ((m[i] - a[i]) / max(b[i] - a[i], 0.001) - 0.5) + 0.67 * v
-        v = max(-0.999, min(0.999, v))
-        f = out[i] = 0.5 * (math.log((1 + v) / (1 - v)) + f)
+    place = (m - a) / np.maximum(b - a, 0.001) - 0.5
+    out, v = np.full(len(m), NAN), 0.0
+    out[n - 1 : n] = 0.0
+    for i in range(n, len(m)):
+        v = 0.66 * place[i] + 0.67 * v
+        v = math.copysign(0.999, v) if abs(v) > 0.99 else v
+        out[i] = math.atanh(v) + out[i - 1] / 2
     return {"fisher": out}
 
 
 def percent_price(x, fast=12, slow=26, signal=9):
+    """The oscillator, and it less the signal: an average that begins ``slow`` rows late and is read ``slow`` rows on."""
     a, b = mean(x, fast), mean(x, slow)
-    p = 100 * (a - b) / b
-    return {"ppo": p, "histogram": p - span(p, signal)}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = 100 * (a - b) / b
+    s, h = plain_span(p[slow:], signal), np.full(len(p), NAN)
+    rows = np.arange(slow, max(slow, len(p) - slow))
+    h[rows] = p[rows] - s[rows]
+    return {"ppo": p, "histogram": h}
 
 
 def parabolic_sar(low, high, close, step=0.02, most=0.2):
-    low, high = np.asarray(low, float), np.asarray(high, float)
-    sar, long, short, turn = np.full(len(low), NAN), np.full(len(low), NAN), np.full(len(low), NAN), np.zeros(len(low), bool)
-    up, a, peak, s = True, step, high[0], low[0]
-    for i in range(1, len(low)):
-        s += a * (peak - s)
-        s = min(s, low[i - 1], low[max(0, i - 2)]) if up else max(s, high[i - 1], high[max(0, i - 2)])
-        if (low[i] < s) if up else (high[i] > s):
-            turn[i], up, s, a = True, not up, peak, step
-            peak = high[i] if up else low[i]
-        elif (high[i] > peak) if up else (low[i] < peak):
-            peak, a = (high[i] if up else low[i]), min(most, a + step)
-        sar[i] = s
-        (long if up else short)[i] = s
-    return {"sar": sar, "long": long, "short": short, "reversal": turn}
+    """Starts rising, at the closes of the first two rows; after a turn the stop stands at the extreme of the old trend."""
+    low, high, sar = np.asarray(low, float), np.asarray(high, float), np.asarray(close, float).copy()
+    n = len(sar)
+    long, short, speed, turn = np.full(n, NAN), np.full(n, NAN), np.full(n, NAN), np.zeros(n, bool)
+    speed[:2] = step
+    rising, a = True, step
+    peak = {True: high[0], False: low[0]} if n else {}
+    beyond = {True: np.greater, False: np.less}
+    for i in range(2, n):
+        speed[i] = a
+        price = {True: high[i], False: low[i]}
+        sar[i] = sar[i - 1] + a * (peak[rising] - sar[i - 1])
+        if beyond[not rising](price[not rising], sar[i]):
+            sar[i], rising, a, turn[i] = peak[rising], not rising, step, True
+            peak[rising] = price[rising]
+        else:
+            if beyond[rising](price[rising], peak[rising]):
+                peak[rising], a = price[rising], min(a + step, most)
+            sar[i] = min(sar[i], low[i - 1], low[i - 2]) if rising else max(sar[i], high[i - 1], high[i - 2])
+        (long if rising else short)[i] = sar[i]
+    return {"sar": sar, "long": long, "short": short, "factor": speed, "reversal": turn}
 
 
 def even_better_sine(x, high_pass=40, n=10):
-    x = np.asarray(x, float)
-    a = (1 - math.sin(2 * math.pi / high_pass)) / math.cos(2 * math.pi / high_pass)
-    hp = np.zeros(len(x))
+    """The angles 360 / ``high_pass`` and sqrt(2) * 180 / ``n`` are taken as radians."""
+    x, out = np.asarray(x, float), np.full(len(x), NAN)
+    keep = (1 - math.sin(360 / high_pass)) / math.cos(360 / high_pass)
+    damp = math.exp(-math.sqrt(2) * math.pi / n)
+    c2, c3 = 2 * damp * math.cos(math.sqrt(2) * 180 / n), -damp * damp
+    passed, f = 0.0, [0.0, 0.0, 0.0]
     for i in range(1, len(x)):
-        hp[i] = 0.5 * (1 + a) * (x[i] - x[i - 1]) + a * hp[i - 1]
-    f = _super_smooth(hp, 2, n)
-    wave, power = rolled(lambda w: w.mean(1), f, 3), rolled(lambda w: (w * w).mean(1), f, 3)
-    return {"sine": wave / np.sqrt(np.where(power > 0, power, NAN))}
+        now = 0.5 * (1 + keep) * (x[i] - x[i - 1]) + keep * passed
+        f = [f[1], f[2], (1 - c2 - c3) * (now + passed) / 2 + c2 * f[2] + c3 * f[1]]
+        passed, power = now, sum(v * v for v in f) / 3
+        out[i] = sum(f) / 3 / math.sqrt(power) if power > 0 else NAN
+    return {"sine": out}
 
 
 def _super_smooth(x, poles, n):
@@ -191,31 +245,37 @@ def variable_index_average(x, n=14):
     return {"vidya": out}
 
 
-def average_directional(low, high, close, n=14):
-    """Moves stored at a row are from it to the next one."""
-    low, high = np.asarray(low, float), np.asarray(high, float)
-    up, down = np.append(np.diff(high), NAN), np.append(-np.diff(low), NAN)
-    a = span(_range(low, high, close), n)
-    plus = 100 * span(np.where((up > down) & (up > 0), up, 0), n) / a
-    minus = 100 * span(np.where((down > up) & (down > 0), down, 0), n) / a
-    total = plus + minus
-    return {"adx": span(100 * np.abs(plus - minus) / np.where(total == 0, NAN, total), n), "plus": plus, "minus": minus}
+def average_directional(low, high, close, n=14, smooth=None):
+    """Moves and ranges stored at a row are from it to the next one; the last row has 0 for both."""
+    low, high, close = (np.asarray(v, float) for v in (low, high, close))
+    up, down = np.diff(high), -np.diff(low)
+    reach = np.maximum(high[1:], close[:-1]) - np.minimum(low[1:], close[:-1])
+    a, plus, minus = (span(np.append(v, 0.0), n) for v in (reach, np.where((up > down) & (up > 0), up, 0), np.where((down > up) & (down > 0), down, 0)))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        dx = np.abs(plus / a - minus / a) / (plus / a + minus / a)
+    last = 0.0
+    for i in range(len(dx) - 1):  # a row without a move keeps the value before
+        last = dx[i] = last if np.isnan(dx[i]) else dx[i]
+    dx[-1:] = 0.0
+    return {"adx": span(dx, smooth or n)}
 
 
 def holt_winter_channel(x, na=0.2, nb=0.1, nc=0.1, nd=0.1):
+    """A row's band comes from the variance of the rows before it; its own deviation counts from the next row on."""
     x = np.asarray(x, float)
-    f = x[0] if len(x) else 0.0
-    v = a = var = 0.0
-    out = {k: np.full(len(x), NAN) for k in ("middle", "upper", "lower")}
-    last = f
+    out = {k: np.full(len(x), NAN) for k in ("middle", "upper", "lower", "percent")}
+    level = price = middle = x[0] if len(x) else 0.0
+    speed = acceleration = variance = 0.0
     for i, c in enumerate(x):
-        nf = (1 - na) * (f + v + 0.5 * a) + na * c
-        nv = (1 - nb) * (v + a) + nb * (nf - f)
-        na_ = (1 - nc) * a + nc * (nv - v)
-        m = nf + nv + 0.5 * na_
-        var = (1 - nd) * var + nd * (c - last) ** 2
-        out["middle"][i], out["upper"][i], out["lower"][i] = m, m + math.sqrt(var), m - math.sqrt(var)
-        f, v, a, last = nf, nv, na_, m
+        new = (1 - na) * (level + speed + 0.5 * acceleration) + na * c
+        faster = (1 - nb) * (speed + acceleration) + nb * (new - level)
+        acceleration = (1 - nc) * acceleration + nc * (faster - speed)
+        band = math.sqrt(variance)
+        variance = (1 - nd) * variance + nd * (price - middle) ** 2
+        level, speed, price, middle = new, faster, c, new + faster + 0.5 * acceleration
+        out["middle"][i], out["upper"][i], out["lower"][i] = middle, middle + band, middle - band
+        if band > 0:
+            out["percent"][i] = (c - middle + band) / (2 * band)
     return out
 
 
@@ -225,7 +285,9 @@ def heikin_ashi(low, high, open_, close):
     ho = np.zeros(len(o))
     for i in range(len(o)):
         ho[i] = (o[0] + c[0]) / 2 if i == 0 else (ho[i - 1] + hc[i - 1]) / 2
-    return {"open": ho, "close": hc, "high": np.maximum(high, np.maximum(ho, hc)), "low": np.minimum(low, np.minimum(ho, hc))}
+    top, bottom = np.maximum(high, np.maximum(ho, hc)), np.minimum(low, np.minimum(ho, hc))
+    top[:1], bottom[:1] = high[:1], low[:1]
+    return {"open": ho, "close": hc, "high": top, "low": bottom}
 
 
 def keltner(low, high, close, n=20, k=2.0):
@@ -233,9 +295,11 @@ def keltner(low, high, close, n=20, k=2.0):
     return {"middle": m, "upper": m + k * r, "lower": m - k * r}
 
 
-def trix(x, n=14):
+def trix(x, n=14, signal=None):
     t = span(span(span(x, n), n), n)
-    return {"trix": t / before(t) - 1}
+    with np.errstate(divide="ignore", invalid="ignore"):
+        r = t / before(t) - 1
+    return {"trix": r, "signal": mean(r, signal) if signal else r}
 
 
 def pretty_good(low, high, close, n=14):
@@ -245,7 +309,7 @@ def pretty_good(low, high, close, n=14):
 def t3(x, n=10, v=0.7):
     e = [np.asarray(x, float)]
     for _ in range(6):
-        e.append(span(e[-1], n))
+        e.append(plain_span(e[-1], n))
     return {"t3": -(v**3) * e[6] + 3 * (v**2 + v**3) * e[5] - (6 * v**2 + 3 * v + 3 * v**3) * e[4] + (1 + 3 * v + v**3 + 3 * v**2) * e[3]}
 
 
@@ -260,68 +324,60 @@ def elder_force(close, volume, n=13):
 
 def elder_thermometer(low, high, n=20, buy=2.0, sell=0.5):
     t = np.maximum(np.abs(np.asarray(low, float) - before(low)), np.abs(np.asarray(high, float) - before(high)))
-    m = span(t, n)
+    m = span(t, n)  # its first row is 0
     return {"thermometer": t, "mean": m, "buy": t < m * buy, "sell": t > m * sell}
 
 
 def chande_kroll(low, high, close, p=10, q=20, k=3.0):
+    """Windows of the second pass leave out rows that have no stop yet."""
     a = span(_range(low, high, close), p)
     top, bottom = rolled(lambda w: w.max(1), high, p) - k * a, rolled(lambda w: w.min(1), low, p) + k * a
-    return {"long_stop": rolled(lambda w: w.max(1), top, q), "short_stop": rolled(lambda w: w.min(1), bottom, q)}
+    return {"long_stop": rolled(lambda w: np.fmax.reduce(w, 1), top, q), "short_stop": rolled(lambda w: np.fmin.reduce(w, 1), bottom, q)}
 
 
 def quantitative_qualitative(x, n=14, smooth=5, width=4.236):
-    r = span(rsi(x, n)["rsi"], smooth)
+    """The smoothed index, its trailing lines and the line that holds; the first two rows of the lines are 0."""
+    r = span(rsi(x, n, "monetary")["rsi"], smooth)
     d = span(span(np.abs(r - before(r)), 2 * n - 1), 2 * n - 1) * width
-    long, short = r - d, r + d
-    for i in range(1, len(r)):
-        if r[i - 1] > long[i - 1] and r[i] > long[i - 1]:
-            long[i] = max(long[i], long[i - 1])
-        if r[i - 1] < short[i - 1] and r[i] < short[i - 1]:
-            short[i] = min(short[i], short[i - 1])
-    return {"rsi_ma": r, "long": long, "short": short}
+    long, short, line, rising = np.zeros(len(r)), np.zeros(len(r)), np.full(len(r), r[0] if len(r) else NAN), True
+    for i in range(2, len(r)):
+        now, was = r[i], r[i - 1]
+        low, high = long[i - 1], short[i - 1]
+        long[i] = max(low, now - d[i]) if was > low and now > low else now - d[i]
+        short[i] = min(high, now + d[i]) if was < high and now < high else now + d[i]
+        crosses = lambda level, before_: (now > level and was < before_) or (now <= level and was >= before_)
+        rising = True if crosses(high, short[i - 2]) else False if crosses(low, long[i - 2]) else rising
+        line[i] = long[i] if rising else short[i]
+    return {"qqe": line, "rsi_ma": r, "long": long, "short": short}
 
 
 def high_pass(x, n=20.0):
-    x, a = np.asarray(x, float), (math.cos(2 * math.pi / n) + math.sin(2 * math.pi / n) - 1) / math.cos(2 * math.pi / n)
-    out = x.copy()
+    """What is left of the column when the filter's output is taken from it."""
+    x, turn = np.asarray(x, float), 2 * math.pi / n
+    a = (math.cos(turn) + math.sin(turn) - 1) / math.cos(turn)
+    out, f = x.copy(), 0.0
     for i in range(1, len(x)):
-        out[i] = (1 - a / 2) * (x[i] - x[i - 1]) + (1 - a) * out[i - 1]
+        f = (1 + a / 2) * (x[i] - x[i - 1]) + (1 - a) * f
+        out[i] = x[i] - f
     return {"filtered": out}
 
 
 def band_pass(x, n=20.0, bandwidth=0.3):
-    x = np.asarray(x, float)
-    b, g = math.cos(2 * math.pi / n), 1 / math.cos(2 * math.pi * bandwidth / n)
-    a = g - math.sqrt(g * g - 1)
-    out = np.zeros(len(x))
+    """What is left of the column when the filter's output is taken from it."""
+    x, turn = np.asarray(x, float), 2 * math.pi / n
+    g = 1 / math.cos(bandwidth * turn)
+    a, b = g - math.sqrt(g * g - 1), math.cos(turn)
+    f = np.zeros(len(x))
     for i in range(2, len(x)):
-        out[i] = 0.5 * (1 - a) * (x[i] - x[i - 2]) + b * (1 + a) * out[i - 1] - a * out[i - 2]
-    return {"filtered": out}
+        f[i] = 0.5 * (1 - a) * (x[i] - x[i - 2]) + (b * (1 + a) * f[i - 1] - a * f[i - 2] if i > 2 else 0.0)
+    return {"filtered": x - f}
 
 
 def trend_smoother(x, data=0.5, trend=0.3):
-    """Two-point average with an exponentially weighted trend of raw differences."""
+    """Each row with the raw row before it and the trend up to there, an average of raw differences that begins with the first one."""
     x = np.asarray(x, float)
-    t = ewm(np.diff(x, prepend=x[:1]), trend)
-    return {"smooth": np.where(np.arange(len(x)) == 0, x, data * x + (1 - data) * (np.nan_to_num(before(x)) + t))}
-
-
-def vwap(index, price, size, interval=60.0):
-    """Volume-weighted and cumulative prices of buckets that are open until a row is ``interval`` away; rows carry their bucket."""
-    t, p, s = (np.asarray(v, float) for v in (index, price, size))
-    bucket, start, b = np.zeros(len(t), np.int64), t[0] if len(t) else 0.0, 0
-    for i, v in enumerate(t):
-        if v - start >= interval:
-            start, b = v, b + 1
-        bucket[i] = b
-    total, volume = np.bincount(bucket, p * s), np.bincount(bucket, s)
-    return {"bucket": bucket, "vwap": (total / volume)[bucket], "cum_vwap": (np.cumsum(total) / np.cumsum(volume))[bucket]}
-
-
-def spread_vwap(index, bid, ask, bid_size, ask_size, interval=60.0):
-    a, b = vwap(index, ask, ask_size, interval), vwap(index, bid, bid_size, interval)
-    return {"bucket": a["bucket"], "spread": a["vwap"] - b["vwap"], "percent_spread": (a["vwap"] - b["vwap"]) / a["vwap"], "cum_spread": a["cum_vwap"] - b["cum_vwap"]}
-
-
-DECAY = decay_of
+    out, t = x.copy(), x[1] - x[0] if len(x) > 1 else 0.0
+    for i in range(1, len(x)):
+        out[i] = data * x[i] + (1 - data) * (x[i - 1] + t)
+        t = trend * (x[i] - x[i - 1]) + (1 - trend) * t
+    return {"smooth": out}

@@ -1,8 +1,9 @@
 """Clustering, projections and scores.
 
 What grows with the rows is an aggregate or a pyspark.ml model; the driver only solves
-systems whose size is the number of columns. Methods that compare all pairs are kernels
-for one series at a time.
+systems whose size is the number of columns. Methods that compare all pairs (affinity
+propagation, spectral clustering, kriging) are kernels for one series at a time and hold
+its pairs in one task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larkspur.plans import POS
+from larkspur.plans import POS, by_series, joined_back, summarised
 
 # By aggregates
 
@@ -129,60 +130,72 @@ def kmeans(df: DataFrame, names: Sequence[str], k: int, seed: int = 1, loops: in
     return KMeans(k=k, seed=seed, maxIter=loops, featuresCol="__v", predictionCol="cluster").fit(rows).transform(rows).drop("__v")
 
 
-def _groups(df: DataFrame, names: Sequence[str], label: str) -> tuple[DataFrame, list[str]]:
-    """Rows that are no noise (labels -1 and -2), with the means of their cluster."""
-    real = df.where(~F.col(label).isin(-1, -2))
-    w = Window.partitionBy(label)
-    return real.select("*", *[F.avg(c).over(w).alias(f"__m_{c}") for c in names]), [f"__m_{c}" for c in names]
+def _clusters(df: DataFrame, vector: Column, label: str) -> DataFrame:
+    """Rows that are no noise (labels -1 and -2) as __l and __x, an array, with their cluster's size __n and centre __c."""
+    real = df.where(~F.col(label).isin(-1, -2)).select(F.col(label).alias("__l"), vector.alias("__x"))
+    cells = real.select("__l", F.posexplode("__x").alias("i", "x")).groupBy("__l", "i").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
+    centres = cells.groupBy("__l").agg(F.max("n").alias("__n"), F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c")).select("__l", "__n", F.col("c.m").alias("__c"))
+    return joined_back(real, centres, ["__l"])
 
 
-def calinski_harabasz(df: DataFrame, names: Sequence[str], label: str) -> DataFrame:
-    """Spread between clusters to spread within, by sums of squares."""
-    real = df.where(~F.col(label).isin(-1, -2))
-    per = real.groupBy(label).agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s_{c}") for c in names], *[F.sum(F.col(c) * F.col(c)).alias(f"q_{c}") for c in names])
-    within = sum((F.sum(F.col(f"q_{c}") - F.col(f"s_{c}") * F.col(f"s_{c}") / F.col("n")) for c in names), F.lit(0.0))
-    between = sum((F.sum(F.col(f"s_{c}") * F.col(f"s_{c}") / F.col("n")) - F.sum(f"s_{c}") * F.sum(f"s_{c}") / F.sum("n") for c in names), F.lit(0.0))
+def _away(a: Column, b: Column) -> Column:
+    """Squared distance of scalars (arrays of one element), distance of longer vectors."""
+    squares = F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
+    return F.when(F.size(a) == 1, squares).otherwise(F.sqrt(squares))
+
+
+def _vector(names: Sequence[str] | str) -> Column:
+    return F.col(names) if isinstance(names, str) else F.array(*[F.col(c).cast("double") for c in names])
+
+
+def calinski_harabasz(df: DataFrame, names: Sequence[str] | str, label: str) -> DataFrame:
+    """Distances of centres to the whole's centre over distances of rows to theirs; ``names`` are columns or one array column."""
+    rows = _clusters(df, _vector(names), label)
+    per = rows.groupBy("__l").agg(F.first("__n").alias("n"), F.first("__c").alias("c"), F.sum(_away(F.col("__x"), F.col("__c"))).alias("w"))
+    whole = rows.select(F.posexplode("__x").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("g")).select(F.col("g.m").alias("g"))
     k, n = F.count("*"), F.sum("n")
-    return per.agg(((between / (k - 1)) / (within / (n - k))).alias("calinski_harabasz"))
+    return joined_back(per, whole).agg(((F.sum(F.col("n") * _away(F.col("c"), F.col("g"))) / (k - 1)) / (F.sum("w") / (n - k))).alias("calinski_harabasz"))
 
 
-def davies_bouldin(df: DataFrame, names: Sequence[str], label: str) -> DataFrame:
+def davies_bouldin(df: DataFrame, names: Sequence[str] | str, label: str) -> DataFrame:
     """Mean over clusters of the worst ratio of scatters to distance; only centres are paired."""
-    real, means = _groups(df, names, label)
-    away = F.sqrt(sum(((F.col(c) - F.col(m)) ** 2 for c, m in zip(names, means)), F.lit(0.0)))
-    per = real.groupBy(label).agg(F.avg(away).alias("s"), *[F.first(m).alias(m) for m in means])
-    a, b = per.select(F.col(label).alias("a"), F.col("s").alias("sa"), *[F.col(m).alias(f"a{m}") for m in means]), per.select(F.col(label).alias("b"), F.col("s").alias("sb"), *[F.col(m).alias(f"b{m}") for m in means])
-    d = F.sqrt(sum(((F.col(f"a{m}") - F.col(f"b{m}")) ** 2 for m in means), F.lit(0.0)))
-    return a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / d).alias("r")).agg(F.avg("r").alias("davies_bouldin"))
-
-
-# All pairs of one series
-
-
-def silhouette(x, labels):
-    """Squared distances; noise has no score."""
-    x, labels = np.asarray(x, float), np.asarray(labels)
-    d, out = (x[:, None] - x[None]) ** 2, np.full(len(x), np.nan)
-    groups = [g for g in np.unique(labels) if g not in (-1, -2)]
-    for g in groups:
-        own = labels == g
-        for i in np.flatnonzero(own):
-            if own.sum() < 2 or len(groups) < 2:
-                out[i] = 0.0
-                continue
-            a = d[i, own].sum() / (own.sum() - 1)
-            b = min(d[i, labels == h].mean() for h in groups if h != g)
-            out[i] = (b - a) / max(a, b) if max(a, b) > 0 else 0.0
-    return {"silhouette": out}
+    per = _clusters(df, _vector(names), label).groupBy("__l").agg(F.first("__c").alias("c"), F.avg(_away(F.col("__x"), F.col("__c"))).alias("s"))
+    a, b = per.select(F.col("__l").alias("a"), F.col("c").alias("ca"), F.col("s").alias("sa")), per.select(F.col("__l").alias("b"), F.col("c").alias("cb"), F.col("s").alias("sb"))
+    pairs = a.join(b, F.col("a") != F.col("b")).groupBy("a").agg(F.max((F.col("sa") + F.col("sb")) / _away(F.col("ca"), F.col("cb"))).alias("r"))
+    return pairs.agg(F.avg("r").alias("davies_bouldin"))
+
+
+def silhouette(df: DataFrame, name: str, label: str, out: str = "silhouette") -> DataFrame:
+    """Adds how much nearer a row is to its own cluster than to the next one, by squared distances.
+
+    The mean squared distance to a cluster follows from its count, sum and sum of squares,
+    so rows meet clusters and not each other. Noise, and rows of a cluster of one, have 0.
+    """
+    x, noise = F.col(name).cast("double"), F.col(label).isin(-1, -2)
+    sums = df.where(~noise).groupBy(F.col(label).alias("l")).agg(F.count(x).cast("double").alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
+    one = sums.agg(F.collect_list(F.struct("l", "n", "s", "q")).alias("__all"))
+    far = lambda c: F.greatest(c["n"] * x * x - 2 * x * c["s"] + c["q"], F.lit(0.0))
+    own = F.element_at(F.filter("__all", lambda c: c["l"] == F.col(label)), 1)
+    a = far(own) / (own["n"] - 1)
+    b = F.array_min(F.transform(F.filter("__all", lambda c: c["l"] != F.col(label)), lambda c: far(c) / c["n"]))
+    score = F.when(noise | (F.size("__all") < 2) | (own["n"] < 2), 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+    return joined_back(df, one).withColumn(out, score).drop("__all")
+
+
+# Kernels on one series
 
 
 def dbscan(x, least=3, reach=1.0):
-    """Clusters by density; scalars are compared by squared distance; -1 is noise."""
+    """Clusters by density; scalars are compared by squared distance; -1 is noise. Neighbours are runs of the sorted rows."""
     x = np.asarray(x, float)
-    near = [(np.flatnonzero((x - v) ** 2 <= reach)) for v in x]
+    order = np.argsort(x, kind="stable")
+    place = np.empty(len(x), np.int64)
+    place[order] = np.arange(len(x))
+    low, high = (np.searchsorted(x[order], x + sign * math.sqrt(reach), side) for sign, side in ((-1, "left"), (1, "right")))
+    core = high - low >= least
     out, cluster = np.full(len(x), -1), -1
-    for i in range(len(x)):
-        if out[i] >= 0 or len(near[i]) < least:
+    for i in np.flatnonzero(core):
+        if out[i] >= 0:
             continue
         cluster += 1
         todo = [i]
@@ -190,20 +203,34 @@ def dbscan(x, least=3, reach=1.0):
             j = todo.pop()
             if out[j] < 0:
                 out[j] = cluster
-                if len(near[j]) >= least:
-                    todo += [n for n in near[j] if out[n] < 0]
+                if core[j]:
+                    near = order[low[j] : high[j]]
+                    todo += near[out[near] < 0].tolist()
     return {"cluster": out}
 
 
-def mean_shift(x, bandwidth=1.0, most=0.1, loops=50):
+#: Weights of a row at the distance u, in bandwidths.
+KERNELS = {
+    "gaussian": lambda u: np.exp(-0.5 * u * u), "uniform": lambda u: (np.abs(u) <= 1) * 1.0, "triangular": lambda u: np.maximum(1 - np.abs(u), 0), "parabolic": lambda u: np.maximum(1 - u * u, 0),
+    "biweight": lambda u: np.maximum(1 - u * u, 0) ** 2, "triweight": lambda u: np.maximum(1 - u * u, 0) ** 3, "tricube": lambda u: np.maximum(1 - np.abs(u) ** 3, 0) ** 3,
+    "cosine": lambda u: (np.abs(u) <= 1) * np.cos(np.pi * np.clip(u, -1, 1) / 2), "logistic": lambda u: 1 / (np.exp(u) + 2 + np.exp(-u)), "sigmoid": lambda u: 1 / (np.exp(u) + np.exp(-u)),
+    "silverman": lambda u: 0.5 * np.exp(-np.abs(u) / math.sqrt(2)) * np.sin(np.abs(u) / math.sqrt(2) + np.pi / 4),
+}
+
+
+def mean_shift(x, bandwidth=1.0, most=0.1, loops=50, kernel="gaussian"):
+    """Rows move to the weighted mean of those around them; targets that end within ``most`` of each other are one cluster."""
     x = np.asarray(x, float)
     p = x.copy()
     for _ in range(loops):
-        w = np.exp(-0.5 * ((p[:, None] - x[None]) / bandwidth) ** 2)
-        new = (w * x).sum(1) / w.sum(1)
-        if np.abs(new - p).max() < 1e-7:
-            break
+        new = np.empty(len(p))
+        for at in range(0, len(p), 1024):
+            w = KERNELS[kernel]((p[at : at + 1024, None] - x[None]) / bandwidth)
+            new[at : at + 1024] = (w * x).sum(1) / np.maximum(w.sum(1), 1e-300)
+        done = np.abs(new - p).max(initial=0) < 1e-7
         p = new
+        if done:
+            break
     order = np.argsort(p)
     label = np.zeros(len(x), np.int64)
     label[order] = np.cumsum(np.concatenate([[0], np.diff(p[order]) > most]))[: len(x)]
@@ -314,3 +341,17 @@ def kriging(coordinates: np.ndarray, values: np.ndarray, targets: np.ndarray, si
     b = np.ones((n + 1, len(targets)))
     b[:n] = gamma(np.linalg.norm(coordinates[:, None] - targets[None], axis=2))
     return np.linalg.lstsq(a, b, rcond=None)[0][:n].T @ values
+
+
+def k_shape_groups(df: DataFrame, names: Sequence[str], k: int, order: str = POS, seed: int = 0) -> DataFrame:
+    """The group of each of the columns ``names`` by the shape of its values in order; the columns meet in one task."""
+    def run(*arrays):
+        return {"names": list(names), "groups": k_shape(np.stack([np.asarray(a, float) for a in arrays]), k, seed=seed).tolist()}
+
+    one = summarised(df, run, list(names), {"names": "array<string>", "groups": "array<int>"}, order)
+    return one.select(F.explode(F.arrays_zip("names", "groups")).alias("r")).select(F.col("r.names").alias("name"), F.col("r.groups").alias("group"))
+
+
+def split_by(df: DataFrame, kernel, name: str, order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:
+    """Adds ``cluster`` from one of the kernels above, run on each series of a column; a frame of each is a filter away."""
+    return by_series(df, kernel, [name], {"cluster": "bigint"}, order, by, **options)

@@ -19,25 +19,36 @@ def decay_of(kind: str, value: float) -> float:
 
 
 def ewm(x: np.ndarray, alpha: float, finite: bool = False) -> np.ndarray:
-    """Exponentially weighted mean; ``finite`` divides by the sum of the weights so far."""
+    """Exponentially weighted mean; ``finite`` divides by the sum of the weights so far.
+
+    Rows before the first number are 0. If there are any, the finite form counts the weight
+    of the first number but not its value. A later row that is no number ends the series.
+    """
     x = np.asarray(x, float)
-    out, top, weight, started = np.full(len(x), NAN), 0.0, 0.0, False
-    for i, v in enumerate(x):
-        if v == v:
-            if finite:
-                top, weight = top * (1 - alpha) + v, weight * (1 - alpha) + 1
-            else:
-                top, weight = (v if not started else top * (1 - alpha) + alpha * v), 1.0
-            started = True
-        if started:
-            out[i] = top / weight
+    out, known = np.zeros(len(x)), np.flatnonzero(x == x)
+    if not len(known):
+        return out
+    start, keep = int(known[0]), 1 - alpha
+    out[start] = value = x[start]
+    total, weight = (x[start] if start == 0 else 0.0), 1.0
+    for i in range(start + 1, len(x)):
+        if finite:
+            total, weight = total * keep + x[i], weight * keep + 1
+            out[i] = total / weight
+        else:
+            out[i] = value = alpha * x[i] + keep * value
     return out
 
 
 def span(x: np.ndarray, n: float) -> np.ndarray:
+    """The finite form by span."""
     return ewm(x, decay_of("span", n), True)
 
 
+def plain_span(x: np.ndarray, n: float) -> np.ndarray:
+    return ewm(x, decay_of("span", n))
+
+
 def rolled(f: Callable[[np.ndarray], np.ndarray], x: np.ndarray, n: int) -> np.ndarray:
     """f over axis 1 of every window of the last n values."""
     x = np.asarray(x, float)
@@ -84,32 +95,66 @@ def ewm_var(x, kind="span", value=10.0):
 
 
 def zero_lag_mean(x, n=10):
-    lag = (n - 1) // 2
-    return {"zlmm": span(2 * np.asarray(x, float) - before(x, lag), n)}
+    x, out = np.asarray(x, float), np.full(len(x), NAN)
+    first = int(np.argmax(x == x)) + (n - 1) // 2
+    out[first:] = span((2 * x - before(x, (n - 1) // 2))[first:], n)
+    return {"zlmm": out}
 
 
 def partial_autocorrelation(x, max_lag=10):
-    x = np.asarray(x, float) - np.mean(x)
-    out = [1.0]
+    """For each k the weight of the nearest of k neighbours in the least-squares fit of a row by these, without a constant."""
+    x, out = np.asarray(x, float), [1.0]
     for k in range(1, max_lag):
-        a = np.stack([x[k - j - 1 : len(x) - j - 1] for j in range(k)], 1)
-        out.append(float(np.linalg.lstsq(a, x[k:], rcond=None)[0][-1]))
+        neighbours = np.lib.stride_tricks.sliding_window_view(x, k)[:-1]
+        out.append(float(np.linalg.solve(neighbours.T @ neighbours, neighbours.T @ x[k:])[-1]))
     return {"pacf": out}
 
 
-def max_sub_array(x, low=-np.inf, high=np.inf):
-    """Kadane's largest sum of a run of values within the bounds; the end is exclusive."""
-    best, begin, end, now, start = -np.inf, 0, 0, 0.0, 0
+def fixed_autocorrelation(x, lag, blocks=False):
+    """Correlation of ``lag`` rows with the ``lag`` rows behind them, for each row that begins such a pair (or each block).
+
+    Towards the end both parts shrink to what is left; one row alone has no correlation.
+    """
+    x, n = np.asarray(x, float), len(x)
+    out = np.full(n, NAN)
+    for row, begin in enumerate(range(0, n - n % lag, lag) if blocks else range(n - lag)):
+        middle = begin + lag
+        if middle >= n:
+            break
+        size = min(lag, n - middle)
+        a, b = x[middle - size : middle], x[middle : middle + size]
+        if size > 1 and a.std() > 0 and b.std() > 0:
+            out[row] = np.corrcoef(a, b)[0, 1]
+    return {"facf": out}
+
+
+def max_sub_array(x, low=-np.inf, high=np.inf, smallest=False):
+    """Kadane's largest (least) sum of a run of rows; values beyond the bounds are passed over, and the end is exclusive."""
+    found = _sub_arrays(x, low, high, smallest)
+    best = found[-1] if found else (0.0, 0, 0)
+    return {"sum": best[0], "begin": best[1], "end": best[2]}
+
+
+def _sub_arrays(x, low, high, smallest):
+    """Each record of the best sum so far, with its run."""
+    sign, best, now, begin, out = -1.0 if smallest else 1.0, -np.inf, -np.inf, 0, []
     for i, v in enumerate(np.asarray(x, float)):
         if not low <= v <= high:
-            now, start = 0.0, i + 1
             continue
-        if now <= 0:
-            now, start = 0.0, i
-        now += v
+        if now + sign * v < sign * v:
+            begin, now = i, sign * v
+        else:
+            now = now + sign * v if now > -np.inf else sign * v
         if now > best:
-            best, begin, end = now, start, i + 1
-    return {"sum": best, "begin": begin, "end": end}
+            best = now
+            out.append((sign * now, begin, i + 1))
+    return out
+
+
+def n_max_sub_arrays(x, n=5, low=-np.inf, high=np.inf, smallest=False):
+    """The n best of the records that the search for the best run passes through, best first."""
+    best = sorted(_sub_arrays(x, low, high, smallest), key=lambda r: r[0], reverse=not smallest)[:n]
+    return {"sums": [r[0] for r in best], "begins": [r[1] for r in best], "ends": [r[2] for r in best]}
 
 
 def inversions(x):
@@ -127,7 +172,7 @@ def inversions(x):
 
 
 def kendall(x, y):
-    """Pairs in agreement less pairs in conflict, over all pairs; a tie agrees."""
+    """Pairs in agreement less pairs in conflict, over all pairs. A tie takes the sign of the other difference, as the sign of a product with 0 does."""
     x, y, total = np.asarray(x, float), np.asarray(y, float), 0.0
     for i in range(len(x)):
         total += np.copysign(1.0, (x[i] - x[i + 1 :]) * (y[i] - y[i + 1 :])).sum()
@@ -196,26 +241,27 @@ def decompose(y, period=12, frac=0.3, multiplicative=False):
     return {"trend": trend, "seasonal": seasonal, "residual": rest / seasonal if multiplicative else rest - seasonal}
 
 
-def kpss(x, lags=None):
-    """Level of the cumulated residuals of a linear trend, against their long-run variance."""
-    x, n = np.asarray(x, float), len(x)
-    t = np.arange(n)
+#: Levels of KPSS by the critical values that a statistic is below of.
+KPSS_LEVELS = ((0.347, 0.1), (0.463, 0.05), (0.574, 0.025), (0.739, 0.01))
+
+
+def kpss(x):
+    """Squares of the cumulated residuals of a linear trend, over n squared times their variance."""
+    x = np.asarray(x, float)
+    t = np.arange(1.0, len(x) + 1)
     e = x - np.polyval(np.polyfit(t, x, 1), t)
-    lags = int(12 * (n / 100) ** 0.25) if lags is None else lags
-    s = (e**2).sum() / n + sum(2 / n * (1 - k / (lags + 1)) * (e[k:] * e[:-k]).sum() for k in range(1, lags + 1))
-    stat = float((np.cumsum(e) ** 2).sum() / (n * n * s))
-    return {"statistic": stat, "level": next((p for c, p in ((0.216, 0.01), (0.176, 0.025), (0.146, 0.05), (0.119, 0.1)) if stat >= c), 0.0)}
+    stat = float((np.cumsum(e) ** 2).sum() / (len(x) ** 2 * e.var()))
+    return {"statistic": stat, "level": next((level for bound, level in KPSS_LEVELS if stat < bound), 0.0)}
 
 
 def augmented_dickey_fuller(x, lag=1, trend=False):
+    """Autocovariance at ``lag`` over the variance, with the linear trend removed on request."""
     x = np.asarray(x, float)
-    d = np.diff(x)
-    rows = np.arange(lag, len(d))
-    a = np.stack([x[rows], np.ones(len(rows)), *([rows.astype(float)] if trend else []), *[d[rows - k] for k in range(1, lag + 1)]], 1)
-    b, *_ = np.linalg.lstsq(a, d[rows], rcond=None)
-    e = d[rows] - a @ b
-    cov = np.linalg.inv(a.T @ a) * (e @ e) / max(1, len(rows) - a.shape[1])
-    return {"statistic": float(b[0] / math.sqrt(cov[0, 0]))}
+    if trend:
+        t = np.arange(1.0, len(x) + 1)
+        x = x - np.polyval(np.polyfit(t, x, 1), t)
+    d = x - x.mean()
+    return {"statistic": float((d[lag:] * d[: len(d) - lag]).sum() / (len(x) - lag - 1) / x.var())}
 
 
 def _normal_cdf(z):
@@ -225,7 +271,7 @@ def _normal_cdf(z):
 def anderson_darling(x):
     x = np.sort(np.asarray(x, float))
     n = len(x)
-    f = np.clip(_normal_cdf((x - x.mean()) / x.std(ddof=1)), 1e-12, 1 - 1e-12)
+    f = np.clip(_normal_cdf((x - x.mean()) / x.std(ddof=1)), 1e-300, 1 - 1e-16)
     i = np.arange(1, n + 1)
     a = (-n - ((2 * i - 1) * (np.log(f) + np.log(1 - f[::-1]))).sum() / n) * (1 + 4 / n - 25 / n**2)
     p = math.exp(1.2937 - 5.709 * a + 0.0186 * a * a) if a > 0.6 else math.exp(0.9177 - 4.279 * a - 1.38 * a * a) if a > 0.34 else 1 - math.exp(-8.318 + 42.796 * a - 59.938 * a * a) if a > 0.2 else 1 - math.exp(-13.436 + 101.14 * a - 223.73 * a * a)
@@ -260,14 +306,18 @@ def shapiro_wilk(x):
     return {"statistic": float(w), "p_value": float(1 - nd.cdf(z))}
 
 
+#: P-values of the Cramer-von Mises statistic by its upper bounds.
+CVM_LEVELS = (
+    (0.0275, 1.0), (0.051, 0.99), (0.092, 0.95), (0.126, 0.9), (0.152, 0.85), (0.195, 0.8), (0.220, 0.75), (0.275, 0.7), (0.319, 0.65), (0.347, 0.6), (0.393, 0.55), (0.429, 0.5),
+)
+
+
 def cramer_von_mises(x):
     x = np.sort(np.asarray(x, float))
     n = len(x)
     f = _normal_cdf((x - x.mean()) / x.std(ddof=1))
-    t = 1 / (12 * n) + (((2 * np.arange(1, n + 1) - 1) / (2 * n) - f) ** 2).sum()
-    z = t * (1 + 0.5 / n)
-    p = 1 - math.exp(-13.953 + 775.5 * z - 12542.61 * z * z) if z < 0.0275 else 1 - math.exp(-5.903 + 179.546 * z - 1515.29 * z * z) if z < 0.051 else math.exp(0.886 - 31.62 * z + 10.897 * z * z) if z < 0.092 else math.exp(1.111 - 34.242 * z + 12.832 * z * z)
-    return {"statistic": float(t), "p_value": float(min(1, max(0, p)))}
+    t = float(1 / (12 * n) + (((2 * np.arange(1, n + 1) - 1) / (2 * n) - f) ** 2).sum())
+    return {"statistic": t, "p_value": next((p for bound, p in CVM_LEVELS if t < bound), float(np.finfo(float).eps))}
 
 
 # Signals, anomalies, forecasts
@@ -305,23 +355,36 @@ def fft_outliers(x, n=5, threshold=1.0):
     return {"outlier": np.abs(x - np.fft.ifft(f).real) > threshold}
 
 
-def local_outliers(x, k=5, threshold=1.5):
+def local_outliers(x, k=5, threshold=1.5, textbook=False):
+    """Mean density of the k nearest neighbours over a row's own.
+
+    A row's reach is the larger of its distance to a neighbour and its distance to the row
+    whose number is that neighbour's rank; in the textbook's form, the neighbour's own reach.
+    """
     x, n = np.asarray(x, float), len(x)
-    d = np.abs(x[:, None] - x[None, :])
-    near = np.argsort(d + np.diag(np.full(n, np.inf)), 1)[:, :k]
-    kth = np.take_along_axis(d, near[:, -1:], 1)[:, 0]
-    reach = np.maximum(kth[near], np.take_along_axis(d, near, 1)).mean(1)
-    density = 1 / np.maximum(reach, 1e-12)
-    score = density[near].mean(1) / density
+    score = np.ones(n)
+    if n > k + 1:
+        d = np.abs(x[:, None] - x[None, :])
+        near = np.argsort(d, 1, kind="stable")[:, 1 : k + 1]
+        away = np.take_along_axis(d, near, 1)
+        reach = np.maximum(away[near, -1], away) if textbook else np.maximum(away, d[:, :k])
+        density = k / np.maximum(reach.sum(1), 1e-300)
+        score = density[near].mean(1) / density
     return {"score": score, "outlier": score > threshold}
 
 
 def knn_outliers(x, window=5, k=3):
-    x = np.asarray(x, float)
+    """Mean distance of each window of rows to its k nearest, averaged over the windows that hold a row."""
+    x, n = np.asarray(x, float), len(x)
+    if n < window + k:
+        return {"score": np.full(n, NAN)}
     w = np.lib.stride_tricks.sliding_window_view(x, window)
-    d = np.sqrt(((w[:, None] - w[None]) ** 2).sum(2))
-    score = np.sort(d, 1)[:, 1 : k + 1].mean(1)
-    return {"score": np.concatenate([np.full(window - 1, score[0] if len(score) else NAN), score])}
+    score = np.array([np.partition(np.sqrt(((w - own) ** 2).sum(1)), k)[: k + 1].sum() / k for own in w])
+    total, many = np.zeros(n), np.zeros(n)
+    for j in range(window):
+        total[j : j + len(w)] += score
+        many[j : j + len(w)] += 1
+    return {"score": total / many}
 
 
 def isolation_outliers(x, trees=100, threshold=0.6, seed=0):
@@ -365,20 +428,36 @@ def arima(x, periods=3, p=2, d=1, q=1):
     return {"forecast": out.tolist(), "phi": b[:p].tolist(), "theta": b[p:].tolist(), "sigma_sq": float(res.var())}
 
 
-def holt_winters(x, periods=3, season=0, alpha=0.25, beta=0.1, gamma=0.1):
-    x = np.asarray(x, float)
-    s = season or 1
-    level, trend = x[:s].mean(), (x[s : 2 * s].mean() - x[:s].mean()) / s if len(x) >= 2 * s else 0.0
-    cycle = list(x[:s] - level) if season else [0.0]
-    fitted = []
-    for i, v in enumerate(x):
-        c = cycle[i % s]
-        fitted.append(level + trend + c)
-        old, level = level, alpha * (v - c) + (1 - alpha) * (level + trend)
+def holt_winters(x, periods=3, season=0, alpha=0.25, beta=0.1, gamma=0.1, multiplicative=False):
+    """Holt's method, or with a season Holt and Winters'; starting values are means of the first differences or of whole seasons."""
+    x, n = np.asarray(x, float), len(x)
+    if not season:
+        level, trend = x[0], float(np.diff(x[: min(n, 11)]).mean())
+        fitted = [level]
+        for v in x[1:]:
+            fitted.append(level + trend)
+            old, level = level, alpha * v + (1 - alpha) * (level + trend)
+            trend = beta * (level - old) + (1 - beta) * trend
+        return {"forecast": [level + k * trend for k in range(1, periods + 1)], "fitted": fitted}
+    whole = x[: max(2, n // season) * season].reshape(-1, season)
+    means = whole.mean(1)
+    first = (whole / means[:, None] if multiplicative else whole - means[:, None]).mean(0)
+    level, trend = means[0], (means[-1] - means[0]) / (len(means) - 1) / season
+    cycle = [*first]  # what later rows write is read one season on
+    fitted = [(level + trend) * first[0] if multiplicative else level + trend + first[0]]
+    for t in range(1, n):
+        s = cycle[t - season] if t >= season else first[t]
+        fitted.append((level + trend) * s if multiplicative else level + trend + s)
+        old, level = level, alpha * (x[t] / s if multiplicative else x[t] - s) + (1 - alpha) * (level + trend)
         trend = beta * (level - old) + (1 - beta) * trend
-        if season:
-            cycle[i % s] = gamma * (v - level) + (1 - gamma) * c
-    return {"forecast": [level + (k + 1) * trend + cycle[(len(x) + k) % s] for k in range(periods)], "fitted": fitted}
+        new = gamma * (x[t] / level if multiplicative else x[t] - level) + (1 - gamma) * s
+        if t < season:
+            cycle[t] = new
+        else:
+            cycle.append(new)
+    last = cycle[n - season : n]
+    out = [level + k * trend for k in range(1, periods + 1)]
+    return {"forecast": [v * last[(n - 1 + k) % season] if multiplicative else v + last[(n - 1 + k) % season] for k, v in enumerate(out, 1)], "fitted": fitted}
 
 
 def lstm(x, periods=3, hidden=8, window=10, epochs=20, rate=0.01, seed=0):
@@ -427,16 +506,13 @@ def hurst(x, ranges=(1, 2, 4)):
     x, sizes, rs = np.asarray(x, float), [], []
     for r in ranges:
         n = len(x) // r
-        found = []
-        for i in range(r):
-            part = x[i * n : (i + 1) * n]
-            c = np.cumsum(part - part.mean())
-            if part.std() > 0:
-                found.append((c.max() - c.min()) / part.std())
-        if found:
-            sizes.append(math.log(n))
-            rs.append(math.log(np.mean(found)))
-    return {"hurst": float(np.polyfit(sizes, rs, 1)[0])}
+        parts = x[: n * r].reshape(r, n)
+        c = np.cumsum(parts - parts.mean(1, keepdims=True), 1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            found = (np.maximum(c.max(1), 0) - c.min(1)) / parts.std(1, ddof=1)
+        sizes.append(math.log(n))
+        rs.append(math.log(found.mean()))
+    return {"hurst": float(np.polyfit(sizes, rs, 1)[0]) if np.isfinite(rs).all() else NAN}
 
 
 def lagrange_fill(x, index):
@@ -448,10 +524,39 @@ def lagrange_fill(x, index):
     return {"filled": x}
 
 
-def repaired(x, flags, policy="linear_interpolate"):
-    """Flagged values from their neighbours, left to right, so that runs build on what is repaired."""
-    x = np.asarray(x, float).copy()
+def repaired(x, flags, index=None, policy="linear_interpolate"):
+    """Flagged values from the rows next to them, left to right, so that runs build on what is repaired.
+
+    The first and the last row have no neighbour on one side: only fill_forward repairs the
+    last one and fill_backward the first one.
+    """
+    x, n = np.asarray(x, float).copy(), len(x)
+    t = np.arange(n, dtype=float) if index is None else np.asarray(index, float)
     for i in np.flatnonzero(np.asarray(flags, bool)):
-        a, b = x[i - 1] if i else NAN, x[i + 1] if i + 1 < len(x) else NAN
-        x[i] = {"fill_forward": a, "fill_backward": b}.get(policy, (a + b) / 2)
+        if policy == "fill_forward":
+            x[i] = x[i - 1] if i else x[i]
+        elif policy == "fill_backward":
+            x[i] = x[i + 1] if i + 1 < n else x[i]
+        elif 0 < i < n - 1:
+            share = 0.5 if policy == "mid_point" else (t[i] - t[i - 1]) / (t[i + 1] - t[i - 1])
+            x[i] = x[i - 1] + share * (x[i + 1] - x[i - 1])
     return {"repaired": x}
+
+
+def align_slots(index, interval, from_start=True):
+    """For each row the number of the value that is put there when a coarser column is laid over the index, or -1.
+
+    A value comes every ``interval``; where the index jumps over that point, it goes to the
+    row before, from which the next interval counts.
+    """
+    t = np.asarray(index, float)
+    out, ref, value, start = np.full(len(t), -1, np.int64), 0, 0, 0
+    if from_start and len(t):
+        out[0], value, start = 0, 1, 1
+    for i in range(start, len(t)):
+        gap = t[i] - t[ref]
+        if gap >= interval:
+            ref = i if gap == interval else i - 1
+            out[ref] = value
+            value += 1
+    return {"slot": out}

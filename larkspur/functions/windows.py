@@ -8,9 +8,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larkspur.plans import POS, full, ordered, trailing
+from larkspur.plans import POS, full, joined_back, ordered, trailing, with_positions
 
 Order = str | Sequence[str]
 
@@ -27,9 +27,19 @@ def cumulative_product(x: Column, order: Order = POS, by: Sequence[str] = ()) ->
     return F.when(x.isNotNull(), F.when(F.max((x == 0).cast("int")).over(w) == 1, 0.0).otherwise(sign * F.coalesce(size, F.lit(1.0))))
 
 
-def rolling(f: Callable[..., Column], n: int, *x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    """Any aggregate over the last ``n`` rows."""
-    return full(n, f(*x).over(trailing(n, order, by)), order, by)
+def rolling(f: Callable[..., Column], n: int, *x: Column, order: Order = POS, by: Sequence[str] = (), skip_missing: bool = True) -> Column:
+    """Any aggregate over the last ``n`` rows; without ``skip_missing``, null where one of these has no value."""
+    value = f(*x).over(trailing(n, order, by))
+    for v in () if skip_missing else x:
+        value = F.when(F.count(v).over(trailing(n, order, by)) == n, value)
+    return full(n, value, order, by)
+
+
+def rolling_median(n: int, x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """Of the values among the last ``n`` rows, by sorting them; Spark's own median takes no ordered window."""
+    values = F.array_sort(F.collect_list(x).over(trailing(n, order, by)))
+    at = lambda i: F.get(values, F.floor((F.size(values) + i) / 2).cast("int"))
+    return full(n, (at(-1) + at(0)) / 2, order, by)
 
 
 def preceding(f: Callable[..., Column], n: int, *x: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -37,6 +47,15 @@ def preceding(f: Callable[..., Column], n: int, *x: Column, order: Order = POS,
     return full(n + 1, f(*x).over(ordered(order, by).rowsBetween(-n, -1)), order, by)
 
 
+def step_roll(df: DataFrame, period: int, *aggregates: Column, order: Order = POS, by: Sequence[str] = ()) -> DataFrame:
+    """Aggregates of every ``period``-th row, from the first one on."""
+    if by:
+        rows = df.withColumn("__at", F.row_number().over(ordered(order, by)) - 1)
+    else:
+        rows = with_positions(df, order, "__at") if order != POS else df.withColumn("__at", F.col(POS))
+    return rows.where(F.col("__at") % period == 0).groupBy(*by).agg(*aggregates)
+
+
 def lagged(x: Column, n: int = 1, order: Order = POS, by: Sequence[str] = ()) -> Column:
     return (F.lag(x, n) if n >= 0 else F.lead(x, -n)).over(ordered(order, by))
 
@@ -57,28 +76,65 @@ def returns(x: Column, kind: str = "percentage", n: int = 1, order: Order = POS,
     return {"log": F.log(F.try_divide(x, p)), "percentage": F.try_divide(x, p) - 1, "monetary": x - p, "trinary": F.signum(x - p)}[kind]
 
 
-def z_score(x: Column, by: Sequence[str] = ()) -> Column:
-    w = Window.partitionBy(*by)
-    return F.try_divide(x - F.avg(x).over(w), F.stddev_samp(x).over(w))
+#: What a scaled column needs to know of the whole column, and the value from it; sums are made in one pass.
+_WHOLE = {
+    "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "squares": lambda x: F.sum(x * x), "top": lambda x: F.max(F.abs(x)),
+    "log": lambda x: F.sum(F.log(x)), "exp": lambda x: F.sum(F.exp(x)), "pow2": lambda x: F.sum(F.pow(F.lit(2.0), x)), "pow10": lambda x: F.sum(F.pow(F.lit(10.0), x)), "logs": lambda x: F.avg(F.log(x)),
+}
+SCALINGS: dict[str, tuple[tuple[str, ...], Callable[..., Column]]] = {
+    "z_score": (("mean", "std"), lambda x, m, s: F.try_divide(x - m, s)), "min_max": (("min", "max"), lambda x, a, b: F.try_divide(x - a, b - a)),
+    "simple": (("sum",), F.try_divide), "euclidean": (("squares",), lambda x, q: F.try_divide(x, F.sqrt(q))), "maxi": (("max",), F.try_divide),
+    "decimal_scaling": (("top",), lambda x, t: x / F.pow(F.lit(10.0), F.floor(F.log10(t)) + 1)), "log_transform": ((), F.log), "root_transform": ((), F.sqrt),
+    "share": (("sum",), F.try_divide), "share_log": (("log",), lambda x, s: F.try_divide(F.log(x), s)), "share_softmax": (("exp",), lambda x, s: F.try_divide(F.exp(x), s)),
+    "share_pow2": (("pow2",), lambda x, s: F.try_divide(F.pow(F.lit(2.0), x), s)), "share_pow10": (("pow10",), lambda x, s: F.try_divide(F.pow(F.lit(10.0), x), s)),
+}
+
+
+def scaled(df: DataFrame, name: str, kind: str = "min_max", out: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    """Adds a column scaled by one of SCALINGS; what it needs of the whole column is one aggregate, joined back.
+
+    min_max, simple, euclidean, maxi, decimal_scaling, log_transform, root_transform and
+    z_score normalise; the kinds that begin with share are probabilities.
+    """
+    needs, value = SCALINGS[kind]
+    x, names = F.col(name).cast("double"), [f"__{n}" for n in needs]
+    if not needs:
+        return df.withColumn(out or name, value(x))
+    picks = [_WHOLE[n](x).alias(c) for n, c in zip(needs, names)]
+    return joined_back(df, df.groupBy(*by).agg(*picks), by).withColumn(out or name, value(x, *[F.col(c) for c in names])).drop(*names)
 
 
-def normalize(x: Column, kind: str = "min_max", by: Sequence[str] = ()) -> Column:
-    w = Window.partitionBy(*by)
-    low, high = F.min(x).over(w), F.max(x).over(w)
-    return {
-        "min_max": F.try_divide(x - low, high - low), "simple": F.try_divide(x, F.sum(x).over(w)), "euclidean": F.try_divide(x, F.sqrt(F.sum(x * x).over(w))), "maxi": F.try_divide(x, high), "z_score": z_score(x, by),
-        "decimal_scaling": x / F.pow(F.lit(10.0), F.floor(F.log10(F.max(F.abs(x)).over(w))) + 1), "log_transform": F.log(x), "root_transform": F.sqrt(x), "unit_length": x / F.sqrt(F.sum(x * x).over(w)),
-    }[kind]
+def z_score(df: DataFrame, name: str, out: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    return scaled(df, name, "z_score", out, by)
 
 
-def probability(x: Column, kind: str = "arithmetic", by: Sequence[str] = ()) -> Column:
-    v = {"arithmetic": x, "log": F.log(x), "softmax": F.exp(x), "pow2": F.pow(F.lit(2.0), x), "pow10": F.pow(F.lit(10.0), x)}[kind]
-    return F.try_divide(v, F.sum(v).over(Window.partitionBy(*by)))
+def normalize(df: DataFrame, name: str, kind: str = "min_max", out: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    return scaled(df, name, kind, out, by)
 
 
-def category(x: str, order: str = POS, by: Sequence[str] = ()) -> Column:
-    """Codes by first appearance need ``first_seen``, the least position of each value."""
-    return F.min(order).over(Window.partitionBy(*by, x))
+def probability(df: DataFrame, name: str, kind: str = "arithmetic", out: str | None = None, by: Sequence[str] = ()) -> DataFrame:
+    return scaled(df, name, "share" if kind == "arithmetic" else f"share_{kind}", out, by)
+
+
+def unit_length(x: Column) -> Column:
+    """A vector cell over its own length; zeros where the length is 0."""
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + v.cast("double") * v))
+    return F.transform(x, lambda v: F.coalesce(F.try_divide(v.cast("double"), norm), F.lit(0.0)))
+
+
+def categories(df: DataFrame, name: str, out: str = "category", missing_code: int = -1, order: str = POS) -> DataFrame:
+    """Codes 0, 1, ... in the order in which values first appear; missing rows have ``missing_code``, which no value gets."""
+    seen = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("__v")).agg(F.min(order).alias("__first"))
+    code = with_positions(seen, ["__first"], "__code")
+    if missing_code >= 0:
+        code = code.withColumn("__code", F.col("__code") + (F.col("__code") >= missing_code).cast("int"))
+    joined = df.join(code.drop("__first"), F.col(name) == F.col("__v"), "left")
+    return joined.withColumn(out, F.coalesce("__code", F.lit(missing_code)).cast("long")).drop("__v", "__code")
+
+
+def factorize(predicate: Column) -> Column:
+    """Whether a predicate holds; missing is false."""
+    return F.coalesce(predicate, F.lit(False))
 
 
 def symmetric_triangle(n: int) -> list[float]:
@@ -96,21 +152,23 @@ def weighted_mean(x: Column, n: int, order: Order = POS, by: Sequence[str] = ())
 
 
 def linreg_mean(x: Column, n: int, kind: str = "linreg", order: Order = POS, by: Sequence[str] = ()) -> Column:
-    """The regression line over the ``n`` rows before the current one."""
+    """The regression line over the ``n`` rows before the current one, which stand at 1 to n: its value at n - 1, the forecast at n, and the intercept at 0."""
     t = F.row_number().over(ordered(order, by)).cast("double")
     w = ordered(order, by).rowsBetween(-n, -1)
     sums = lambda v: F.sum(v).over(w)
     slope = (n * sums(x * t) - sums(t) * sums(x)) / (n * sums(t * t) - sums(t) * sums(t))
     middle = sums(x) / n
-    value = {"slope": slope, "linreg": middle + slope * (n - 1) / 2, "forecast": middle + slope * (n + 1) / 2, "intercept": middle - slope * (n - 1) / 2, "theta": F.atan(slope), "degree": F.degrees(F.atan(slope))}[kind]
-    return full(n + 1, value, order, by)
+    at = lambda place: middle + slope * (place - (n + 1) / 2)
+    value = {"slope": slope, "linreg": at(n - 1), "forecast": at(n), "intercept": at(0), "theta": F.atan(slope), "degree": F.degrees(F.atan(slope))}[kind]
+    return full(n + 1, F.when(F.count(x).over(w) == n, value), order, by)
 
 
-def hampel(df, name: str, n: int, deviations: float = 3.0, kind: str = "median", order: Order = POS, by: Sequence[str] = ()):
-    """Rows further than ``deviations`` scaled rolling deviations from the rolling median or mean."""
-    f = F.median if kind == "median" else F.avg
-    away = df.withColumn("__d", F.abs(F.col(name) - rolling(f, n, F.col(name), order=order, by=by)))
-    return away.withColumn("__l", rolling(f, n, F.col("__d"), order=order, by=by)).where(F.col("__d") > deviations * 1.4826 * F.col("__l")).drop("__d", "__l")
+def hampel(df: DataFrame, name: str, n: int, deviations: float = 3.0, kind: str = "median", order: Order = POS, by: Sequence[str] = (), flag: str = "outlier") -> DataFrame:
+    """Adds ``flag``: whether a row is further than ``deviations`` scaled rolling deviations from the rolling median or mean."""
+    f = rolling_median if kind == "median" else lambda n, x, **at: rolling(F.avg, n, x, **at)
+    away = df.withColumn("__d", F.abs(F.col(name) - f(n, F.col(name), order=order, by=by)))
+    limit = deviations * 1.4826 * f(n, F.col("__d"), order=order, by=by)
+    return away.withColumn(flag, F.coalesce(F.col("__d") > limit, F.lit(False))).drop("__d")
 
 
 # Prices
@@ -142,7 +200,7 @@ def williams_r(low: Column, high: Column, close: Column, n: int = 14, order: Ord
 
 def psychological_line(close: Column, n: int = 14, open_: Column | None = None, order: Order = POS, by: Sequence[str] = ()) -> Column:
     up = close > (lagged(close, 1, order, by) if open_ is None else open_)
-    return 100 * F.sum(F.coalesce(up, F.lit(False)).cast("int")).over(trailing(n, order, by)) / n
+    return 100 * rolling(F.sum, n, F.coalesce(up, F.lit(False)).cast("int"), order=order, by=by) / n
 
 
 def commodity_channel(low: Column, high: Column, close: Column, n: int = 14, lambert: float = 0.015, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -163,12 +221,13 @@ def parkinson(low: Column, high: Column, n: int = 30, periods: int = 252, order:
 
 
 def yang_zhang(low: Column, high: Column, open_: Column, close: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    k = 0.34 / (1.34 + (n + 1) / (n - 1))
+    k = 0.34 / (1 + (n + 1) / (n - 1))
     before = lagged(close, 1, order, by)
     o, c = F.log(F.try_divide(open_, before)), F.log(F.try_divide(close, before))
     rs = F.log(F.try_divide(high, close)) * F.log(F.try_divide(high, open_)) + F.log(F.try_divide(low, close)) * F.log(F.try_divide(low, open_))
-    var = lambda v: preceding(F.var_samp, n, v, order=order, by=by)
-    return F.sqrt(periods * (var(o) + k * var(c) + (1 - k) * preceding(F.avg, n, rs, order=order, by=by)))
+    term = o * o + k * c * c + (1 - k) * rs
+    w = ordered(order, by).rowsBetween(-n, -1)
+    return F.sqrt(periods * F.when(F.count(term).over(w) == n, F.sum(term).over(w)) / (n - 1))
 
 
 def hodges_tompkins(x: Column, n: int = 30, periods: int = 252, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -184,19 +243,19 @@ def slope(x: Column, n: int = 1, angle: bool = False, degrees: bool = False, ord
 
 def ultimate_oscillator(low: Column, high: Column, close: Column, fast: int = 7, medium: int = 14, slow: int = 28, order: Order = POS, by: Sequence[str] = ()) -> Column:
     before = lagged(close, 1, order, by)
-    bp, tr = close - F.least(low, before), F.greatest(high, before) - F.least(low, before)
+    bp, tr = (F.when(before.isNotNull(), v) for v in (close - F.least(low, before), F.greatest(high, before) - F.least(low, before)))
     part = lambda n: F.try_divide(rolling(F.sum, n, bp, order=order, by=by), rolling(F.sum, n, tr, order=order, by=by))
     return 100 * (4 * part(fast) + 2 * part(medium) + part(slow)) / 7
 
 
 def ulcer_index(x: Column, n: int = 14, use_sum: bool = True, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    top = F.max(x).over(trailing(n, order, by))
+    top = rolling(F.max, n, x, order=order, by=by)
     down = F.pow(F.try_divide(100 * (x - top), top), 2)
     return F.sqrt(rolling(F.sum if use_sum else F.avg, n, down, order=order, by=by) / n)
 
 
 def ttm_trend(low: Column, high: Column, close: Column, n: int = 5, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return close > rolling(F.avg, n + 1, (low + high) / 2, order=order, by=by)
+    return F.coalesce(close > rolling(F.avg, n + 1, (low + high) / 2, order=order, by=by), F.lit(False))
 
 
 def pivot_points(low: Column, high: Column, close: Column) -> Column:
@@ -212,7 +271,7 @@ def centre_of_gravity(x: Column, n: int = 10, order: Order = POS, by: Sequence[s
 
 def arnaud_legoux(x: Column, n: int = 10, sigma: float = 6.0, offset: float = 0.85, order: Order = POS, by: Sequence[str] = ()) -> Column:
     raw = [math.exp(-((i - offset * (n - 1)) ** 2) / (2 * (n / sigma) ** 2)) for i in range(n)]
-    return full(n, weighted(x, [r / sum(raw) for r in raw], order, by), order, by)
+    return full(n + 1, weighted(x, [r / sum(raw) for r in raw], order, by), order, by)
 
 
 def rate_of_change(x: Column, n: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -224,11 +283,11 @@ def accumulation(low: Column, high: Column, open_: Column, close: Column, volume
 
 
 def chaikin_money_flow(low: Column, high: Column, open_: Column, close: Column, volume: Column, n: int = 21, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return F.try_divide(rolling(F.sum, n, F.try_divide((close - open_) * volume, high - low), order=order, by=by), rolling(F.sum, n, volume, order=order, by=by))
+    return F.try_divide(rolling(F.sum, n, F.try_divide((close - open_) * volume, high - low), order=order, by=by, skip_missing=False), rolling(F.sum, n, volume, order=order, by=by))
 
 
 def vertical_horizontal(x: Column, n: int = 28, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return F.try_divide(rolling(F.max, n, x, order=order, by=by) - rolling(F.min, n, x, order=order, by=by), rolling(F.sum, n, diff(x, 1, order, by, True), order=order, by=by))
+    return F.try_divide(rolling(F.max, n, x, order=order, by=by) - rolling(F.min, n, x, order=order, by=by), rolling(F.sum, n, diff(x, 1, order, by, True), order=order, by=by, skip_missing=False))
 
 
 def on_balance_volume(close: Column, volume: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -245,17 +304,23 @@ def decay(x: Column, n: int = 5, exponential: bool = False, order: Order = POS,
 
 
 def coppock(x: Column, long: int = 14, short: int = 11, n: int = 10, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return weighted_mean(rate_of_change(x, long, order, by) + rate_of_change(x, short, order, by), n, order, by)
+    """The weighted mean skips rows that have no change yet; those that it has keep their order as weights."""
+    both = rate_of_change(x, long, order, by) + rate_of_change(x, short, order, by)
+    known = F.collect_list(both).over(trailing(n, order, by))  # leaves missing rows out
+    size = F.size(known)
+    total = F.aggregate(F.zip_with(known, F.sequence(F.lit(1), F.greatest(size, F.lit(1))), lambda v, i: v * i), F.lit(0.0), lambda a, v: a + F.coalesce(v, F.lit(0.0)))
+    return full(n, F.when(size > 0, total / (size * (size + 1) / 2)), order, by)
 
 
-def balance_of_power(low: Column, high: Column, open_: Column, close: Column) -> Column:
-    return F.try_divide(close - open_, high - low)
+def balance_of_power(low: Column, high: Column, open_: Column, close: Column, by: Sequence[str] = ()) -> Column:
+    return F.try_divide(non_zero_range(close, open_, by), non_zero_range(high, low, by))
 
 
 def vortex(low: Column, high: Column, close: Column, n: int = 14, order: Order = POS, by: Sequence[str] = ()) -> Column:
     tr = rolling(F.sum, n, true_range(low, high, close, order, by), order=order, by=by)
     up, down = F.abs(high - lagged(low, 1, order, by)), F.abs(low - lagged(high, 1, order, by))
-    return F.struct(F.try_divide(rolling(F.sum, n, up, order=order, by=by), tr).alias("plus"), F.try_divide(rolling(F.sum, n, down, order=order, by=by), tr).alias("minus"))
+    total = lambda v: rolling(F.sum, n, v, order=order, by=by, skip_missing=False)
+    return F.struct(F.try_divide(total(up), tr).alias("plus"), F.try_divide(total(down), tr).alias("minus"))
 
 
 def detrended_price(x: Column, n: int = 20, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -263,17 +328,18 @@ def detrended_price(x: Column, n: int = 20, order: Order = POS, by: Sequence[str
 
 
 def acceleration_bands(close: Column, high: Column, low: Column, n: int = 20, multiplier: float = 4.0, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    k = F.try_divide(multiplier * (high - low), high + low)
+    k = F.try_divide(multiplier * non_zero_range(high, low, by), high + low)
     mean = lambda v: rolling(F.avg, n, v, order=order, by=by)
     return F.struct(mean(low * (1 - k)).alias("lower"), mean(close).alias("middle"), mean(high * (1 + k)).alias("upper"))
 
 
 def price_distance(low: Column, high: Column, open_: Column, close: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return full(2, 2 * (high - low) + F.abs(lagged(open_, -1, order, by) - close) - F.abs(close - open_), order, by)
+    """Pairs a row's close with the next row's open; the first and the last row have no value."""
+    return full(2, 2 * non_zero_range(high, low, by) + F.abs(lagged(open_, -1, order, by) - close) - F.abs(non_zero_range(close, open_, by)), order, by)
 
 
 def ease_of_movement(low: Column, high: Column, volume: Column, n: int = 14, divisor: float = 1e8, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    return rolling(F.avg, n, F.try_divide(diff((high + low) / 2, 1, order, by) * (high - low), volume / divisor), order=order, by=by)
+    return rolling(F.avg, n, F.try_divide(diff((high + low) / 2, 1, order, by) * (high - low), volume / divisor), order=order, by=by, skip_missing=False)
 
 
 def price_volume_trend(close: Column, volume: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -287,17 +353,19 @@ def chop_index(low: Column, high: Column, close: Column, n: int = 14, order: Ord
 
 
 def relative_vigor(low: Column, high: Column, open_: Column, close: Column, n: int = 14, triangle: int = 4, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    mean = lambda v: symmetric_triangle_mean(v, triangle, order, by)
-    return F.try_divide(rolling(F.sum, n, mean(close - open_), order=order, by=by), rolling(F.sum, n, mean(high - low), order=order, by=by))
+    total = lambda v: rolling(F.sum, n, symmetric_triangle_mean(v, triangle, order, by), order=order, by=by)
+    return F.try_divide(total(non_zero_range(close, open_, by)), total(non_zero_range(high, low, by)))
 
 
 def peaks_and_valleys(x: Column, index: Column, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    """The last peak and valley (value, index) known at each row."""
+    """The last peak and valley (value, index) known at each row; before the first of them, the second row, and the row itself in the first."""
     w = ordered(order, by)
     a, b = F.lag(x).over(w), F.lag(x, 2).over(w)
     known = w.rowsBetween(Window.unboundedPreceding, 0)
     at = F.struct(a.alias("value"), F.lag(index).over(w).alias("index"))
-    return F.struct(F.last(F.when((a > b) & (a > x), at), ignorenulls=True).over(known).alias("peak"), F.last(F.when((a < b) & (a < x), at), ignorenulls=True).over(known).alias("valley"))
+    own = F.struct(x.alias("value"), index.alias("index"))
+    start = F.coalesce(F.nth_value(own, 2).over(known), own)
+    return F.struct(*[F.coalesce(F.last(F.when(turn, at), ignorenulls=True).over(known), start).alias(n) for n, turn in (("peak", (a > b) & (a > x)), ("valley", (a < b) & (a < x)))])
 
 
 def bias(x: Column, n: int = 26, order: Order = POS, by: Sequence[str] = ()) -> Column:
@@ -316,17 +384,55 @@ def gradient(f: Column, c: Column, order: Order = POS, by: Sequence[str] = ()) -
     return F.coalesce(F.try_divide(df_, dc), F.lit(0.0))
 
 
+def divergence(field: Sequence[Column], coordinates: Sequence[Column], order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """Sum over the components of their differences by their own coordinate."""
+    return sum((gradient(f, c, order, by) for f, c in zip(field, coordinates)), F.lit(0.0))
+
+
+def jacobian(field: Sequence[Column], coordinates: Sequence[Column], order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """Rows of the matrix, one for each component of the field, and its trace."""
+    cells = [[gradient(f, c, order, by) for c in coordinates] for f in field]
+    trace = sum((cells[k][k] for k in range(min(len(field), len(coordinates)))), F.lit(0.0))
+    return F.struct(F.array(*[F.array(*row) for row in cells]).alias("matrix"), trace.alias("trace"))
+
+
+def laplacian(f: Column, coordinates: Sequence[Column], order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """Sum over the coordinates of the second difference of f on three neighbours, which at the ends are the first or last three rows."""
+    w = ordered(order, by)
+
+    def three(v: Column) -> tuple[Column, Column, Column]:
+        at = lambda i: lagged(v, i, order, by)
+        first, last = F.lag(F.lit(1)).over(w).isNull(), F.lead(F.lit(1)).over(w).isNull()
+        return tuple(F.when(first, a).when(last, b).otherwise(c) for a, b, c in ((v, at(2), at(1)), (at(-1), at(1), v), (at(-2), v, at(-1))))
+
+    f0, f1, f2 = three(f)
+    out = F.lit(0.0)
+    for c in coordinates:
+        c0, c1, c2 = three(c)
+        h1, h2 = c1 - c0, c2 - c1
+        curve = 2 * (F.try_divide(f0, h1 * (h1 + h2)) - F.try_divide(f1, h1 * h2) + F.try_divide(f2, h2 * (h1 + h2)))
+        out = out + F.coalesce(curve, F.lit(0.0))
+    return F.when(F.count(F.lit(1)).over(Window.partitionBy(*by)) >= 3, out)
+
+
 def entropy(x: Column, n: int, base: float = 2, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    p = F.try_divide(x, F.sum(x).over(trailing(n, order, by)))
-    return rolling(F.sum, n, -p * F.log(p) / math.log(base), order=order, by=by)
+    """Sum of -p log p, with p a row's share of the ``n`` rows that end with it, over the ``n`` rows that begin with the row; the last rows have their own term only."""
+    p = F.try_divide(x, rolling(F.sum, n, x, order=order, by=by, skip_missing=False))
+    own, ahead = -p * F.log(p) / math.log(base), ordered(order, by).rowsBetween(0, n - 1)
+    return F.when(F.count(F.lit(1)).over(ahead) == n, full(n, F.sum(own).over(ahead), order, by)).otherwise(own)
+
+
+def impurity(x: Column, n: int, kind: str = "gini_index", order: Order = POS, by: Sequence[str] = ()) -> Column:
+    """Gini index or information entropy of the classes among the ``n`` rows that begin with the row."""
+    ahead = ordered(order, by).rowsBetween(0, n - 1)
+    rows = F.collect_list(x).over(ahead)
+    shares = F.transform(F.array_distinct(rows), lambda v: F.size(F.filter(rows, lambda w: w == v)) / n)
+    total = lambda f: F.aggregate(shares, F.lit(0.0), lambda a, p: a + f(p))
+    value = 1 - total(lambda p: p * p) if kind == "gini_index" else -total(lambda p: p * F.log2(p))
+    return F.when(F.count(F.lit(1)).over(ahead) == n, value)
 
 
 def expo_smoother(x: Column, alpha: float, order: Order = POS, by: Sequence[str] = ()) -> Column:
     """One pass over raw neighbours: a two-point average."""
     before = F.coalesce(lagged(x, 1, order, by), x)
     return before + alpha * (x - before)
-
-
-def fixed_autocorrelation(x: Column, lag: int, order: Order = POS, by: Sequence[str] = ()) -> Column:
-    """Correlation of the last ``lag`` rows with the ``lag`` rows before them."""
-    return full(2 * lag, F.corr(x, lagged(x, lag, order, by)).over(trailing(lag, order, by)), order, by)

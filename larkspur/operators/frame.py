@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from larkspur.plans import INDEX, POS, as_number, missing, ordered
+from larkspur.functions.scalars import drawn
+from larkspur.plans import INDEX, POS, Key, Ranges, as_number, blocked, joined_back, missing, ordered, sort_columns, with_positions
 
 # Projection and columns
 
@@ -20,10 +22,68 @@ def create_column(df: DataFrame, name: str, kind: str) -> DataFrame:
     return df.withColumn(name, F.lit(None).cast(kind))
 
 
+def remove_column(df: DataFrame, *names: str) -> DataFrame:
+    return df.drop(*names)
+
+
+def rename_column(df: DataFrame, old: str, new: str) -> DataFrame:
+    return df.withColumnRenamed(old, new)
+
+
 def retype_column(df: DataFrame, name: str, convert: Callable[[Column], Column] | str) -> DataFrame:
     return df.withColumn(name, F.col(name).cast(convert) if isinstance(convert, str) else convert(F.col(name)))
 
 
+def get_column(df: DataFrame, name: str) -> DataFrame:
+    """One column; an unknown name is an error, as everywhere."""
+    return df.select(name)
+
+
+def get_index(df: DataFrame, index: str = INDEX) -> DataFrame:
+    return df.select(index)
+
+
+def has_column(df: DataFrame, name: str | int) -> bool:
+    return name in df.columns if isinstance(name, str) else 0 <= name < len(df.columns)
+
+
+def column_number(df: DataFrame, name: str) -> int:
+    return df.columns.index(name)
+
+
+def column_name(df: DataFrame, number: int) -> str:
+    return df.columns[number]
+
+
+def columns_info(df: DataFrame) -> DataFrame:
+    """Number, name, type and rows of each column; the rows are counted in one pass."""
+    names = [c for c in df.columns if c != POS]
+    counted = df.agg(*[F.count(F.lit(1)).alias(c) for c in names])
+    kinds = {c: df.schema[c].dataType.simpleString() for c in names}
+    return counted.select(F.explode(F.array(*[F.struct(F.lit(i).alias("number"), F.lit(c).alias("name"), F.lit(kinds[c]).alias("type"), F.col(f"`{c}`").alias("rows")) for i, c in enumerate(names)])).alias("c")).select("c.*")
+
+
+def get_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+    """Rows of a matrix: the numeric columns as one array, in place of them."""
+    numeric = names or [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType) and f.name != POS]
+    return df.select(*[c for c in (INDEX, POS) if c in df.columns], F.array(*[F.col(c).cast("double") for c in numeric]).alias("row"))
+
+
+def pipe(df: DataFrame, *changes: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    for change in changes:
+        df = change(df)
+    return df
+
+
+def multi_visit(df: DataFrame, by: Sequence[str] = (), **visits: Column) -> DataFrame:
+    """Several aggregates, by name, in one pass."""
+    return df.groupBy(*by).agg(*[v.alias(n) for n, v in visits.items()])
+
+
+def mask(df: DataFrame, name: str, test: Callable[[Column], Column], out: str = "mask") -> DataFrame:
+    return df.withColumn(out, test(F.col(name)))
+
+
 def get_reindexed(df: DataFrame, name: str, old_index: str | None = None, index: str = INDEX) -> DataFrame:
     """Makes a column the index; the old one is dropped or kept under a new name."""
     df = df.withColumnRenamed(index, old_index) if old_index else df.drop(index)
@@ -74,35 +134,60 @@ def quantile_of(array: Column, q: float, policy: str = "mid_point") -> Column:
 def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """COUNT, MISSING, MEAN, STD, MIN, MAX, 25%, 50% and 75% of each column, one row per statistic.
 
-    Quartiles are exact: they come from counts of distinct values, not from a gathered column.
+    Sums and extremes are one pass over the columns; quartiles are exact, see ``quantiles``.
     """
+    parts = []
+    for i, c in enumerate(names):
+        x, bad = F.col(c).cast("double"), missing(F.col(c))
+        good = F.when(~bad, x)
+        parts += [F.struct(F.lit(c).alias("name"), *[v.alias(n) for n, v in (("COUNT", F.count(F.lit(1)).cast("double")), ("MISSING", F.count_if(bad).cast("double")), ("MEAN", F.avg(good)), ("STD", F.stddev_samp(good)), ("MIN", F.min(good)), ("MAX", F.max(good)))]).alias(f"c{i}")]
+    base = df.agg(*parts).select(F.explode(F.array(*[f"c{i}" for i in range(len(names))])).alias("c")).select("c.*")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in names])).alias("v")).select("v.*")
-    bad = missing(F.col("x"))
-    base = long.groupBy("name").agg(
-        F.count("*").cast("double").alias("COUNT"), F.count_if(bad).cast("double").alias("MISSING"), F.avg(F.when(~bad, F.col("x"))).alias("MEAN"),
-        F.stddev_samp(F.when(~bad, F.col("x"))).alias("STD"), F.min(F.when(~bad, F.col("x"))).alias("MIN"), F.max(F.when(~bad, F.col("x"))).alias("MAX"),
-    )
-    quarters = quantiles(long.where(~bad), "x", [0.25, 0.5, 0.75], ["name"])
-    wide = base.join(quarters.withColumnsRenamed({"q0": "25%", "q1": "50%", "q2": "75%"}), "name", "left")
+    quarters = quantiles(long, "x", [0.25, 0.5, 0.75], ["name"])
+    wide = joined_back(base, quarters.withColumnsRenamed({"q0": "25%", "q1": "50%", "q2": "75%"}), ["name"])
     return wide.unpivot("name", ["COUNT", "MISSING", "MEAN", "STD", "MIN", "MAX", "25%", "50%", "75%"], "statistic", "value")
 
 
-def quantiles(df: DataFrame, name: str, qs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact reference quantiles q0, q1, ... from counts of distinct values and their running sums."""
+POLICIES = ("mid_point", "lower", "higher", "linear")
+
+
+def quantiles(df: DataFrame, name: str, qs: Sequence[float], by: Sequence[str] = (), policy: str = "mid_point") -> DataFrame:
+    """Exact reference quantiles q0, q1, ... of a column, for each series of ``by``.
+
+    The values are cut into ranges, whose rows are counted where they are; only rows of the
+    ranges in which a quantile lies are shuffled, as counts of distinct values. Such a range
+    is one task's work, and there are as many ranges as ``plans.Ranges`` makes.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"unknown quantile policy {policy}")
     x = F.col(name).cast("double")
-    counts = df.where(~missing(x)).groupBy(*by, x.alias("v")).agg(F.count("*").alias("c"))
-    key = Window.partitionBy(*by) if by else Window.partitionBy()
-    upto = F.sum("c").over(key.orderBy("v"))
-    placed = counts.select(*by, "v", (upto - F.col("c")).alias("lo"), upto.alias("hi"), F.sum("c").over(key).alias("n"))
+    rows = df.where(~missing(x)).select(*by, x.alias("__v"))
+    ranges = Ranges(rows, [*by, "__v"], split_ties=False)
+    placed = rows.withColumn("__part", ranges.part(rows))
+    series = Window.partitionBy(*by)  # over one row for each range and series
+    sizes = placed.groupBy(*by, "__part").agg(F.count("*").alias("__c"))
+    upto = F.sum("__c").over(series.orderBy("__part"))
+    sizes = sizes.select(*by, "__part", (upto - F.col("__c")).alias("__lo"), upto.alias("__hi"), F.sum("__c").over(series).alias("__n"))
+    n = F.col("__n")
+    places = [(k, F.least(n, k + 1)) for k in (F.greatest(F.lit(1), F.least(n, F.floor(n * q + 0.5))) for q in qs)]
+    wanted = F.lit(False)
+    for place in [p for pair in places for p in pair]:
+        wanted = wanted | ((F.col("__lo") < place) & (place <= F.col("__hi")))
+    some = sizes.where(wanted).drop("__hi").withColumnsRenamed({c: f"__by{i}" for i, c in enumerate([*by, "__part"])})
+    same = F.lit(True)
+    for i, c in enumerate([*by, "__part"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    near = placed.join(some if by else F.broadcast(some), same)  # without series, two rows a quantile at most
+    counts = near.groupBy(*by, "__part", "__lo", "__n", "__v").agg(F.count("*").alias("__c"))
+    within = F.sum("__c").over(Window.partitionBy(*by, "__part").orderBy("__v")) + F.col("__lo")
+    found = counts.select(*by, "__v", (within - F.col("__c")).alias("__lo"), within.alias("__hi"), "__n")
     picks = []
-    for i, q in enumerate(qs):
-        n = F.col("n")
-        k = F.greatest(F.lit(1), F.least(n, F.floor(n * q + 0.5)))
-        at = lambda j: F.max(F.when((F.col("lo") < j) & (j <= F.col("hi")), F.col("v")))
-        second = F.least(n, k + 1)
+    for i, (q, (k, second)) in enumerate(zip(qs, places)):
+        at = lambda j: F.max(F.when((F.col("__lo") < j) & (j <= F.col("__hi")), F.col("__v")))
         pair = F.max(((n % 2 == 0) | (F.floor(n * q + 0.5) < n * q)).cast("int")) == 1
-        picks.append(F.when(pair, (at(k) + at(second)) / 2).otherwise(at(k)).alias(f"q{i}"))
-    return (placed.groupBy(*by) if by else placed.groupBy()).agg(*picks)
+        value = {"mid_point": (at(k) + at(second)) / 2, "lower": at(k), "higher": at(second), "linear": at(k) * (1 - q) + at(second) * q}[policy]
+        picks.append(F.when(pair, value).otherwise(at(k)).alias(f"q{i}"))
+    return found.groupBy(*by).agg(*picks)
 
 
 # Filters
@@ -121,15 +206,33 @@ def get_data_by_idx(df: DataFrame, begin=None, end=None, values: Sequence | None
     return df.where(F.col(index).isin(list(values)) if values is not None else F.col(index).between(begin, end))
 
 
+def _by_loc(df: DataFrame, begin: int, end: int, inclusive: str) -> tuple[DataFrame, Column]:
+    p, first, last = F.col(POS), F.lit(begin), F.lit(end)
+    if begin < 0 or end < 0:
+        df = joined_back(df, df.agg((F.max(POS) + 1).alias("__n")))
+        first = F.col("__n") + begin if begin < 0 else first
+        last = F.col("__n") + end + 1 if end < 0 else last
+    return df, (p >= first if inclusive in ("begin", "both") else p > first) & (p <= last if inclusive in ("end", "both") else p < last)
+
+
 def get_data_by_loc(df: DataFrame, begin: int, end: int, inclusive: str = "begin") -> DataFrame:
     """Rows by position; negative positions count from the end."""
-    if begin < 0 or end < 0:
-        n = F.max(POS).over(Window.partitionBy()) + 1 if df.isStreaming else F.lit(df.agg(F.max(POS)).first()[0] + 1)
-        first, last = (n + begin if begin < 0 else F.lit(begin)), (n + end + 1 if end < 0 else F.lit(end))
-    else:
-        first, last = F.lit(begin), F.lit(end)
-    p = F.col(POS)
-    return df.where((p >= first if inclusive in ("begin", "both") else p > first) & (p <= last if inclusive in ("end", "both") else p < last))
+    rows, inside = _by_loc(df, begin, end, inclusive)
+    return rows.where(inside).select(*df.columns)
+
+
+def remove_data_by_loc(df: DataFrame, begin: int, end: int, inclusive: str = "begin") -> DataFrame:
+    rows, inside = _by_loc(df, begin, end, inclusive)
+    return rows.where(~inside).select(*df.columns)
+
+
+def remove_data_by_idx(df: DataFrame, begin=None, end=None, values: Sequence | None = None, index: str = INDEX) -> DataFrame:
+    return remove_data_by_sel(df, F.col(index).isin(list(values)) if values is not None else F.col(index).between(begin, end))
+
+
+def truncate(df: DataFrame, before, after, index: str = INDEX) -> DataFrame:
+    """Keeps the rows whose index is from ``before`` to ``after``, both included."""
+    return df.where(F.col(index).between(before, after))
 
 
 def get_data_by_locs(df: DataFrame, locations: Sequence[int]) -> DataFrame:
@@ -177,14 +280,20 @@ def get_data_every_n(df: DataFrame, n: int, start: int = 0) -> DataFrame:
     return df.where((F.col(POS) >= start) & ((F.col(POS) - start) % n == 0))
 
 
+#: Draws that one row stands for before they are dealt out.
+DRAWS = 1 << 16
+
+
 def get_data_by_rand(df: DataFrame, n: float, seed: int = 0, fraction: bool = False) -> DataFrame:
-    """Draws n positions with replacement and returns their rows once each, in order."""
-    rows = df.agg(F.max(POS)).first()[0]
-    if rows is None:
-        return df
-    many = int(n * (rows + 1)) if fraction else int(n)
-    drawn = df.sparkSession.range(many).select(F.floor(F.rand(seed) * (rows + 1)).cast("long").alias(POS)).distinct()
-    return df.join(drawn, POS, "left_semi")
+    """Draws n positions with replacement and returns their rows once each, in order.
+
+    Draws come from digests of their numbers and the seed, the same in every run.
+    """
+    one = df.agg((F.max(POS) + 1).alias("__n")).where("__n > 0")
+    many = F.floor(F.col("__n") * n).cast("long") if fraction else F.lit(int(n)).cast("long")
+    starts = one.withColumn("__many", many).where("__many > 0").select("__n", "__many", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__many") - 1, F.lit(DRAWS).cast("long"))).alias("__from")).repartition("__from")
+    numbers = starts.select("__n", F.explode(F.sequence("__from", F.least(F.col("__from") + DRAWS, F.col("__many")) - 1)).alias("__draw"))
+    return df.join(numbers.select((drawn(F.col("__draw"), seed) % F.col("__n")).alias(POS)).distinct(), POS, "left_semi")
 
 
 def seconds_of_day(at: Column) -> Column:
@@ -214,8 +323,23 @@ def after_times(df: DataFrame, index: str, hour: int, minute: int = 0, second: i
     return df.where(seconds_of_day(x) > _clock(hour, minute, second, ms))
 
 
-def between_times(df: DataFrame, index: str, start: tuple, end: tuple) -> DataFrame:
-    return before_times(after_times(df, index, *start), index, *end)
+def between_times(df: DataFrame, index: str, start: tuple, end: tuple, inclusive: str = "neither", literal: bool = False) -> DataFrame:
+    """Between two times of day; ``inclusive`` is neither, begin, end or both.
+
+    ``literal`` gives the form whose including side wants each part of the clock, by itself,
+    at or beyond that of the bound.
+    """
+    x = F.col(index)
+    if literal:
+
+        def each(bound: tuple, up: bool) -> Column:
+            parts = zip((F.hour(x), F.minute(x), F.second(x)), (*bound, 0, 0))
+            return reduce(lambda a, b: a & b, [(v >= b) if up else (v <= b) for v, b in parts])
+
+        begun = df.where(each(start, True)) if inclusive in ("begin", "both") else after_times(df, index, *start, literal=True)
+        return begun.where(each(end, False)) if inclusive in ("end", "both") else before_times(begun, index, *end, literal=True)
+    low, high, now = _clock(*start), _clock(*end), seconds_of_day(x)
+    return df.where((now >= low if inclusive in ("begin", "both") else now > low) & (now <= high if inclusive in ("end", "both") else now < high))
 
 
 def on_days(df: DataFrame, index: str, days: Sequence[int]) -> DataFrame:
@@ -231,20 +355,16 @@ def in_months(df: DataFrame, index: str, months: Sequence[int]) -> DataFrame:
     return df.where(F.month(index).isin(list(months)))
 
 
-def _with_one_row(df: DataFrame, one: DataFrame) -> DataFrame:
-    return df.crossJoin(F.broadcast(one))  # an aggregate without keys: exactly one row
-
-
 def by_stdev(df: DataFrame, name: str, high: float, low: float, remove: bool = False) -> DataFrame:
     """Rows whose population z-score is strictly between; or, removing, all but those beyond either."""
     x = F.when(~missing(F.col(name)), F.col(name))
     z = (F.col(name) - F.col("__m")) / F.col("__s")
-    joined = _with_one_row(df, df.agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s")))
+    joined = joined_back(df, df.agg(F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s")))
     return joined.where(~((z > high) | (z < low)) if remove else (z > low) & (z < high)).drop("__m", "__s")
 
 
 def by_quantile(df: DataFrame, name: str, q: float, above: bool = True, remove: bool = False) -> DataFrame:
-    joined = _with_one_row(df, quantiles(df, name, [q]).withColumnRenamed("q0", "__q"))
+    joined = joined_back(df, quantiles(df, name, [q]).withColumnRenamed("q0", "__q"))
     x, v = F.col(name), F.col("__q")
     where = (~(x > v) if above else ~(x < v)) if remove else (x >= v if above else x < v)
     return joined.where(where).drop("__q")
@@ -256,6 +376,32 @@ def in_between(x: Column, low, high, inclusive: str = "begin") -> Column:
     return (left & right).cast("int")
 
 
+def _flag(test: Column, negate: bool = False) -> Column:
+    found = F.coalesce(test, F.lit(False))
+    return (~found if negate else found).cast("int")
+
+
+def starts_with(x: Column, prefix: str) -> Column:
+    return _flag(x.startswith(prefix))
+
+
+def ends_with(x: Column, suffix: str) -> Column:
+    return _flag(x.endswith(suffix))
+
+
+def is_nan_mask(x: Column, negate: bool = False) -> Column:
+    return _flag(missing(x), negate)
+
+
+def is_infinity_mask(x: Column, negate: bool = False) -> Column:
+    return _flag(F.abs(x) == float("inf"), negate)
+
+
+def is_default_mask(x: Column, default=0, negate: bool = False) -> Column:
+    """1 where a cell holds its type's default: 0, an empty text or false."""
+    return _flag(x == F.lit(default), negate)
+
+
 def peaks(x: Column, n: int, order: str = POS, by: Sequence[str] = (), valleys: bool = False) -> Column:
     """1 where a value is strictly above (below) its n neighbours on each side; 0 near the ends."""
     w = ordered(order, by)
@@ -270,21 +416,29 @@ def class_count(df: DataFrame, to_class: Column) -> DataFrame:
     return df.groupBy(to_class.alias("class")).agg(F.count("*").alias("count"))
 
 
-def pattern_match(df: DataFrame, name: str, pattern: str, order: str = POS, by: Sequence[str] = (), epsilon: float = 0.0) -> DataFrame:
-    """Whether a whole column rises, falls, or spreads as a normal one by the three-sigma rule."""
+def pattern_match(df: DataFrame, name: str, pattern: str, order: str | Sequence[str] = POS, by: Sequence[str] = (), epsilon: float = 0.0) -> DataFrame:
+    """Whether a whole column rises, falls, or spreads as a normal one by the three-sigma rule.
+
+    Neighbours of a series without a key are compared in blocks, on many tasks.
+    """
     x = F.col(name)
-    before = F.lag(x).over(ordered(order, by))
-    rules = {
-        "monotonic_increasing": x >= before - epsilon, "strictly_monotonic_increasing": x > before,
-        "monotonic_decreasing": x <= before + epsilon, "strictly_monotonic_decreasing": x < before,
-    }
-    if pattern in rules:
-        return df.select(rules[pattern].alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("matches"))
+    if pattern.endswith(("increasing", "decreasing")):
+        if by:
+            rows, before = df, F.lag(x).over(ordered(order, by))
+        else:
+            rows = blocked(df if order == POS and POS in df.columns else with_positions(df, order), 1)
+            before = F.lag(x).over(ordered(POS, ["__block"]))
+        ok = {
+            "monotonic_increasing": x >= before - epsilon, "strictly_monotonic_increasing": x > before,
+            "monotonic_decreasing": x <= before + epsilon, "strictly_monotonic_decreasing": x < before,
+        }[pattern]
+        return rows.select(ok.alias("ok")).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("matches"))
     v = F.log(x) if pattern == "log_normally_distributed" else x
-    one = df.agg(F.avg(v).alias("__m"), F.stddev_samp(v).alias("__s"), F.count(v).alias("__n"))
-    d = F.abs(v - F.col("__m")) / F.col("__s")
+    one = df.agg(F.avg(v).alias("__m"), F.stddev_samp(v).alias("__s"))
+    centre, spread = (F.lit(0.0), F.lit(1.0)) if pattern == "standard_normally_distributed" else (F.col("__m"), F.col("__s"))
+    d = F.abs(v - centre) / spread
     near = lambda k, share: F.abs(F.avg((d <= k).cast("double")) - share) <= 0.01 + epsilon
-    return _with_one_row(df, one).agg((near(1, 0.68) & near(2, 0.95) & near(3, 0.997)).alias("matches"))
+    return joined_back(df, one).agg((near(1, 0.68) & near(2, 0.95) & near(3, 0.997)).alias("matches"))
 
 
 def unique_values(df: DataFrame, name: str) -> DataFrame:
@@ -299,43 +453,44 @@ def first_last_valid(df: DataFrame, name: str) -> DataFrame:
 # Order
 
 
-def sort(df: DataFrame, keys: dict[str, str]) -> DataFrame:
-    """Keys with ascen, desce, abs_ascen or abs_desce."""
-    return df.orderBy(*[_direction(n, d) for n, d in keys.items()])
+def sort(df: DataFrame, keys: dict[str, str], place: str | None = None) -> DataFrame:
+    """Keys with ascen, desce, abs_ascen or abs_desce; with ``place``, each row's 0-based place instead of an order of rows."""
+    order = list(keys.items())
+    return with_positions(df, order, place) if place else df.orderBy(*sort_columns(df, order))
 
 
-def _direction(name: str, spec: str) -> Column:
+def sort_freq(df: DataFrame, name: str, spec: str = "ascen", place: str | None = None, then: Sequence[Key] = ()) -> DataFrame:
+    """By how often a value occurs, then by the value, both in the same direction."""
     x = F.abs(name) if spec.startswith("abs") else F.col(name)
-    return x.desc() if spec.endswith("desce") else x.asc()
-
-
-def sort_freq(df: DataFrame, name: str, spec: str = "ascen") -> DataFrame:
-    x = F.abs(name) if spec.startswith("abs") else F.col(name)
-    out = df.withColumn("__n", F.count("*").over(Window.partitionBy(x)))
-    return (out.orderBy(F.desc("__n"), x.desc()) if spec.endswith("desce") else out.orderBy("__n", x)).drop("__n")
+    keyed = df.withColumn("__x", x)
+    counted = joined_back(keyed, keyed.groupBy("__x").agg(F.count("*").alias("__n")), ["__x"])
+    direction = "desce" if spec.endswith("desce") else "ascen"
+    return sort(counted, {"__n": direction, "__x": direction} | {k if isinstance(k, str) else k[0]: "ascen" if isinstance(k, str) else k[1] for k in then}, place).drop("__n", "__x")
 
 
 def permutation(df: DataFrame, keys: dict[str, str]) -> DataFrame:
-    return df.orderBy(*[_direction(n, d) for n, d in keys.items()], POS).select(POS)
+    """POS of the row that belongs at each ``place`` of the sorted table; equal rows keep their order."""
+    return with_positions(df.select(POS, *[k for k in keys if k != POS]), [*keys.items(), POS], "place").select("place", POS)
 
 
-def top_n(df: DataFrame, name: str, n: int, smallest: bool = False, absolute: bool = False, sorted_by_value: bool = False) -> DataFrame:
-    """The n largest rows: in their old order, or sorted by the value."""
+def top_n(df: DataFrame, name: str, n: int, smallest: bool = False, absolute: bool = False, sorted_by_value: bool = False, order: str = POS) -> DataFrame:
+    """The n largest rows: in their old order, or sorted by the value; of equal rows the first by ``order``."""
     x = F.abs(name) if absolute else F.col(name)
-    picked = df.where(~missing(F.col(name))).orderBy(x.asc() if smallest else x.desc(), POS).limit(n)
-    return picked if sorted_by_value else picked.orderBy(POS)
+    picked = df.where(~missing(F.col(name))).orderBy(x.asc() if smallest else x.desc(), order).limit(n)
+    return picked if sorted_by_value else picked.orderBy(order)
 
 
-def remove_top_n(df: DataFrame, name: str, n: int, smallest: bool = False) -> DataFrame:
-    return df.join(top_n(df, name, n, smallest).select(POS), POS, "left_anti")
+def remove_top_n(df: DataFrame, name: str, n: int, smallest: bool = False, order: str = POS) -> DataFrame:
+    """``order`` tells rows apart."""
+    return df.join(F.broadcast(top_n(df, name, n, smallest, order=order).select(order)), order, "left_anti")  # n rows
 
 
 def shuffle(df: DataFrame, names: Sequence[str], seed: int = 0) -> DataFrame:
-    """Each named column is dealt out anew over the rows, independently of the others."""
+    """Each named column is dealt out anew over the rows, independently of the others, by digests of places and seed."""
     out = df
     for i, name in enumerate(names):
-        dealt = df.select(F.row_number().over(Window.orderBy(F.xxhash64(F.col(POS), F.lit(seed + i)), POS)).alias("__to"), F.col(name).alias("__new"))
-        out = out.join(dealt.select((F.col("__to") - 1).cast("long").alias(POS), "__new"), POS).drop(name).withColumnRenamed("__new", name)
+        dealt = with_positions(df.select(POS, F.col(name).alias("__new"), drawn(F.col(POS), seed, i).alias("__draw")), ["__draw", POS], "__to")
+        out = out.join(dealt.select(F.col("__to").alias(POS), "__new"), POS).drop(name).withColumnRenamed("__new", name)
     return out.select(*df.columns)
 
 
@@ -360,35 +515,40 @@ def difference(a: DataFrame, b: DataFrame, index: str = INDEX) -> DataFrame:
 
 
 def remove_duplicates(df: DataFrame, names: Sequence[str], keep: str = "first", order: str = POS) -> DataFrame:
-    key = Window.partitionBy(*names)
+    """keep is first, last or none; of the first two Spark keeps one row a key before it shuffles."""
     if keep == "none":
-        return df.withColumn("__n", F.count("*").over(key)).where("__n = 1").drop("__n")
-    rank = F.row_number().over(key.orderBy(F.col(order).asc() if keep == "first" else F.col(order).desc()))
+        return joined_back(df, df.groupBy(*names).agg(F.count("*").alias("__n")), names).where("__n = 1").drop("__n")
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.col(order).asc() if keep == "first" else F.col(order).desc()))
     return df.withColumn("__n", rank).where("__n = 1").drop("__n")
 
 
 def duplication_mask(df: DataFrame, names: Sequence[str], binary: bool = False) -> DataFrame:
+    """How often each cell's value occurs in its column, or whether more than once; counts are joined back."""
     for c in names:
-        n = F.count("*").over(Window.partitionBy(c))
-        df = df.withColumn(f"{c}_dup", (n > 1).cast("int") if binary else n)
+        n = F.col("__n")
+        df = joined_back(df, df.groupBy(c).agg(F.count("*").alias("__n")), [c]).withColumn(f"{c}_dup", (n > 1).cast("int") if binary else n).drop("__n")
     return df
 
 
 # Shape
 
 
-def explode(df: DataFrame, name: str) -> DataFrame:
-    kind = df.schema[name].dataType.typeName()
-    return df.withColumn(name, F.explode(F.map_entries(name) if kind == "map" else F.col(name)))
+def explode(df: DataFrame, name: str, place: str | None = None) -> DataFrame:
+    """One row per element of an array or entry of a map, numbered in ``place`` if that is given; empty ones disappear."""
+    x = F.map_entries(name) if df.schema[name].dataType.typeName() == "map" else F.col(name)
+    if place:
+        return df.select(*[c for c in df.columns if c != name], F.posexplode(x).alias(place, name))
+    return df.withColumn(name, F.explode(x))
 
 
 def unpivot(df: DataFrame, pivot: str, values: Sequence[str], variable: str = "variable", value: str = "values") -> DataFrame:
     return df.unpivot(pivot, list(values), variable, value)
 
 
-def pivot(df: DataFrame, names: str, values: Sequence[str], index: str = INDEX, known: Sequence | None = None) -> DataFrame:
+def pivot(df: DataFrame, names: str, values: Sequence[str], index: str = INDEX, known: Sequence | None = None, pick: Callable[[str], Column] = F.first) -> DataFrame:
+    """Long to wide; ``pick`` chooses among rows of one index and name."""
     grouped = df.groupBy(index).pivot(names, known) if known else df.groupBy(index).pivot(names)
-    return grouped.agg(*[F.first(v).alias(v) for v in values])
+    return grouped.agg(*[pick(v).alias(v) for v in values])
 
 
 def transpose(df: DataFrame, names: Sequence[str], new_names: Sequence[str], order: str = POS) -> DataFrame:
@@ -414,7 +574,7 @@ def shift(df: DataFrame, names: Sequence[str], n: int, up: bool = False, order:
 def rotate(df: DataFrame, names: Sequence[str], n: int, up: bool = False, by: Sequence[str] = ()) -> DataFrame:
     """Circular shift, by a join on the position that each value moves to."""
     size = df.groupBy(*by).agg(F.count("*").alias("__n")) if by else df.agg(F.count("*").alias("__n"))
-    sized = df.join(size, list(by)) if by else _with_one_row(df, size)
+    sized = df.join(size, list(by)) if by else joined_back(df, size)
     to = F.pmod(F.col(POS) + (-n if up else n), F.col("__n")).cast("long")
     moved = sized.select(*by, to.alias(POS), *names)
     return df.drop(*names).join(moved, [*by, POS]).select(*df.columns)
@@ -455,16 +615,18 @@ def drop_missing(df: DataFrame, names: Sequence[str], policy: str = "any", thres
     return df.where({"any": n == 0, "all": n < len(names), "threshold": n <= threshold}[policy])
 
 
-def replace(df: DataFrame, name: str, olds: Sequence, news: Sequence, limit: int = -1, order: str = POS, by: Sequence[str] = ()) -> DataFrame:
-    found = F.coalesce(*[F.when(F.col(name) == a, F.lit(b)) for a, b in zip(olds, news)])
+def replace(df: DataFrame, name: str, olds: Sequence | Callable[[Column], Column], news: Sequence = (), limit: int = -1, order: str = POS, by: Sequence[str] = ()) -> DataFrame:
+    """Listed values by others, at most ``limit`` of them; or each value by a function of it, null where it stays."""
+    x = F.col(name)
+    found = olds(x) if callable(olds) else F.coalesce(*[F.when(x == a, F.lit(b)) for a, b in zip(olds, news)])
     if limit < 0:
-        return df.withColumn(name, F.coalesce(found, F.col(name)))
-    hits = F.sum(F.col(name).isin(list(olds)).cast("int")).over(ordered(order, by).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("__hits", hits).withColumn(name, F.when((F.col("__hits") <= limit) & found.isNotNull(), found).otherwise(F.col(name))).drop("__hits")
+        return df.withColumn(name, F.coalesce(found, x))
+    hits = F.sum(found.isNotNull().cast("int")).over(ordered(order, by).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("__hits", hits).withColumn(name, F.when((F.col("__hits") <= limit) & found.isNotNull(), found).otherwise(x)).drop("__hits")
 
 
 def make_stationary(df: DataFrame, name: str, method: str, order: str = POS, by: Sequence[str] = ()) -> DataFrame:
-    """differencing (the first row copies the second), log or sqrt."""
+    """differencing (the first row copies the second), log_trans or sqrt_trans; see ``cleaning`` for the other methods."""
     x, w = F.col(name), ordered(order, by)
     value = {"differencing": F.coalesce(x - F.lag(x).over(w), F.lead(x).over(w) - x), "log_trans": F.log(x), "sqrt_trans": F.sqrt(x)}[method]
     return df.withColumn(name, value)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larkspur.plans import INDEX, POS, as_number, ordered
+from larkspur.plans import INDEX, POS, Ranges, as_number, ordered
 
 HOW = {"inner_join": "inner", "left_join": "left", "right_join": "right", "left_right_join": "full"}
 
@@ -50,16 +50,29 @@ def asof_join(a: DataFrame, b: DataFrame, on: str, values: Sequence[str], policy
 
     Both sides are tagged and united; a window carries the last right row along. Of right
     rows equal to the left one the first counts, of earlier ones the last. Work is spread by
-    ``by``. ``tolerance`` is in units of ``on``.
+    ``by``, or without it by ranges of ``on``. ``tolerance`` is in units of ``on``.
     """
     right = b.withColumn("__n", as_number(b, on)).groupBy(*by, on).agg(F.first("__n").alias("__n"), F.min_by(F.struct(*values), F.col(POS)).alias("eq"), F.max_by(F.struct(*values), F.col(POS)).alias("lt"))
     left = a.select("*", F.lit(1).alias("__side"), F.col(on).alias("__t"))
     fill = [F.lit(None).cast(left.schema[c].dataType).alias(c) for c in a.columns if c not in by]
     tagged = right.select(*by, *[x for x in fill], F.lit(0).alias("__side"), F.col(on).alias("__t"), F.struct(F.col(on).alias("t"), F.col("__n").alias("n"), "eq", "lt").alias("__r"))
     both = left.withColumn("__r", F.lit(None).cast(tagged.schema["__r"].dataType)).unionByName(tagged)
-    back = F.last("__r", ignorenulls=True).over(ordered(["__t", "__side"], by).rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__r", ignorenulls=True).over((Window.partitionBy(*by) if by else Window.partitionBy()).orderBy("__t", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing))
-    found = both.withColumn("__b", back).withColumn("__f", ahead).where("__side = 1")
+    if by:
+        keys, rows = list(by), both
+    else:  # ranges of the time; the nearest right rows of the ranges around are carried along
+        keys, ranges = ["__part"], Ranges(both.select("__t"), ["__t"], split_ties=False)
+        rows = both.withColumn("__part", ranges.part(both))
+    back = F.last("__r", ignorenulls=True).over(ordered(["__t", "__side"], keys).rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.first("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__t", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing))
+    found = rows.withColumn("__b", back).withColumn("__f", ahead).where("__side = 1")
+    if not by:
+        edges = rows.groupBy("__part").agg(F.max_by("__r", "__r.t").alias("__last"), F.min_by("__r", "__r.t").alias("__first"))
+        parts = Window.orderBy("__part")
+        carried = edges.select(
+            F.col("__part").alias("__range"), F.last("__last", ignorenulls=True).over(parts.rowsBetween(Window.unboundedPreceding, -1)).alias("__cb"),
+            F.first("__first", ignorenulls=True).over(parts.rowsBetween(1, Window.unboundedFollowing)).alias("__cf"),
+        )
+        found = found.join(F.broadcast(carried), F.col("__part") == F.col("__range")).withColumn("__b", F.coalesce("__b", "__cb")).withColumn("__f", F.coalesce("__f", "__cf"))
     here = as_number(a, on)
     gap = lambda c: F.abs(here - F.col(f"{c}.n"))
     pick = {"backward": F.col("__b"), "forward": F.col("__f"), "nearest": F.when(F.col("__f").isNull() | (gap("__b") <= gap("__f")), F.col("__b")).otherwise(F.col("__f"))}[policy]

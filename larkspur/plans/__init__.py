@@ -39,35 +39,171 @@ def as_number(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-#: Key values that are looked at to cut a table into ranges.
-BOUNDS = 1000
+def joined_back(df: DataFrame, small: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the columns of ``small``: its only row without keys, else the row of the same keys, of which null is one."""
+    if not by:
+        return df.crossJoin(F.broadcast(small))  # an aggregate without keys: exactly one row
+    renamed = small.withColumnsRenamed({c: f"__by{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
+    return df.join(renamed, same, "left").drop(*[f"__by{i}" for i in range(len(by))])
 
 
-def with_positions(df: DataFrame, order: str | Sequence[str] | None = None) -> DataFrame:
-    """Adds POS, the rows' 0-based place in ``order``, without a single-task window over the rows.
+#: Sampled rows for each range that a table is cut into.
+SAMPLES = 50
 
-    A fixed number of values of the first key, chosen by hash, cuts the table into ranges;
-    rows are numbered within their range, and the sizes of the ranges before are added. Only
-    these sizes meet in one task. Without ``order``, rows are numbered as the source gives
-    them; the source's splits then must not change between jobs.
+#: Sort directions by name: whether the absolute value counts, and whether the largest comes first.
+DIRECTIONS = {"ascen": (False, False), "desce": (False, True), "abs_ascen": (True, False), "abs_desce": (True, True)}
+Key = str | tuple[str, str]
+
+
+def _keys(df: DataFrame, order: Key | Sequence[Key]) -> list[tuple[Column, bool, T.DataType]]:
+    """Value, direction (True for descending) and type of each sort key; times as numbers, so that literals are exact."""
+    out = []
+    for key in [order] if isinstance(order, str | tuple) else order:
+        name, spec = (key, "ascen") if isinstance(key, str) else key
+        absolute, descending = DIRECTIONS[spec]
+        kind, x = df.schema[name].dataType, F.col(f"`{name}`")
+        if isinstance(kind, T.TimestampType | T.TimestampNTZType):
+            kind, x = T.LongType(), F.unix_micros(x.cast("timestamp"))
+        elif isinstance(kind, T.DateType):
+            kind, x = T.IntegerType(), F.unix_date(x)
+        elif not isinstance(kind, T.AtomicType):
+            raise ValueError(f"rows can't be cut into ranges by {name} of type {kind.simpleString()}")
+        out.append((F.abs(x) if absolute else x, descending, kind))
+    return out
+
+
+def sort_columns(df: DataFrame, order: Key | Sequence[Key]) -> list[Column]:
+    return [x.desc() if down else x.asc() for x, down, _ in _keys(df, order)]
+
+
+def _plain(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return all(_plain(f.dataType) for f in kind.fields)
+    return _plain(kind.elementType) if isinstance(kind, T.ArrayType) else not isinstance(kind, T.MapType | T.VariantType)
+
+
+def _tie(df: DataFrame) -> Column:
+    """A hash of the whole row: decides between rows of equal keys, and splits a value that many rows hold."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _plain(f.dataType)])
+
+
+class Ranges:
+    """Cuts rows into ranges of about equal size in the order of some keys.
+
+    The bounds come from a random sample of the keys, whose size is SAMPLES for each range
+    and doesn't grow with the rows; any bounds give right results. Where one value of the
+    keys fills several ranges, a hash of the row is the last key, so that it is split too.
+    """
+
+    def __init__(self, df: DataFrame, order: Key | Sequence[Key], parts: int | None = None, split_ties: bool = True):
+        self.order, self.with_tie = order, False
+        parts = parts or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        count = df.count()
+        self.bounds = self._cut(df, parts, count)
+        if split_ties and len(self.bounds) < min(parts, count) - 1 and any(a == b for a, b in zip(self.picked, self.picked[1:])):
+            self.with_tie = True
+            self.bounds = self._cut(df, parts, count)
+
+    def _all_keys(self, df: DataFrame) -> list[tuple[Column, bool, T.DataType]]:
+        return _keys(df, self.order) + ([(_tie(df), False, T.LongType())] if self.with_tie else [])
+
+    def _cut(self, df: DataFrame, parts: int, count: int) -> list[tuple]:
+        keys = self._all_keys(df)
+        names = [f"k{i}" for i in range(len(keys))]
+        some = df if count <= SAMPLES * parts else df.where(F.rand(11) < SAMPLES * parts / count)
+        sample = some.select(*[x.alias(n) for (x, _, _), n in zip(keys, names)])
+        ordering = [F.col(n).desc() if down else F.col(n).asc() for n, (_, down, _) in zip(names, keys)]
+        seen = [tuple(r) for r in sample.repartition(1).sortWithinPartitions(*ordering).collect()]
+        self.picked = [seen[len(seen) * i // parts] for i in range(1, parts)] if seen else []
+        return [b for i, b in enumerate(self.picked) if not i or b != self.picked[i - 1]]
+
+    def part(self, df: DataFrame) -> Column:
+        """The number of the range that a row of ``df`` is in; a binary search among literals."""
+        keys = self._all_keys(df)
+        if not self.bounds:
+            return F.lit(0).cast("long")
+        columns = [F.array(*[F.lit(b[i]).cast(kind) for b in self.bounds]) for i, (_, _, kind) in enumerate(keys)]
+
+        def reached(at: Column, i: int = 0) -> Column:
+            """Whether the row is at or behind the bound ``at``, from its i-th key on."""
+            if i == len(keys):
+                return F.lit(True)
+            (x, down, _), b = keys[i], F.element_at(columns[i], at)
+            behind = (x.isNull() & b.isNotNull()) | F.coalesce(x < b, F.lit(False)) if down else (x.isNotNull() & b.isNull()) | F.coalesce(x > b, F.lit(False))
+            return behind | (x.eqNullSafe(b) & reached(at, i + 1))
+
+        steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(self.bounds).bit_length()))])
+        found = F.aggregate(steps, F.lit(0), lambda done, step: F.when((done + step <= len(self.bounds)) & reached(F.least(done + step, F.lit(len(self.bounds)))), done + step).otherwise(done))
+        # Not deterministic in name only: else the optimizer derives a filter on the search itself for the other side of a join.
+        return F.when(F.spark_partition_id() < 0, F.lit(-1)).otherwise(found).cast("long")
+
+    def sorting(self, df: DataFrame) -> list[Column]:
+        return [*sort_columns(df, self.order), _tie(df).asc()]
+
+
+def _before(placed: DataFrame, size: Column, name: str) -> DataFrame:
+    """What the ranges before each range sum up to: one row for each range, whose number is bounded."""
+    counts = placed.groupBy("__part").agg(size.alias("__n"))
+    upto = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(F.col("__part").alias("__range"), F.coalesce(upto, F.lit(0)).alias(name))
+
+
+def with_positions(df: DataFrame, order: Key | Sequence[Key] | None = None, name: str = POS) -> DataFrame:
+    """Adds ``name``, the rows' 0-based place in ``order``, without a single-task window over the rows.
+
+    The table is cut into ranges; rows are numbered within their range, and the sizes of the
+    ranges before are added. Only these sizes meet in one task. Keys are names, or (name,
+    direction). Rows with equal keys are placed by a hash of all their cells. Without
+    ``order``, rows are numbered as the source gives them; the source's splits then must not
+    change between jobs.
     """
     if not order:
         numbered = df.withColumn("__at", F.monotonically_increasing_id())
         part, row = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
         placed = numbered.withColumn("__part", part).withColumn("__row", row).drop("__at")
     else:
-        keys = [order] if isinstance(order, str) else list(order)
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        kind = df.schema[keys[0]].dataType
-        seen = sorted(x[0] for x in df.select(keys[0]).where(F.col(keys[0]).isNotNull()).orderBy(F.xxhash64(keys[0])).limit(BOUNDS).distinct().collect())
-        bounds = [seen[len(seen) * i // n] for i in range(1, n)] if len(seen) >= n else []
-        part = F.coalesce(F.size(F.filter(F.array(*[F.lit(b).cast(kind) for b in bounds]), lambda b: b <= F.col(keys[0]))), F.lit(0)) if bounds else F.lit(0)
-        placed = df.withColumn("__part", F.when(F.col(keys[0]).isNull(), F.lit(-1)).otherwise(part).cast("long"))
-        placed = placed.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)) - 1)
-    counts = placed.groupBy("__part").agg(F.count("*").alias("n"))
-    before = counts.select("__part", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    out = placed.join(F.broadcast(before), "__part")
-    return out.withColumn(POS, F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")
+        ranges = Ranges(df, order)
+        placed = df.withColumn("__part", ranges.part(df))
+        placed = placed.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*ranges.sorting(df))) - 1)
+    out = placed.join(F.broadcast(_before(placed, F.count("*"), "__before")), F.col("__part") == F.col("__range"))
+    return out.withColumn("__place", F.col("__before") + F.col("__row")).drop("__part", "__row", "__before", "__range", *([name] if name in df.columns else [])).withColumnRenamed("__place", name)
+
+
+def with_running_totals(df: DataFrame, order: Key | Sequence[Key], totals: dict[str, str], ranges: Ranges | None = None) -> DataFrame:
+    """Adds for each (new name, column) the sum of the column over the rows up to and with this one in ``order``.
+
+    Rows are cut into ranges as in ``with_positions``; one row for each range meets in one
+    task. ``order`` must tell all rows apart where running totals of single rows matter.
+    """
+    ranges = ranges or Ranges(df, order)
+    placed = df.withColumn("__part", ranges.part(df))
+    within = Window.partitionBy("__part").orderBy(*ranges.sorting(df)).rowsBetween(Window.unboundedPreceding, 0)
+    sizes = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__s{i}") for i, c in enumerate(totals.values())])
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(F.col("__part").alias("__range"), *[F.coalesce(F.sum(f"__s{i}").over(ahead), F.lit(0)).alias(f"__s{i}") for i in range(len(totals))])
+    out = placed.select("*", *[F.sum(c).over(within).alias(n) for n, c in totals.items()]).join(F.broadcast(before), F.col("__part") == F.col("__range"))
+    return out.withColumns({n: F.col(n) + F.col(f"__s{i}") for i, n in enumerate(totals)}).drop("__part", "__range", *[f"__s{i}" for i in range(len(totals))])
+
+
+#: Neighbouring positions that one task takes when a series without a key is dealt out.
+BLOCK = 1 << 16
+
+
+def blocked(df: DataFrame, back: int, ahead: int = 0, size: int | None = None) -> DataFrame:
+    """Rows with POS dealt out in blocks of neighbours, so that windows of bounded reach run on many tasks.
+
+    Adds __block, the key of such windows, and __own, which is false for copies: the last
+    ``back`` rows of the block before and the first ``ahead`` rows of the one behind. Rows
+    of a window reach no further than these. Copies are to be filtered after the window.
+    """
+    size = max(size or BLOCK, back, ahead, 1)
+    own, at = F.floor(F.col(POS) / size).cast("long"), F.col(POS) % size
+    copies = F.array(own, *([F.when(at >= size - back, own + 1)] if back else []), *([F.when((at < ahead) & (own > 0), own - 1)] if ahead else []))
+    dealt = df.withColumn("__own_block", own).withColumn("__block", F.explode(F.array_compact(copies)))
+    return dealt.withColumn("__own", F.col("__block") == F.col("__own_block")).drop("__own_block")
 
 
 def _series(parts: Iterator[pd.DataFrame], by: Sequence[str]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:

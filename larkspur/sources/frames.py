@@ -1,18 +1,19 @@
 """Readers and writers of the typed text formats, and of bounded views of a table.
 
 csv has one line per column (NAME:COUNT:<type>:values), csv2 a header of NAME:COUNT:<type>
-and one line per row, json an object of columns with name, count, type and values. csv2 is
-read and written in parallel; the column-wise formats are small by nature and go through
-the driver. Parquet takes the place of the binary format.
+and one line per row, json an object of columns with name, count, type and values. All are
+read and written by Spark's tasks; in the column-wise ones a column is one line and thus one
+task's work, at most 2 GB of text. Only headers come to the driver. Parquet takes the place
+of the binary format, and Arrow's stream that of a table as bytes.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # Type tags of the formats and the Spark types that hold them.
 TYPES = {
@@ -69,14 +70,6 @@ def _time(text: str, tag: str):
     return datetime(*date, *clock, micro)
 
 
-def _lines(spark: SparkSession, path: str) -> Iterable[str]:
-    rows = spark.read.text(path, wholetext=True).toLocalIterator()
-    for row in rows:
-        for line in row[0].splitlines():
-            if line.strip() and not line.startswith("#"):
-                yield line
-
-
 def _frame(spark: SparkSession, columns: list[tuple[str, str, list]]) -> DataFrame:
     """Columns of different lengths as one table; short ones end in nulls. __pos is the row's place."""
     n = max((len(v) for _, _, v in columns), default=0)
@@ -98,8 +91,25 @@ def _column(line: str) -> tuple[str, str, list]:
     return head[1], head[3], [_value(x, head[3]) for x in parts]
 
 
+def _by_column(lines: DataFrame, head: str, items: Callable[[Column], Column]) -> DataFrame:
+    """A table from lines that hold a column each: heads are read first, then all cells are dealt out by their place."""
+    line = F.col("value")
+    heads = lines.select(F.regexp_extract(line, head, 1).alias("name"), F.regexp_extract(line, head, 2).alias("tag"), F.monotonically_increasing_id().alias("at")).where("name <> ''")
+    names = sorted(heads.groupBy("name").agg(F.min_by("tag", "at").alias("tag"), F.min("at").alias("at")).collect(), key=lambda r: r["at"])
+    unknown = [r["tag"] for r in names if r["tag"] not in TYPES]
+    if unknown:
+        raise ValueError(f"unknown column types {unknown}")
+    cells = lines.select(F.regexp_extract(line, head, 1).alias("name"), items(line).alias("items")).where("name <> ''")
+    cells = cells.withColumn("items", F.when(F.trim(F.element_at("items", -1)) == "", F.slice("items", 1, F.size("items") - 1)).otherwise(F.col("items")))
+    cells = cells.select("name", F.posexplode("items").alias("__pos", "cell"))
+    picks = [_cast(F.trim(F.max(F.when(F.col("name") == r["name"], F.col("cell")))), r["tag"]).alias(r["name"]) for r in names]
+    return cells.groupBy(F.col("__pos").cast("long").alias("__pos")).agg(*picks)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    return _frame(spark, [_column(x) for x in _lines(spark, path)])
+    """One line per column; lines that are empty or begin with # are skipped, short columns end in nulls."""
+    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    return _by_column(lines, r"^\s*([^:]+):\d*:<([^>]+)>", lambda x: F.split(F.regexp_replace(x, r"^\s*[^:]+:\d*:<[^>]+>\s*:?", ""), ",", -1))
 
 
 def read_csv2(spark: SparkSession, path: str, schema: list[tuple[str, str]] | None = None, delimiter: str = ",", skip_header: bool = False, first_row: int = 0, n_rows: int | None = None) -> DataFrame:
@@ -147,15 +157,19 @@ def _cast(x, tag: str):
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Objects {"name": {"N": count, "T": type, "D": [values]}}; bare characters and empty items are let through."""
-    text = "\n".join(_lines(spark, path))
-    columns = []
-    for m in re.finditer(r'"([^"]+)"\s*:\s*\{\s*"N"\s*:\s*(\d+)\s*,\s*"T"\s*:\s*"([^"]+)"\s*,\s*"D"\s*:\s*\[(.*?)\]\s*\}', text, re.S):
-        items = [x.strip().strip('"') for x in m[4].split(",")]
-        if items and items[-1] == "":
-            items.pop()
-        columns.append((m[1], m[3], [_value(x, m[3]) for x in items]))
-    return _frame(spark, columns)
+    """Objects {"name": {"N": count, "T": type, "D": [values]}}; bare characters and empty items are let through.
+
+    Values that hold the closing "]}" of a column themselves are not read whole.
+    """
+    lines = spark.read.option("lineSep", "]}").text(path)  # one column each
+    head = r'"([^"]+)"\s*:\s*\{\s*"N"\s*:\s*\d+\s*,\s*"T"\s*:\s*"([^"]+)"\s*,\s*"D"\s*:\s*\['
+
+    def items(x: Column) -> Column:
+        body = F.regexp_extract(x, head + r"([\s\S]*)$", 3)
+        plain = F.transform(F.split(body, ",", -1), lambda v: F.regexp_replace(F.trim(v), r'^"|"$', ""))
+        return F.coalesce(F.transform(F.from_json(F.concat(F.lit("["), body, F.lit("]")), "array<string>"), lambda v: F.coalesce(v, F.lit(""))), plain)
+
+    return _by_column(lines, head, items)
 
 
 def _tag(df: DataFrame, name: str) -> str:
@@ -189,12 +203,81 @@ def to_string(df: DataFrame, max_recs: int = 1000, precision: int = 12) -> str:
     return "".join(f"{c}:{len(rows)}:<{_tag(df, c)}>:{','.join(_text(r[c], precision) for r in rows)},\n" for c in names)
 
 
+def _as_text(df: DataFrame, name: str) -> Column:
+    kind, x = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, T.BooleanType):
+        return x.cast("int").cast("string")
+    if isinstance(kind, T.ArrayType):
+        return F.concat(F.size(x), F.lit("["), F.array_join(x.cast("array<string>"), "|"), F.lit("]"))
+    if isinstance(kind, T.MapType):
+        pairs = F.transform(F.array_sort(F.map_entries(x)), lambda e: F.concat_ws(":", e["key"].cast("string"), e["value"].cast("string")))
+        return F.concat(F.size(x), F.lit("{"), F.array_join(pairs, "|"), F.lit("}"))
+    if isinstance(kind, T.StructType):
+        return F.concat(F.lit("<"), F.concat_ws(":", *[x[f].cast("string") for f in kind.fieldNames()]), F.lit(">"))
+    return x.cast("string")
+
+
+def _column_lines(df: DataFrame) -> DataFrame:
+    """name, tag, count and texts in order of the columns."""
+    names = [c for c in df.columns if c != "__pos"]
+    long = df.select("__pos", F.explode(F.array(*[F.struct(F.lit(i).alias("number"), F.coalesce(_as_text(df, c), F.lit("")).alias("cell")) for i, c in enumerate(names)])).alias("c")).select("__pos", "c.*")
+    columns = long.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("__pos", "cell"))).alias("cells"))
+    label = lambda texts: F.element_at(F.array(*[F.lit(t) for t in texts]), F.col("number") + 1)
+    return columns.select("number", label(names).alias("name"), label([_tag(df, c) for c in names]).alias("tag"), F.size("cells").alias("count"), F.col("cells.cell").alias("texts"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """One line per column; each is put together by one task."""
+    line = F.concat(F.col("name"), F.lit(":"), F.col("count"), F.lit(":<"), F.col("tag"), F.lit(">:"), F.array_join("texts", ","), F.lit(","))
+    _column_lines(df).repartitionByRange("number").sortWithinPartitions("number").select(line.alias("value")).write.text(path)
+
+
+def write_json_files(df: DataFrame, path: str) -> None:
+    """A file for each column, {"name": {"N", "T", "D"}}, which ``read_json`` reads together."""
+    bare = F.col("tag").isin("float", "double", "short", "int", "long", "bool")
+    quoted = F.transform("texts", lambda v: F.when(bare, v).otherwise(F.substring(F.to_json(F.array(v)), 2, 1 << 30).substr(F.lit(1), F.length(F.to_json(F.array(v))) - 2)))
+    line = F.concat(F.lit('{"'), F.col("name"), F.lit('":{"N":'), F.col("count"), F.lit(',"T":"'), F.col("tag"), F.lit('","D":['), F.array_join(quoted, ","), F.lit("]}}"))
+    _column_lines(df).repartition("number").select(line.alias("value")).write.text(path)
+
+
 def write_csv2(df: DataFrame, path: str, delimiter: str = ",", columns_only: bool = False) -> None:
     """Typed header as a comment-free first column name line in every file; rows are written in parallel."""
     names = [c for c in df.columns if c != "__pos" and not (columns_only and c == "INDEX")]
     header = [f"{c}::<{_tag(df, c)}>" for c in names]
-    flat = [F.col(c).cast("int") if _tag(df, c) == "bool" else F.col(c) if not re.match("array|map|struct", df.schema[c].dataType.simpleString()) else F.to_json(c) for c in names]
-    df.select(*[x.cast("string").alias(h) for x, h in zip(flat, header)]).write.option("header", True).option("sep", delimiter).csv(path)
+    df.select(*[_as_text(df, c).alias(h) for c, h in zip(names, header)]).write.option("header", True).option("sep", delimiter).csv(path)
+
+
+def write_binary(df: DataFrame, path: str) -> None:
+    df.write.parquet(path)
+
+
+def read_binary(spark: SparkSession, path: str, first_row: int = 0, n_rows: int | None = None) -> DataFrame:
+    """What ``write_binary`` wrote, or rows of it by their place."""
+    df = spark.read.parquet(path)
+    if not first_row and n_rows is None:
+        return df
+    from larkspur.plans import with_positions
+
+    df = df if "__pos" in df.columns else with_positions(df)
+    return df.where((F.col("__pos") >= first_row) & ((F.col("__pos") < first_row + n_rows) if n_rows is not None else F.lit(True)))
+
+
+def serialize(df: DataFrame, max_recs: int) -> bytes:
+    """At most ``max_recs`` rows as bytes, an Arrow stream; the bound is the caller's, since bytes live in one process."""
+    import pyarrow as pa
+
+    table = (bounded(df, max_recs) if "__pos" in df.columns else df.limit(max_recs)).toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def deserialize(spark: SparkSession, data: bytes) -> DataFrame:
+    import pyarrow as pa
+
+    with pa.ipc.open_stream(data) as reader:
+        return spark.createDataFrame(reader.read_all())
 
 
 def write_json(df: DataFrame, max_recs: int = 1000) -> str:
