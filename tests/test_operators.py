@@ -89,6 +89,9 @@ def test_cumulative_product(small):
 
 def test_kernels_by_hand():
     assert np.allclose(Q.ewm([1.0, 2.0, 3.0], 0.5), [1, 1.5, 2.25])
+    nan = float("nan")
+    # Rows before the first number are 0, and the finite form forgets that number's value.
+    assert np.allclose(Q.ewm([nan, 4.0, 2.0], 0.5), [0, 4, 3]) and np.allclose(Q.ewm([nan, 4.0, 2.0, 6.0], 0.5, True), [0, 4, 2 / 1.5, 7 / 1.75])
     assert Q.inversions([3, 1, 2])["inversions"] == 2
     assert Q.max_sub_array([1, -2, 3, 4, -1]) == {"sum": 7, "begin": 2, "end": 4}
     assert Q.dynamic_time_warp([1, 2, 3], [1, 2, 2, 3])["distance"] == 0
