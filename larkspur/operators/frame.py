@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from larkspur.functions.scalars import drawn
-from larkspur.plans import INDEX, POS, Key, Ranges, as_number, blocked, joined_back, missing, ordered, sort_columns, with_positions
+from larkspur.plans import INDEX, POS, Key, Ranges, as_number, blocked, bucketed, joined_back, missing, numeric_bounds, ordered, sort_columns, with_positions
 
 # Projection and columns
 
@@ -142,8 +142,7 @@ def describe(df: DataFrame, names: Sequence[str]) -> DataFrame:
         good = F.when(~bad, x)
         parts += [F.struct(F.lit(c).alias("name"), *[v.alias(n) for n, v in (("COUNT", F.count(F.lit(1)).cast("double")), ("MISSING", F.count_if(bad).cast("double")), ("MEAN", F.avg(good)), ("STD", F.stddev_samp(good)), ("MIN", F.min(good)), ("MAX", F.max(good)))]).alias(f"c{i}")]
     base = df.agg(*parts).select(F.explode(F.array(*[f"c{i}" for i in range(len(names))])).alias("c")).select("c.*")
-    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("x")) for c in names])).alias("v")).select("v.*")
-    quarters = quantiles(long, "x", [0.25, 0.5, 0.75], ["name"])
+    quarters = column_quantiles(df, names, [0.25, 0.5, 0.75])
     wide = joined_back(base, quarters.withColumnsRenamed({"q0": "25%", "q1": "50%", "q2": "75%"}), ["name"])
     return wide.unpivot("name", ["COUNT", "MISSING", "MEAN", "STD", "MIN", "MAX", "25%", "50%", "75%"], "statistic", "value")
 
@@ -152,32 +151,42 @@ POLICIES = ("mid_point", "lower", "higher", "linear")
 
 
 def quantiles(df: DataFrame, name: str, qs: Sequence[float], by: Sequence[str] = (), policy: str = "mid_point") -> DataFrame:
-    """Exact reference quantiles q0, q1, ... of a column, for each series of ``by``.
+    """Exact reference quantiles q0, q1, ... of a column, for each series of ``by``; see ``column_quantiles``."""
+    x = F.col(name).cast("double")
+    rows = df.where(~missing(x)).select(*by, x.alias("__v"))
+    if not by:
+        return _picked(bucketed(rows, ["__v"], numeric_bounds(rows, ["__v"]), ["__part"]), qs, [], policy, few=True)
+    return _picked(Ranges(rows, [*by, "__v"], split_ties=False).placed(rows), qs, by, policy, few=False)
+
+
+def column_quantiles(df: DataFrame, names: Sequence[str], qs: Sequence[float], policy: str = "mid_point") -> DataFrame:
+    """name, q0, q1, ...: exact quantiles of each column that has values.
 
     The values are cut into ranges, whose rows are counted where they are; only rows of the
     ranges in which a quantile lies are shuffled, as counts of distinct values. Such a range
-    is one task's work, and there are as many ranges as ``plans.Ranges`` makes.
+    is one task's work, and there are as many ranges as ``plans.range_count`` says.
     """
+    outs = [f"__p{i}" for i in range(len(names))]
+    placed = bucketed(df.select(*names), names, numeric_bounds(df, names), outs)
+    cells = [F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("__v"), F.col(p).alias("__part")) for c, p in zip(names, outs)]
+    long = placed.select(F.explode(F.array(*cells)).alias("v")).select("v.*").where(~missing(F.col("__v")))
+    return _picked(long, qs, ["name"], policy, few=True)
+
+
+def _picked(placed: DataFrame, qs: Sequence[float], by: Sequence[str], policy: str, few: bool) -> DataFrame:
+    """Quantiles of __v for each series of rows that are placed in ranges __part; ``few`` series have a small table of ranges."""
     if policy not in POLICIES:
         raise ValueError(f"unknown quantile policy {policy}")
-    x = F.col(name).cast("double")
-    rows = df.where(~missing(x)).select(*by, x.alias("__v"))
-    ranges = Ranges(rows, [*by, "__v"], split_ties=False)
-    placed = rows.withColumn("__part", ranges.part(rows))
     series = Window.partitionBy(*by)  # over one row for each range and series
     sizes = placed.groupBy(*by, "__part").agg(F.count("*").alias("__c"))
     upto = F.sum("__c").over(series.orderBy("__part"))
     sizes = sizes.select(*by, "__part", (upto - F.col("__c")).alias("__lo"), upto.alias("__hi"), F.sum("__c").over(series).alias("__n"))
     n = F.col("__n")
     places = [(k, F.least(n, k + 1)) for k in (F.greatest(F.lit(1), F.least(n, F.floor(n * q + 0.5))) for q in qs)]
-    wanted = F.lit(False)
-    for place in [p for pair in places for p in pair]:
-        wanted = wanted | ((F.col("__lo") < place) & (place <= F.col("__hi")))
+    wanted = reduce(lambda a, b: a | b, [(F.col("__lo") < p) & (p <= F.col("__hi")) for pair in places for p in pair])
     some = sizes.where(wanted).drop("__hi").withColumnsRenamed({c: f"__by{i}" for i, c in enumerate([*by, "__part"])})
-    same = F.lit(True)
-    for i, c in enumerate([*by, "__part"]):
-        same = same & F.col(c).eqNullSafe(F.col(f"__by{i}"))
-    near = placed.join(some if by else F.broadcast(some), same)  # without series, two rows a quantile at most
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__by{i}")) for i, c in enumerate([*by, "__part"])])
+    near = placed.join(F.broadcast(some) if few else some, same)  # of few series, two rows a quantile each
     counts = near.groupBy(*by, "__part", "__lo", "__n", "__v").agg(F.count("*").alias("__c"))
     within = F.sum("__c").over(Window.partitionBy(*by, "__part").orderBy("__v")) + F.col("__lo")
     found = counts.select(*by, "__v", (within - F.col("__c")).alias("__lo"), within.alias("__hi"), "__n")

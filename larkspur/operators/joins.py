@@ -61,7 +61,7 @@ def asof_join(a: DataFrame, b: DataFrame, on: str, values: Sequence[str], policy
         keys, rows = list(by), both
     else:  # ranges of the time; the nearest right rows of the ranges around are carried along
         keys, ranges = ["__part"], Ranges(both.select("__t"), ["__t"], split_ties=False)
-        rows = both.withColumn("__part", ranges.part(both))
+        rows = ranges.placed(both)
     back = F.last("__r", ignorenulls=True).over(ordered(["__t", "__side"], keys).rowsBetween(Window.unboundedPreceding, 0))
     ahead = F.first("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__t", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing))
     found = rows.withColumn("__b", back).withColumn("__f", ahead).where("__side = 1")

@@ -90,17 +90,52 @@ def _tie(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields if _plain(f.dataType)])
 
 
+def numeric_bounds(df: DataFrame, names: Sequence[str], parts: int | None = None) -> list[list[float]]:
+    """For each numeric column ascending values that cut its rows into about equal ranges, from mergeable sketches in one pass."""
+    parts = parts or range_count(df)
+    shares = [i / parts for i in range(1, parts)]
+    x = {c: F.col(f"`{c}`").cast("double") for c in names}
+    one = df.agg(*[F.percentile_approx(F.when(~F.isnan(x[c]), x[c]), shares, 10 * parts).alias(f"b{i}") for i, c in enumerate(names)]).first()
+    return [sorted({v for v in b or () if abs(v) < float("inf")}) for b in one]
+
+
+def range_count(df: DataFrame) -> int:
+    return 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bucketed(df: DataFrame, names: Sequence[str], bounds: Sequence[Sequence[float]], outs: Sequence[str]) -> DataFrame:
+    """Adds for each numeric column how many of its bounds a value reaches: a search in compiled code; missing values are -1."""
+    from pyspark.ml.feature import Bucketizer
+
+    doubles = [f"__x{i}" for i in range(len(names))]
+    rows = df.withColumns({d: F.col(f"`{c}`").cast("double") for d, c in zip(doubles, names)})
+    real = [i for i, b in enumerate(bounds) if b]
+    if real:
+        splits = [[-float("inf"), *bounds[i], float("inf")] for i in real]
+        rows = Bucketizer(inputCols=[doubles[i] for i in real], outputCols=[f"__b{i}" for i in real], splitsArray=splits, handleInvalid="keep").transform(rows)
+    found = {o: F.when(F.col(d).isNull(), -1).otherwise(F.col(f"__b{i}") if i in real else 0).cast("long") for i, (o, d) in enumerate(zip(outs, doubles))}
+    return rows.withColumns(found).drop(*doubles, *[f"__b{i}" for i in real])
+
+
 class Ranges:
     """Cuts rows into ranges of about equal size in the order of some keys.
 
-    The bounds come from a random sample of the keys, whose size is SAMPLES for each range
-    and doesn't grow with the rows; any bounds give right results. Where one value of the
-    keys fills several ranges, a hash of the row is the last key, so that it is split too.
+    The bounds of a single number or time come from a sketch of its quantiles, others from a
+    random sample of the keys, whose size is SAMPLES for each range and doesn't grow with the
+    rows; any bounds give right results. Where one value of the keys fills several ranges, a
+    hash of the row is the last key, so that it is split too.
     """
 
     def __init__(self, df: DataFrame, order: Key | Sequence[Key], parts: int | None = None, split_ties: bool = True):
-        self.order, self.with_tie = order, False
-        parts = parts or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.order, self.with_tie, self.number = order, False, False
+        parts = parts or range_count(df)
+        keys = _keys(df, order)
+        if len(keys) == 1 and isinstance(keys[0][2], T.NumericType):
+            self.bounds = numeric_bounds(df.select(keys[0][0].alias("k")), ["k"], parts)[0]
+            # A value that fills more than one range leaves fewer bounds than asked for.
+            if not split_ties or len(self.bounds) == parts - 1:
+                self.number = True
+                return
         count = df.count()
         self.bounds = self._cut(df, parts, count)
         if split_ties and len(self.bounds) < min(parts, count) - 1 and any(a == b for a, b in zip(self.picked, self.picked[1:])):
@@ -120,6 +155,16 @@ class Ranges:
         self.picked = [seen[len(seen) * i // parts] for i in range(1, parts)] if seen else []
         return [b for i, b in enumerate(self.picked) if not i or b != self.picked[i - 1]]
 
+    def placed(self, df: DataFrame) -> DataFrame:
+        """Adds __part, the number of the range that a row is in."""
+        if not self.number:
+            return df.withColumn("__part", self.part(df))
+        (x, down, _), last = _keys(df, self.order)[0], len(self.bounds)
+        found = bucketed(df.withColumn("__k", x), ["__k"], [self.bounds], ["__part"]).drop("__k")
+        part = F.col("__part")
+        part = F.when(part < 0, last + 2).otherwise(last + 1 - part) if down else part
+        return found.withColumn("__part", F.when(F.spark_partition_id() < 0, F.lit(-2)).otherwise(part).cast("long"))  # see ``part``
+
     def part(self, df: DataFrame) -> Column:
         """The number of the range that a row of ``df`` is in; a binary search among literals."""
         keys = self._all_keys(df)
@@ -166,7 +211,7 @@ def with_positions(df: DataFrame, order: Key | Sequence[Key] | None = None, name
         placed = numbered.withColumn("__part", part).withColumn("__row", row).drop("__at")
     else:
         ranges = Ranges(df, order)
-        placed = df.withColumn("__part", ranges.part(df))
+        placed = ranges.placed(df)
         placed = placed.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*ranges.sorting(df))) - 1)
     out = placed.join(F.broadcast(_before(placed, F.count("*"), "__before")), F.col("__part") == F.col("__range"))
     return out.withColumn("__place", F.col("__before") + F.col("__row")).drop("__part", "__row", "__before", "__range", *([name] if name in df.columns else [])).withColumnRenamed("__place", name)
@@ -179,7 +224,7 @@ def with_running_totals(df: DataFrame, order: Key | Sequence[Key], totals: dict[
     task. ``order`` must tell all rows apart where running totals of single rows matter.
     """
     ranges = ranges or Ranges(df, order)
-    placed = df.withColumn("__part", ranges.part(df))
+    placed = ranges.placed(df)
     within = Window.partitionBy("__part").orderBy(*ranges.sorting(df)).rowsBetween(Window.unboundedPreceding, 0)
     sizes = placed.groupBy("__part").agg(*[F.sum(c).alias(f"__s{i}") for i, c in enumerate(totals.values())])
     ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
