@@ -15,26 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U64 = np.uint64
 #: A word is a run of bytes that are not ASCII white space.
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = np.ones(1, U64), np.ones(1, U64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        steps = np.full(size, _BASE, U64), np.full(size, _BASE_INVERSE, U64)
-        for table in steps:
-            table[0] = 1
-        with np.errstate(over="ignore"):
-            _powers = tuple(np.multiply.accumulate(x) for x in steps)
-    return _powers[0][:n], _powers[1][:n]
+#: Ranges of more bytes are hashed one by one.
+SHORT = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -84,8 +72,6 @@ def tidy(run):
         try:
             yield from run(batches)
         finally:
-            global _powers
-            _powers = np.ones(1, U64), np.ones(1, U64)
             gc.collect()
             pa.default_memory_pool().release_unused()
             with contextlib.suppress(OSError, AttributeError):  # glibc alone keeps what is freed
@@ -95,17 +81,31 @@ def tidy(run):
 
 
 class Hasher:
-    """Hashes of any byte ranges of a buffer in constant time each."""
+    """Hashes of byte ranges of a buffer: eight bytes a step for all short ranges at once, XXH3 for each longer one.
+
+    Each step mixes all bits, so that no family of texts (as words of one polynomial) meets by its structure.
+    """
 
     def __init__(self, raw: np.ndarray):
-        powers, self.inverse = _power_tables(len(raw) + 1)
-        self.sums = np.zeros(len(raw) + 1, U64)
-        with np.errstate(over="ignore"):
-            np.cumsum((raw.astype(U64) + U64(1)) * powers[: len(raw)], out=self.sums[1:])
+        self.raw = np.ascontiguousarray(raw)
+        self.padded = np.concatenate([self.raw, np.zeros(8, np.uint8)])
+        self.words = np.ndarray(len(raw) + 1, "<u8", self.padded, 0, (1,))  # the eight bytes that begin at each place
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        sizes = ends - starts
         with np.errstate(over="ignore"):
-            return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts] + (ends - starts).astype(U64))
+            out = mix(sizes.astype(U64) * U64(0x9E3779B97F4A7C15))
+            left = np.flatnonzero((sizes > 0) & (sizes <= SHORT))
+            for step in range(0, SHORT, 8):
+                if not len(left):
+                    break
+                rest = sizes[left] - step
+                own = self.words[starts[left] + step] & (~U64(0) >> (U64(64) - U64(8) * np.minimum(rest, 8).astype(U64)))
+                out[left] = mix((out[left] ^ own) * U64(0xD6E8FEB86659FD93))
+                left = left[rest > 8]
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(memoryview(self.raw[starts[i] : ends[i]]), 1)
+        return out
 
 
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,8 +1,9 @@
 """Chat formatting in budgeted windows, with DataFrame functions only.
 
-A conversation is cut into windows of whole turns by prefix sums of their tokens. Each
-window begins with the conversation's system turn and the turns that end the window
-before, as far as a history budget goes; the loss mask covers a reply only where it is new.
+A conversation is cut into windows of whole turns by prefix sums of their costs: the bytes
+of their formatted text, which no byte-level tokenizer's count exceeds. Each window begins
+with the conversation's system turn and the last turns of the window before whose costs
+together keep to a history budget; the loss mask covers a reply only where it is new.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Tokens of new turns after which a window is full, and tokens of earlier turns that the next one repeats.
-STRIDE, HISTORY = 1024, 256
+#: Cost of new turns after which a window is full, and cost of earlier turns that the next one repeats at most.
+STRIDE, HISTORY = 4096, 1024
 TARGET, SYSTEM = "assistant", "system"
 # Each replaced string and its escape. Undone in reverse order, this gives back any text.
 ESCAPES = (("\\", "\\b"), ("<|", "\\l"), ("\n", "\\n"))
@@ -29,9 +30,8 @@ def unescaped(text: Column, newlines: bool = False) -> Column:
     return text
 
 
-def tokens(text: Column) -> Column:
-    """About the tokens of a turn: a quarter of its characters, and those of the template."""
-    return (F.ceil(F.char_length(text) / 4) + 5).cast("long")
+def formatted_turn(role: Column, text: Column) -> Column:
+    return F.concat(F.lit(START), escaped(role, True), F.lit("\n"), escaped(text), F.lit(f"{END}\n"))
 
 
 def format_windows(conversations: DataFrame, stride: int = STRIDE, history: int = HISTORY) -> DataFrame:
@@ -41,25 +41,28 @@ def format_windows(conversations: DataFrame, stride: int = STRIDE, history: int
     role or text is empty. Turns are taken in the order of turn, then role and text, nulls
     first; equal rows are turns of their own. A null conv_id is a conversation too. Spans
     are in code points of ``formatted``, with exclusive ends. ``history`` is below ``stride``.
-    A window holds less than stride + history tokens, its last turn and the system turn; a
-    conversation of any length is sorted with spilling, never gathered before it is cut.
+    A window holds at most stride + history bytes, its last turn and the system turn; a turn
+    longer than ``history`` is never repeated. A conversation of any length is sorted with
+    spilling, never gathered before it is cut.
     """
     if not 0 <= history < stride:
         raise ValueError("history must be at least 0 and below stride")
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = turns.withColumn("pos", F.row_number().over(order)).withColumn("system", (F.col("pos") == 1) & (F.col("role") == SYSTEM))
-    cost = F.when(F.col("system"), 0).otherwise(tokens(F.col("text")))
+    turns = turns.withColumn("piece", formatted_turn(F.col("role"), F.col("text")))
+    cost = F.when(F.col("system"), 0).otherwise(F.octet_length("piece")).cast("long")
     before = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    piece = F.concat(F.lit(START), escaped(F.col("role"), True), F.lit("\n"), escaped(F.col("text")), F.lit(f"{END}\n"))
     turns = turns.select(
-        "conv_id", "pos", "system", piece.alias("piece"), (F.col("role") == TARGET).alias("target"), (F.char_length(escaped(F.col("role"), True)) + len(START) + 1).alias("head"),
+        "conv_id", "pos", "system", "piece", cost.alias("cost"), (F.col("role") == TARGET).alias("target"), (F.char_length(escaped(F.col("role"), True)) + len(START) + 1).alias("head"),
         F.coalesce(F.sum(cost).over(before), F.lit(0)).alias("start"),
     )
     first = F.first(F.when(F.col("system"), F.col("piece"))).over(Window.partitionBy("conv_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     window = F.floor(F.col("start") / stride).cast("long")
-    again = (window + 1) * stride - F.col("start") <= history
     turns = turns.withColumn("head_turn", first).withColumn("own", window)
+    to_end = F.sum("cost").over(Window.partitionBy("conv_id", "own").orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    turns = turns.withColumn("to_end", to_end)
+    again = F.col("to_end") <= history
     dealt = turns.withColumn("window", F.explode(F.when(again & ~F.col("system"), F.array("own", F.col("own") + 1)).otherwise(F.array("own"))))
     within = Window.partitionBy("conv_id", "window").orderBy("pos")
     repeated = F.col("own") < F.col("window")
@@ -107,15 +110,16 @@ DIGESTS_SQL = f"""
 WITH given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
         UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
     placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM given),
-    costed AS (SELECT *, pos = 1 AND role = '{SYSTEM}' AS system,
-        length('{START}') + length(replace(replace(replace(role, '\\', '\\b'), '<|', '\\l'), chr(10), '\\n')) + 1 + length(replace(replace(text, '\\', '\\b'), '<|', '\\l')) + length('{END}') + 1 AS size FROM placed),
-    started AS (SELECT *, coalesce(sum(CASE WHEN system THEN 0 ELSE ceil(length(text) / 4) + 5 END) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM costed),
-    owned AS (SELECT *, floor(start / {STRIDE}) AS own FROM started),
+    costed AS (SELECT *, pos = 1 AND role = '{SYSTEM}' AS system, '{START}' || replace(replace(replace(role, '\\', '\\b'), '<|', '\\l'), chr(10), '\\n') || chr(10) || replace(replace(text, '\\', '\\b'), '<|', '\\l') || '{END}' || chr(10) AS piece FROM placed),
+    sized AS (SELECT *, length(piece) AS size, CASE WHEN system THEN 0 ELSE strlen(piece) END AS cost FROM costed),
+    started AS (SELECT *, coalesce(sum(cost) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM sized),
+    owned0 AS (SELECT *, floor(start / {STRIDE}) AS own FROM started),
+    owned AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id, own ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS to_end FROM owned0),
     windows AS (SELECT DISTINCT conv_id, own AS win FROM owned),
     heads AS (SELECT conv_id, size AS head FROM owned WHERE system),
     sizes AS (SELECT conv_id, sum(size) AS chars FROM (
         SELECT conv_id, size FROM owned
-        UNION ALL SELECT o.conv_id, o.size FROM owned o JOIN windows w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.win = o.own + 1 WHERE NOT o.system AND (o.own + 1) * {STRIDE} - o.start <= {HISTORY}
+        UNION ALL SELECT o.conv_id, o.size FROM owned o JOIN windows w ON w.conv_id IS NOT DISTINCT FROM o.conv_id AND w.win = o.own + 1 WHERE NOT o.system AND o.to_end <= {HISTORY}
         UNION ALL SELECT w.conv_id, h.head FROM windows w JOIN heads h ON w.conv_id IS NOT DISTINCT FROM h.conv_id WHERE w.win > 0) GROUP BY conv_id)
 SELECT o.conv_id, count(*) AS n_turns, sha256(string_agg(o.role || chr(10) || o.text || chr(10), '' ORDER BY o.pos)) AS turns_sha256,
     coalesce(sum(length(o.text)) FILTER (o.role = '{TARGET}'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(o.text, '' ORDER BY o.pos) FILTER (o.role = '{TARGET}'), '')) AS loss_sha256,

@@ -32,4 +32,6 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     out = maps[0].select("node", F.col("to").alias("root"))
     for later in maps[1:]:
         out = out.join(later.select(F.col("node").alias("root"), F.col("to").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-    return scratch.write(out, "components")
+    found = scratch.write(out, "components")
+    scratch.drop(*maps, left)
+    return found

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import textwrap
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -19,7 +20,6 @@ SPELLINGS = (
     ("fulfil", "fulfill"),
     ("acknowledgement", "acknowledgment"),
     ("judgement", "judgment"),
-    ("merchantability", "merchantability"),
     ("whilst", "while"),
     ("noncommercial", "non commercial"),
     ("sublicence", "sublicense"),
@@ -107,8 +107,7 @@ def without_statements(text: Column) -> Column:
 def _words(out: Column) -> Column:
     out = F.concat(F.lit(" "), F.regexp_replace(out, r"[^a-z0-9]+", " "), F.lit(" "))
     for spelling, one in SPELLINGS:
-        if spelling != one:
-            out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {one} "))
+        out = F.replace(out, F.lit(f" {spelling} "), F.lit(f" {one} "))
     return F.trim(F.regexp_replace(out, " +", " "))
 
 
@@ -146,8 +145,7 @@ def license_scan_sql() -> str:
         quoted = COPYRIGHT_LINE.replace("(?m)", "").replace("'", "''")
         out = f"' ' || regexp_replace(regexp_replace(lower(coalesce({x}, '')), '(?m){quoted}', ' ', 'g'), '[^a-z0-9]+', ' ', 'g') || ' '"
         for spelling, one in SPELLINGS:
-            if spelling != one:
-                out = f"replace({out}, ' {spelling} ', ' {one} ')"
+            out = f"replace({out}, ' {spelling} ', ' {one} ')"
         return f"trim(regexp_replace({out}, ' +', ' ', 'g'))"
 
     values = ", ".join(f"('{n}', '{t.replace(chr(39), chr(39) * 2)}')" for n, t in sorted(KNOWN.items()))
@@ -155,3 +153,20 @@ def license_scan_sql() -> str:
         scanned AS (SELECT doc_id, sha256({form('text')}) AS canonical_sha256 FROM documents)
         SELECT doc_id, canonical_sha256, license_id, license_id IS NOT NULL AS is_license
         FROM scanned LEFT JOIN known ON canonical_sha256 = digest AND digest <> sha256('')"""
+
+
+#: Widths to which ``usual_files`` wraps each known text.
+WIDTHS = (60, 80, 100)
+
+
+def usual_files() -> list[tuple[int, str, str]]:
+    """Number, licence and text of files as they are usually found: each known text under a title and a copyright line, wrapped to several widths, and cut in half (no licence)."""
+    out = []
+    for name, text in dict(known_texts()[::-1]).items():
+        if name.endswith("-notice"):
+            continue
+        for width in WIDTHS:
+            wrapped = "\n\n".join(textwrap.fill(p, width) for p in re.split(r"\n\s*\n", text))
+            out.append((name, f"Copyright (c) 2021 Some One\n\n{wrapped}\n"))
+        out.append((None, text[: len(text) // 2]))
+    return [(i, name, text) for i, (name, text) in enumerate(out)]

@@ -13,10 +13,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from larkspur.llm import _kernels as k
-from larkspur.llm._shared import Scratch
+from larkspur.llm._shared import Scratch, unused
 from larkspur.llm.components import components
 
 WIDTH = 128
@@ -290,7 +290,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     shingle of all; texts without words, and null texts, have no links. Equal sets are one
     member that counts for its copies. A pair that is linked is found with probability
     ``recall`` or more. A row whose id is null has no class and no links; rows that share an
-    id are one document, whose class they share. Other columns are not read.
+    id are one document, whose class they share. Ids are whole numbers of at most 64 bits;
+    those of other types that aren't are an error. Other columns are not read. Every link of a
+    class is counted, so work within a class of n different texts grows with n squared.
 
     Only buckets of at most 2 * BLOCK members are compared in one task: larger ones are cut
     into blocks, and each pair of blocks is a task of its own. Pairs are never emitted, only
@@ -310,10 +312,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     runs = runs_needed(threshold, recall, DEPTHS[-1])
     found = _descend(members.select("rep", "minima"), DEPTHS[0], threshold, runs)
     leaves: DataFrame | None = None
+    tables = [members]
     for depth, following in zip(DEPTHS, (*DEPTHS[1:], None)):
         found = scratch.write(found.distinct(), "paths")
         count = found.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
         sized = scratch.write(found.join(count, "path"), "sized")
+        tables.append(sized)
         scratch.drop(found)
         done = sized if following is None else sized.where(F.col("n") <= LIMIT)
         leaves = done if leaves is None else leaves.union(done)
@@ -351,6 +355,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall:
     whole = whole.select("rep", "copies", "leaves", "tokens", F.explode("at").alias("at")).select("at.path", "at.i", "at.j", "at.blocks", "rep", "copies", "leaves", "tokens")
     checked = scratch.write(_verified(whole.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j"), threshold), "checked")
 
+    scratch.drop(*tables, likely)
     roots = components(checked.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"))
     classes = groups.join(roots, F.col("rep") == F.col("node"), "left").join(links, "rep", "left").select("signature", "copies", F.coalesce("root", "rep").alias("class_id"), "links")
@@ -385,11 +390,16 @@ def _dealt(placed: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.995) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: those with its least doc_id, each once. Rows without an id stay."""
-    scratch = Scratch(docs.sparkSession, "ngram")
-    kept = scratch.write(near_duplicates(docs, n, threshold, recall).where("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct(), "kept")
-    found = docs.join(kept.hint("merge"), F.col("doc_id") == F.col("__kept"))
-    from pyspark.sql import Window
+    """The rows of ``docs`` that stand for their class: those with its least doc_id, each once.
 
+    Rows without an id stay, and so do null and empty texts, which are classes of their own.
+    Of several rows of one id the first by the hash of the text stays. Columns of any name are
+    carried along.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram")
+    kept, row = unused(docs, "__kept", "__row")
+    leaders = scratch.write(near_duplicates(docs, n, threshold, recall).where("doc_id = class_id").select(F.col("doc_id").alias(kept)).distinct(), "kept")
+    found = docs.join(leaders.hint("merge"), F.col("doc_id") == F.col(kept))
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
-    return found.withColumn("__row", first).where("__row = 1").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    return found.withColumn(row, first).where(F.col(row) == 1).select(*columns).unionByName(docs.where("doc_id IS NULL"))

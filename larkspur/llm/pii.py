@@ -7,6 +7,7 @@ examples are made by a seeded generator, so the model is the same everywhere.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import random
@@ -25,6 +26,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "account", "contact")
 KINDS = BASE_KINDS + ADDED_KINDS
 EXAMPLES = 6000
+#: Rows whose candidates are scored together.
+ROWS_AT_ONCE = 500
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -81,14 +84,14 @@ GENERATORS = (
     ("account", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("account", re.compile(r"(?<![0-9A-Za-z])[0-9](?:[\x20-]?[0-9]){7,18}(?![0-9A-Za-z])")),
     ("contact", re.compile(r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])")),
-    ("contact", re.compile(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]{1,64}\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]{1,64}(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]{2,24})+")),
+    ("contact", re.compile(r"(?i)(?<![a-z0-9._-])[a-z0-9._-]++\x20?[\[(]\x20?at\x20?[\])]\x20?[a-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[a-z0-9-]{2,}+)+")),
     ("contact", re.compile(r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){4,7}[0-9a-f]{1,4}(?![0-9a-f:])")),
 )
 #: The generator of unbroken runs, which must hold a digit somewhere.
 _RUNS = 1
 _DIGIT = re.compile("[0-9]")
 _MAYBE = re.compile(r"[0-9@]|(?i:password|passwd|pwd|secret|token|api[_-]?key|auth)[\x20]?[=:]|(?i:[\[(]\x20?at\x20?[\])])")
-_WORDS = ("password", "token", "secret", "key", "ssn", "account", "iban", "phone", "call", "contact", "mail", "order", "invoice", "version", "build", "page", "isbn", "commit", "date", "id")
+_WORDS = ("password", "token", "secret", "key", "ssn", "account", "iban", "phone", "call", "contact", "mail", "order", "invoice", "version", "build", "page", "isbn", "commit", "date", "id", "sha", "md5", "hash", "digest", "http", "file", "of")
 
 
 def candidates(text: str) -> list[tuple[str, int, int, int]]:
@@ -109,7 +112,7 @@ def features(text: str, start: int, end: int, generator: int) -> list[float]:
     head = span.lower()
     return [
         n, digits / n, upper / n, lower / n, sum(c in "0123456789abcdef" for c in span) / n, entropy, switches / n,
-        sum(c in " -" for c in span) / n, sum(c in "=:" for c in span), len(only), float(13 <= len(only) <= 19 and _luhn(only)), float(only[:2] in ("19", "20")),
+        sum(c in " -" for c in span) / n, sum(c in "=:" for c in span), sum(c in "/_" for c in span) / n, len(only), float(13 <= len(only) <= 19 and _luhn(only)), float(only[:2] in ("19", "20")),
         float(left.endswith(("=", ": ", ":", '"', "'", "= "))), float(right[:1] in ('"', "'", ".", ",", "", " ", "\n")), float(span[:1] == "0"),
         *[float(generator == g) for g in range(len(GENERATORS))], *[float(w in left or head.startswith(w)) for w in _WORDS],
     ]
@@ -138,12 +141,21 @@ def _examples(seed: int, n: int) -> Iterator[tuple[str, bool]]:
         lambda: (r.choice(("order ", "invoice ", "page ", "build ", "id ", word() + " ")), some(dig, 8, 12)),
         lambda: (r.choice(("version ", "date ", word() + " ")), f"{r.choice(('19', '20'))}{some(dig, 2)}-{some('01', 1)}{some('12', 1)}-{some('012', 1)}{some('1234', 1)}"),
         lambda: (r.choice(("isbn ", "ISBN: ")), f"978-{some(dig, 1)}-{some(dig, 4)}-{some(dig, 4)}-{some(dig, 1)}"),
-        lambda: (r.choice(("commit ", "build ")), some(hexa, 40)),
+        lambda: (r.choice(("commit ", "build ", "sha1 ", "sha256 ", "md5 ", "hash ", "digest ", "hash: ", "sha1: ")), some(hexa, r.choice((32, 40, 64)))),
+        lambda: (r.choice(("https://", "http://", "see https://www.")), "/".join((word(), *(f"{word()}{r.choice(('-', '_', ''))}{some(dig, 1, 4)}" if r.random() < 0.5 else word() for _ in range(r.randint(2, 5)))))),
         lambda: (word() + " ", "-".join(word() for _ in range(4)) + "-" + some(dig, 1, 2)),
         lambda: (word() + " ", "_".join(word() for _ in range(3)) + some(dig, 1, 3)),
         lambda: (word() + " ", "=" * r.randint(10, 30) + some(dig, 1) + "=" * r.randint(5, 20)),
         lambda: (word() + " ", " ".join(some(dig, 1, 2) for _ in range(r.randint(8, 14)))),
         lambda: ("", f"{r.choice(('token', 'secret', 'password'))}: {word()}ing"),
+        lambda: (r.choice(("file ", "page ", "")), f"/{word()}/{word()}-{some(dig, 1, 4)}/{word()}_{some(dig, 1, 3)}.{r.choice(('html', 'png', 'txt'))}"),
+        lambda: (r.choice(("see ", "")), f"http://{word()}.example/{word()}/{word()}/{some(dig, 3, 8)}"),
+        lambda: (r.choice(("section ", "chapter ", "sec ")), f"{some('123456789', 3)}-{some(dig, 2)}-{some('123456789', 1, 3)}"),
+        lambda: (word() + " ", f"{some(dig, 3)} {some(dig, 3)} {some(dig, 3)} {some(dig, 3)}"),
+        lambda: (r.choice(("version ", "release ")), f"{some(dig, 1, 2)}.{some(dig, 3)}.{some(dig, 4)}"),
+        lambda: (r.choice(("total ", "sum ", "number ")), some(dig, 13, 19)),
+        lambda: (r.choice(("from ", "between ")), f"{r.choice(('18', '19', '20'))}{some(dig, 2)} {r.choice(('18', '19', '20'))}{some(dig, 2)} {r.choice(('18', '19', '20'))}{some(dig, 2)}"),
+        lambda: (r.choice(("at ", "time ")), ":".join(some("012345", 2) for _ in range(r.randint(5, 6)))),
     )
     for i in range(n):
         yes = i % 2 == 0
@@ -184,15 +196,28 @@ class BoostedTrees:
             self.trees.append((tree, leaves))
         return self
 
-    def score(self, row: list[float]) -> float:
-        margin = self.start
-        for tree, leaves in self.trees:
-            at = 0
-            while tree.get(at):
-                f, v = tree[at]
-                at = 2 * at + 1 + (row[f] > v)
-            margin += leaves.get(at, 0.0)
-        return 1 / (1 + math.exp(-margin))
+    def scores(self, rows: np.ndarray) -> np.ndarray:
+        """Probabilities of many rows at once: all trees as arrays of tests, walked level by level."""
+        if not hasattr(self, "_arrays"):
+            size = 2**self.depth - 1
+            feature, value, leaf = np.full((len(self.trees), size), -1), np.zeros((len(self.trees), size)), np.zeros((len(self.trees), 2 * size + 1))
+            for t, (tree, leaves) in enumerate(self.trees):
+                for at, test in tree.items():
+                    if test:
+                        feature[t, at], value[t, at] = test
+                for at, v in leaves.items():
+                    leaf[t, at] = v
+            self._arrays = feature, value, leaf
+        margin, index = np.full(len(rows), self.start), np.arange(len(rows))
+        for feature, value, leaf in zip(*self._arrays):
+            node = np.zeros(len(rows), np.int64)
+            for _ in range(self.depth):
+                inner = node < len(feature)
+                f = np.where(inner, feature[np.minimum(node, len(feature) - 1)], -1)
+                go = f >= 0
+                node = np.where(go, 2 * node + 1 + (rows[index, np.maximum(f, 0)] > value[np.minimum(node, len(feature) - 1)]), node)
+            margin += leaf[node]
+        return 1 / (1 + np.exp(-margin))
 
 
 @lru_cache(maxsize=4)
@@ -210,7 +235,7 @@ def trained(seed: int = 11, examples: int = EXAMPLES, precision: float = 0.99) -
     x, y = np.array(rows), np.array(truth, float)
     cut = 2 * len(y) // 3
     model = BoostedTrees().fit(x[:cut], y[:cut])
-    scores = np.array([model.score(r) for r in rows[cut:]])
+    scores = model.scores(x[cut:])
     order = np.argsort(-scores)
     good = np.cumsum(y[cut:][order]) / np.arange(1, len(order) + 1)
     enough = np.flatnonzero(good >= precision)
@@ -218,28 +243,57 @@ def trained(seed: int = 11, examples: int = EXAMPLES, precision: float = 0.99) -
     return model
 
 
-def find_spans(text: str, model: BoostedTrees) -> tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]:
-    """The base spans by kind, and all spans. An added span overlaps no base span and no added span of a higher score."""
-    if not _MAYBE.search(text):
-        return {x: [] for x in BASE_KINDS}, []
-    base = base_spans(text)
-    every = [(kind, a, b) for kind in BASE_KINDS for a, b in base[kind]]
-    taken = sorted((a, b) for _, a, b in every)
-    scored = []
-    for kind, a, b, g in candidates(text):
-        score = model.score(features(text, a, b, g))
+Found = tuple[dict[str, list[tuple[int, int]]], list[tuple[str, int, int]]]
+
+
+def find_spans(text: str, model: BoostedTrees) -> Found:
+    """The base spans by kind, and all spans, of one text."""
+    return find_all([text], model)[0]
+
+
+def find_all(texts: list[str], model: BoostedTrees) -> list[Found]:
+    """``find_spans`` of many texts, whose candidates are scored together.
+
+    An added span overlaps no base span and no added span of a higher score; of equal scores
+    the longer one goes first, then the one further left.
+    """
+    base = [base_spans(x) if _MAYBE.search(x) else None for x in texts]
+    proposed = [(i, kind, a, b, g) for i, x in enumerate(texts) if base[i] is not None for kind, a, b, g in candidates(x)]
+    rows = np.array([features(texts[i], a, b, g) for i, _, a, b, g in proposed], float)
+    scores = model.scores(rows) if len(rows) else np.zeros(0)
+    added: dict[int, list[tuple]] = {}
+    for (i, kind, a, b, _), score in zip(proposed, scores.tolist()):
         if score >= model.threshold:
-            scored.append((-score, a - b, a, b, kind))
-    if scored:
-        import bisect
-
-        for _, _, a, b, kind in sorted(scored):
-            # Base spans of different kinds may overlap each other, so look back from the first that begins behind.
-            at = bisect.bisect_left(taken, (b, 0))
-            if not any(x[1] > a for x in taken[max(0, at - 8) : at]):
-                bisect.insort(taken, (a, b))
+            added.setdefault(i, []).append((-score, a - b, a, b, kind))
+    out: list[Found] = []
+    for i, own in enumerate(base):
+        if own is None:
+            out.append(({x: [] for x in BASE_KINDS}, []))
+            continue
+        every = [(kind, a, b) for kind in BASE_KINDS for a, b in own[kind]]
+        starts, ends = _merged(sorted((a, b) for _, a, b in every))
+        for _, _, a, b, kind in sorted(added.get(i, ())):
+            # Covered stretches are apart from each other, so the last one that begins before the end decides.
+            at = bisect.bisect_left(starts, b)
+            if not at or ends[at - 1] <= a:
+                starts.insert(at, a)
+                ends.insert(at, b)
                 every.append((kind, a, b))
-    return base, sorted(every, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+        out.append((own, sorted(every, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))))
+    return out
+
+
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what sorted spans cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in spans:
+        if starts and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def _joined(spans: list[tuple[str, int, int]]) -> str:
@@ -267,27 +321,34 @@ def detect(docs: DataFrame) -> DataFrame:
     model = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text in k.texts_of(batch.column(1)):
-                base, every = find_spans(text.as_py(), model)
-                own = [(kind, a, b) for kind in BASE_KINDS for a, b in base[kind]]
-                rows.append((*(len(base[x]) for x in BASE_KINDS), hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(every)))
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:]], schema.names)
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                rows = []
+                for base, every in find_all(k.texts_of(batch.column(1)).to_pylist(), model):
+                    own = [(kind, a, b) for kind in BASE_KINDS for a, b in base[kind]]
+                    rows.append((*(len(base[x]) for x in BASE_KINDS), hashlib.sha256(_joined(own).encode()).hexdigest(), _joined(every)))
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(c, pa.string()) for c in columns[4:]], schema.names)
 
     return docs.select("doc_id", "text").mapInArrow(k.tidy(run), schema)
 
 
 def redacted(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """``docs`` with every span in the text column redacted; its other columns and null texts stay as they are."""
+    """``docs`` with every span in the text column redacted; its other columns, of any name, and null texts stay as they are.
+
+    Empty and very long texts, repeated rows and empty tables give as many rows as they have.
+    One pass, no shuffle.
+    """
     schema, at, model = docs.schema, docs.columns.index(text_column), trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for first in range(0, whole.num_rows, 2000):
-                batch = whole.slice(first, 2000)
-                texts = [None if x is None else redact(x, find_spans(x, model)[1]) for x in batch.column(at).to_pylist()]
+            for first in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(first, ROWS_AT_ONCE)
+                given = batch.column(at).to_pylist()
+                found = find_all([x or "" for x in given], model)
+                texts = [None if x is None else redact(x, every) for x, (_, every) in zip(given, found)]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)], schema.names)
 
     return docs.mapInArrow(k.tidy(run), schema)

@@ -20,6 +20,12 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(_table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
 
 
+def license_scan_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan over files that are whole licences; the tables have these in parts only."""
+    files = spark.createDataFrame([(i, text) for i, _, text in license_scan.usual_files()], "doc_id long, text string")
+    return license_scan.license_scan(files, license_scan.known_digests(spark)).select("doc_id", "license_id", "is_license")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -67,7 +73,9 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op7_warc, op8_chat_windows, op9_pii, op10_decontaminate,
+        op1_license_scan, license_scan_of_files, op2_ngram_jaccard_join, op3_suffix_array_dedup, op4_quality_rules, op5_quality_classifier, op6_byte_bpe, op7_warc, op8_chat_windows, op9_pii, op10_decontaminate,
     )
 }
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.license_scan_sql(), "op7_warc": warc.ARCHIVES_SQL, "op8_chat_windows": chat.DIGESTS_SQL}
+#: What each usual file is, from how it was made.
+FILES_SQL = "SELECT n::BIGINT AS doc_id, l AS license_id, l IS NOT NULL AS is_license FROM (VALUES " + ", ".join(f"({i}, " + (f"'{name}'" if name else "NULL") + ")" for i, name, _ in license_scan.usual_files()) + ") v(n, l)"
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": license_scan.license_scan_sql(), "license_scan_of_files": FILES_SQL, "op7_warc": warc.ARCHIVES_SQL, "op8_chat_windows": chat.DIGESTS_SQL}

@@ -15,13 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from larkspur.llm import _kernels as k
-from larkspur.llm._shared import Scratch
+from larkspur.llm._shared import Scratch, join_shared
 
 #: Words that a passage has at least, words of a suffix's bucket, and hashes among which the least is retained.
 SHORTEST, GRAM = 50, 8
 WINDOW = SHORTEST - GRAM + 1
-#: Suffixes of a bucket from which it is dealt out by 25 words to the right and by 25 to the left.
-HOT = 2000
+#: Suffixes of a bucket from which it is dealt out by 25 words to the right and by 25 to the left,
+#: and from which its windows of SHORTEST words are counted by their hashes instead.
+HOT, HOTTEST = 2000, 20_000
 HALF = SHORTEST // 2
 #: Suffixes compared at once.
 AT_ONCE = 30_000
@@ -90,7 +91,7 @@ def _suffixes(rows: DataFrame) -> DataFrame:
                     left = small[place[:, None] - 1 - np.arange(WINDOW - 1)]
                     r_size, l_size = np.minimum(SHORTEST, counts[r + 1] - counts[r] - p), np.minimum(WINDOW - 1, p)
                     gram = k.mix(_prefix_hash(right[:, :GRAM]))
-                    hot = many[at : at + 4000] > HOT
+                    hot = many[at : at + 4000] > HOT  # those above HOTTEST don't come here
                     by_right, by_left = k.mix(_prefix_hash(right[:, :HALF]) + k.U64(1)), k.mix(_prefix_hash(left[:, :HALF]) ^ gram + k.U64(2))
                     lefts = [x[:n].tobytes() for x, n in zip(left, l_size)]
                     rights = [x[:n].tobytes() for x, n in zip(right, r_size)]
@@ -105,6 +106,31 @@ def _suffixes(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(k.tidy(run), "bucket bigint, doc_id bigint, pos int, left binary, right binary")
 
 
+def _windows(rows: DataFrame) -> DataFrame:
+    """key (hash of its words), doc_id, pos and left of every window of SHORTEST words that holds a wanted suffix, ``left`` words behind its start."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), k.texts_of(batch.column(1))
+            for a, b in k.pieces(texts, 1 << 20):
+                hashes, counts = _word_hashes(texts.slice(a, b - a))
+                wanted = batch.column(2).slice(a, b - a)
+                sizes = np.array([len(x) for x in wanted])
+                pos = wanted.flatten().field(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(b - a), sizes)
+                padded = np.concatenate([np.zeros(SHORTEST, np.uint64), hashes, np.zeros(SHORTEST, np.uint64)])
+                for at in range(0, len(pos), 4000):
+                    p, r = pos[at : at + 4000], row[at : at + 4000]
+                    place, size = counts[r] + p + SHORTEST, counts[r + 1] - counts[r]
+                    for left in range(WINDOW):
+                        some = np.flatnonzero((p >= left) & (p - left + SHORTEST <= size))
+                        if len(some):
+                            key = _prefix_hash(padded[(place[some] - left)[:, None] + np.arange(SHORTEST)])
+                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a:b][r[some]]), pa.array(p[some].astype(np.int32)), pa.array(np.full(len(some), left, np.int8))], ["key", "doc_id", "pos", "left"])
+
+    return rows.mapInArrow(k.tidy(run), "key bigint, doc_id bigint, pos int, left tinyint")
+
+
 def _prefix_hash(words: np.ndarray) -> np.ndarray:
     out = np.full(len(words), 0x51ED270B, np.uint64)
     with np.errstate(over="ignore"):
@@ -125,8 +151,8 @@ def _padded(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray
     return out, sizes
 
 
-def _compared(table: pa.Table) -> pa.RecordBatch | None:
-    """Sorted suffixes of whole buckets: doc_id, start and end of the words around each that another document has too."""
+def _compared(table: pa.Table, within: bool = False) -> pa.RecordBatch | None:
+    """Sorted suffixes of whole buckets: doc_id, start and end of the words around each that another document has too, or with ``within`` another place."""
     bucket, doc, pos = (table.column(c).to_numpy() for c in range(3))
     left, l_size = _padded(table.column(3), WINDOW - 1)
     right, r_size = _padded(table.column(4), SHORTEST)
@@ -148,6 +174,8 @@ def _compared(table: pa.Table) -> pa.RecordBatch | None:
             key, own = key[order], some[order]
             first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             several = np.minimum.reduceat(doc[own], first) < np.maximum.reduceat(doc[own], first)
+            if within:
+                several |= np.minimum.reduceat(pos[own], first) < np.maximum.reduceat(pos[own], first)
             hit = own[np.repeat(several, np.diff(np.append(first, len(own))))]
             low[hit] = np.minimum(low[hit], words)
             high[hit] = np.maximum(high[hit], words)
@@ -160,7 +188,7 @@ def _compared(table: pa.Table) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array((pos[found] - high[found]).astype(np.int64)), pa.array((pos[found] + SHORTEST - low[found]).astype(np.int64))], ["doc_id", "start", "end"])
 
 
-def _matches(suffixes: DataFrame) -> DataFrame:
+def _matches(suffixes: DataFrame, within: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
         size = 0
@@ -173,40 +201,61 @@ def _matches(suffixes: DataFrame) -> DataFrame:
                     bucket = table.column(0).to_numpy()
                     cut = int(np.searchsorted(bucket, bucket[-1]))  # the last bucket may go on
                     if cut:
-                        out = _compared(table.slice(0, cut))
+                        out = _compared(table.slice(0, cut), within)
                         if out is not None:
                             yield out
                         rest = table.slice(cut).combine_chunks().to_batches()
                         size = table.num_rows - cut
         if size:
-            out = _compared(pa.Table.from_batches(rest))
+            out = _compared(pa.Table.from_batches(rest), within)
             if out is not None:
                 yield out
 
     return suffixes.mapInArrow(k.tidy(run), "doc_id bigint, start bigint, end bigint")
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
     """doc_id, n_words_repeated and spans for every row of ``docs`` that has an id.
 
     Spans are maximal runs of words, as ascending [start, end) in words of the whole text,
     each the union of passages of SHORTEST or more words that another document has as well,
-    word for word. Words are runs without ASCII white space. Texts that are null or have
+    word for word; with ``within``, or the same document at another place. Words are runs
+    without ASCII white space. Texts that are null or have
     fewer words have no spans; rows without an id take no part and are not returned; rows
     that share an id are one document, returned once for each row. Other columns are not read.
 
     Only hashes that two documents share go on; texts are shuffled once by id, and each
     suffix carries SHORTEST words to the right and WINDOW - 1 to the left, which is enough to
     decide about every passage of SHORTEST words that holds it. Buckets above HOT are dealt
-    out by the next words on either side; a match has at least HALF words on one of them.
+    out by the next words on either side; a match has at least HALF words on one of them. Of
+    buckets above HOTTEST, whose neighbours may be equal for good, every window of SHORTEST
+    words is counted by its hash, in partial aggregates, so that no group is ever gathered.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     thin = scratch.write(_positions(docs), "positions")
-    shared = thin.groupBy("gram").agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("gram", "n")
-    wanted = thin.join(shared, "gram").groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("wanted"))
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("doc_id", "text", "wanted")
-    suffixes = _suffixes(rows).repartition("bucket").sortWithinPartitions("bucket", "right")
-    spans = scratch.write(_matches(suffixes), "spans")
+    several = "a < b OR n > 1" if within else "a < b"
+    counts = lambda rows, key: rows.groupBy(key).agg(F.count("*").alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b"))
+    total = lambda rows: rows.agg(F.count("*").alias("total"))
+    shared = scratch.write(counts(thin, "gram").where(several).select("gram", "n"), "shared")
+    wanted = scratch.write(join_shared(thin, shared, "gram", total(thin)).select("doc_id", "pos", "n"), "wanted")
+    scratch.drop(thin, shared)
+
+    def of_texts(places: DataFrame) -> DataFrame:
+        own = places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("wanted"))
+        return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "wanted")
+
+    suffixes = _suffixes(of_texts(wanted.where(F.col("n") <= HOTTEST))).repartition("bucket").sortWithinPartitions("bucket", "right")
+    spans = scratch.write(_matches(suffixes, within), "spans")
+    hottest = wanted.where(F.col("n") > HOTTEST)
+    if not hottest.isEmpty():
+        windows = scratch.write(_windows(of_texts(hottest)), "windows")
+        counted = windows.select("key", "doc_id", (F.col("pos") - F.col("left")).alias("at")).distinct() if within else windows
+        places = scratch.write(counts(counted, "key").where(several).select("key", "n"), "places")
+        held = join_shared(windows, places, "key", total(windows)).groupBy("doc_id", "pos").agg(F.max("left").alias("high"), F.min("left").alias("low"))
+        more = scratch.write(held.select("doc_id", (F.col("pos") - F.col("high")).cast("long").alias("start"), (F.col("pos") + SHORTEST - F.col("low")).cast("long").alias("end")), "spans")
+        scratch.drop(windows, places)
+        spans = spans.unionByName(more)
+    scratch.drop(wanted)
     ordered = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
     merged = F.aggregate(
         "all", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"),
