@@ -20,10 +20,8 @@ from larkspur.llm._shared import Scratch, join_shared
 #: Words that a passage has at least, words of a suffix's bucket, and hashes among which the least is retained.
 SHORTEST, GRAM = 50, 8
 WINDOW = SHORTEST - GRAM + 1
-#: Suffixes of a bucket from which it is dealt out by 25 words to the right and by 25 to the left,
-#: and from which its windows of SHORTEST words are counted by their hashes instead.
-HOT, HOTTEST = 2000, 20_000
-HALF = SHORTEST // 2
+#: Suffixes of a bucket above which its windows of SHORTEST words are counted by their hashes instead.
+HOT = 2000
 #: Suffixes compared at once.
 AT_ONCE = 30_000
 
@@ -34,11 +32,11 @@ def _word_hashes(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return k.Hasher(raw)(starts, ends), counts
 
 
-def _retained(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of retained suffixes among all words, ascending, and the hashes of their first GRAM words."""
+def _minima(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows of SHORTEST words within a text, the place retained for each, and the hashes of all GRAM words."""
     n = len(hashes) - GRAM + 1
     if n < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     grams = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
         for step in range(GRAM):
@@ -47,12 +45,8 @@ def _retained(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     rows = k.owners(counts)
     whole = np.flatnonzero(rows[: len(hashes) - SHORTEST + 1] == rows[SHORTEST - 1 :])
     least = np.lib.stride_tricks.sliding_window_view(grams, WINDOW)
-    chosen = np.zeros(n, bool)
-    for at in range(0, len(whole), 1 << 16):
-        own = whole[at : at + (1 << 16)]
-        chosen[own + least[own].argmin(1)] = True
-    places = np.flatnonzero(chosen)
-    return places, grams[places]
+    chosen = [own + least[own].argmin(1) for own in np.split(whole, range(1 << 16, len(whole), 1 << 16))]
+    return whole, np.concatenate(chosen), grams
 
 
 def _positions(docs: DataFrame) -> DataFrame:
@@ -63,13 +57,21 @@ def _positions(docs: DataFrame) -> DataFrame:
             ids, texts = batch.column(0).cast(pa.int64()).to_numpy(zero_copy_only=False), k.texts_of(batch.column(1))
             for a, b in k.pieces(texts):
                 hashes, counts = _word_hashes(texts.slice(a, b - a))
-                places, grams = _retained(hashes, counts)
+                _, chosen, grams = _minima(hashes, counts)
+                places = np.unique(chosen)
                 row = np.searchsorted(counts, places, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(ids[a:b][row]), pa.array((places - counts[row]).astype(np.int32))], ["gram", "doc_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[places].view(np.int64)), pa.array(ids[a:b][row]), pa.array((places - counts[row]).astype(np.int32))], ["gram", "doc_id", "pos"])
 
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(k.tidy(run), "gram bigint, doc_id bigint, pos int")
 
 
+def _wanted(places: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and word of each wanted place; rows that share an id share places, which a shorter text may lack."""
+    row, pos = np.repeat(np.arange(len(places)), [len(x) for x in places]), places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    held = pos < counts[row + 1] - counts[row]
+    return row[held], pos[held]
+
+
 def _suffixes(rows: DataFrame) -> DataFrame:
     """bucket, doc_id, pos and the words to the left (nearest first) and right, as 32-bit hashes, of the wanted suffixes."""
 
@@ -79,56 +81,44 @@ def _suffixes(rows: DataFrame) -> DataFrame:
             for a, b in k.pieces(texts, 1 << 20):
                 hashes, counts = _word_hashes(texts.slice(a, b - a))
                 small = np.concatenate([np.zeros(SHORTEST, np.uint32), (hashes >> k.U64(32)).astype("<u4"), np.zeros(SHORTEST, np.uint32)])
-                wanted = batch.column(2).slice(a, b - a)
-                sizes = np.array([len(x) for x in wanted])
-                flat = wanted.flatten()
-                pos, many = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(b - a), sizes)
+                row, pos = _wanted(batch.column(2).slice(a, b - a), counts)
                 for at in range(0, len(pos), 4000):
                     p, r = pos[at : at + 4000], row[at : at + 4000]
                     place = counts[r] + p + SHORTEST
                     right = small[place[:, None] + np.arange(SHORTEST)]
                     left = small[place[:, None] - 1 - np.arange(WINDOW - 1)]
                     r_size, l_size = np.minimum(SHORTEST, counts[r + 1] - counts[r] - p), np.minimum(WINDOW - 1, p)
-                    gram = k.mix(_prefix_hash(right[:, :GRAM]))
-                    hot = many[at : at + 4000] > HOT  # those above HOTTEST don't come here
-                    by_right, by_left = k.mix(_prefix_hash(right[:, :HALF]) + k.U64(1)), k.mix(_prefix_hash(left[:, :HALF]) ^ gram + k.U64(2))
+                    bucket = k.mix(_prefix_hash(right[:, :GRAM]))
                     lefts = [x[:n].tobytes() for x, n in zip(left, l_size)]
                     rights = [x[:n].tobytes() for x, n in zip(right, r_size)]
-                    for key, some in ((gram, ~hot), (by_right, hot & (r_size >= HALF)), (by_left, hot & (l_size >= HALF))):
-                        at_some = np.flatnonzero(some)
-                        if len(at_some):
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(key[at_some].view(np.int64)), pa.array(ids[a:b][r[at_some]]), pa.array(p[at_some].astype(np.int32)), pa.array([lefts[i] for i in at_some], pa.binary()), pa.array([rights[i] for i in at_some], pa.binary())],
-                                ["bucket", "doc_id", "pos", "left", "right"],
-                            )
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(bucket.view(np.int64)), pa.array(ids[a:b][r]), pa.array(p.astype(np.int32)), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())],
+                        ["bucket", "doc_id", "pos", "left", "right"],
+                    )
 
     return rows.mapInArrow(k.tidy(run), "bucket bigint, doc_id bigint, pos int, left binary, right binary")
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """key (hash of its words), doc_id, pos and left of every window of SHORTEST words that holds a wanted suffix, ``left`` words behind its start."""
+    """key (hash of its words), doc_id and start of every window of SHORTEST words whose retained suffix is wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0).to_numpy(zero_copy_only=False), k.texts_of(batch.column(1))
             for a, b in k.pieces(texts, 1 << 20):
                 hashes, counts = _word_hashes(texts.slice(a, b - a))
-                wanted = batch.column(2).slice(a, b - a)
-                sizes = np.array([len(x) for x in wanted])
-                pos = wanted.flatten().field(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(b - a), sizes)
-                padded = np.concatenate([np.zeros(SHORTEST, np.uint64), hashes, np.zeros(SHORTEST, np.uint64)])
-                for at in range(0, len(pos), 4000):
-                    p, r = pos[at : at + 4000], row[at : at + 4000]
-                    place, size = counts[r] + p + SHORTEST, counts[r + 1] - counts[r]
-                    for left in range(WINDOW):
-                        some = np.flatnonzero((p >= left) & (p - left + SHORTEST <= size))
-                        if len(some):
-                            key = _prefix_hash(padded[(place[some] - left)[:, None] + np.arange(SHORTEST)])
-                            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a:b][r[some]]), pa.array(p[some].astype(np.int32)), pa.array(np.full(len(some), left, np.int8))], ["key", "doc_id", "pos", "left"])
+                starts, chosen, _ = _minima(hashes, counts)
+                hot = np.zeros(len(hashes), bool)
+                row, pos = _wanted(batch.column(2).slice(a, b - a), counts)
+                hot[counts[row] + pos] = True
+                starts = starts[hot[chosen]]
+                for at in range(0, len(starts), 20_000):
+                    own = starts[at : at + 20_000]
+                    key = _prefix_hash(hashes[own[:, None] + np.arange(SHORTEST)])
+                    row = np.searchsorted(counts, own, "right") - 1
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a:b][row]), pa.array((own - counts[row]).astype(np.int32))], ["key", "doc_id", "start"])
 
-    return rows.mapInArrow(k.tidy(run), "key bigint, doc_id bigint, pos int, left tinyint")
+    return rows.mapInArrow(k.tidy(run), "key bigint, doc_id bigint, start int")
 
 
 def _prefix_hash(words: np.ndarray) -> np.ndarray:
@@ -226,10 +216,10 @@ def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
 
     Only hashes that two documents share go on; texts are shuffled once by id, and each
     suffix carries SHORTEST words to the right and WINDOW - 1 to the left, which is enough to
-    decide about every passage of SHORTEST words that holds it. Buckets above HOT are dealt
-    out by the next words on either side; a match has at least HALF words on one of them. Of
-    buckets above HOTTEST, whose neighbours may be equal for good, every window of SHORTEST
-    words is counted by its hash, in partial aggregates, so that no group is ever gathered.
+    decide about every passage of SHORTEST words that holds it. Buckets above HOT, whose
+    neighbours may be equal for good, are never gathered: every window of SHORTEST words whose
+    retained suffix is in one of them is counted by its hash, in partial aggregates. What a
+    window retains depends on its words alone, so equal windows take the same way.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     thin = scratch.write(_positions(docs), "positions")
@@ -241,18 +231,20 @@ def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
     scratch.drop(thin, shared)
 
     def of_texts(places: DataFrame) -> DataFrame:
-        own = places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("wanted"))
+        own = places.groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))
         return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "wanted")
 
-    suffixes = _suffixes(of_texts(wanted.where(F.col("n") <= HOTTEST))).repartition("bucket").sortWithinPartitions("bucket", "right")
+    suffixes = _suffixes(of_texts(wanted.where(F.col("n") <= HOT))).repartition("bucket").sortWithinPartitions("bucket", "right")
     spans = scratch.write(_matches(suffixes, within), "spans")
-    hottest = wanted.where(F.col("n") > HOTTEST)
-    if not hottest.isEmpty():
-        windows = scratch.write(_windows(of_texts(hottest)), "windows")
-        counted = windows.select("key", "doc_id", (F.col("pos") - F.col("left")).alias("at")).distinct() if within else windows
-        places = scratch.write(counts(counted, "key").where(several).select("key", "n"), "places")
-        held = join_shared(windows, places, "key", total(windows)).groupBy("doc_id", "pos").agg(F.max("left").alias("high"), F.min("left").alias("low"))
-        more = scratch.write(held.select("doc_id", (F.col("pos") - F.col("high")).cast("long").alias("start"), (F.col("pos") + SHORTEST - F.col("low")).cast("long").alias("end")), "spans")
+    hot = wanted.where(F.col("n") > HOT)
+    if not hot.isEmpty():
+        windows = scratch.write(_windows(of_texts(hot)), "windows")
+        places = scratch.write(counts(windows.distinct() if within else windows, "key").where(several).select("key", "n"), "places")
+        repeated = join_shared(windows, places, "key", total(windows))
+        # Windows that start within SHORTEST words overlap, so that the first and last of them span all.
+        block = F.floor(F.col("start") / SHORTEST).alias("block")
+        span = repeated.groupBy("doc_id", block).agg(F.min("start").cast("long").alias("start"), (F.max("start") + SHORTEST).cast("long").alias("end"))
+        more = scratch.write(span.drop("block"), "spans")
         scratch.drop(windows, places)
         spans = spans.unionByName(more)
     scratch.drop(wanted)
