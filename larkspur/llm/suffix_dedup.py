@@ -20,8 +20,10 @@ from larkspur.llm._shared import Scratch, join_shared
 #: Words that a passage has at least, words of a suffix's bucket, and hashes among which the least is retained.
 SHORTEST, GRAM = 50, 8
 WINDOW = SHORTEST - GRAM + 1
-#: Suffixes of a bucket above which its windows of SHORTEST words are counted by their hashes instead.
-HOT = 2000
+#: Suffixes of a bucket from which it is dealt out by 25 words to the right and by 25 to the left,
+#: and from which its windows of SHORTEST words are counted by their hashes instead.
+HOT, HOTTEST = 2000, 20_000
+HALF = SHORTEST // 2
 #: Suffixes compared at once.
 AT_ONCE = 30_000
 
@@ -65,11 +67,12 @@ def _positions(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").where("doc_id IS NOT NULL").mapInArrow(k.tidy(run), "gram bigint, doc_id bigint, pos int")
 
 
-def _wanted(places: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and word of each wanted place; rows that share an id share places, which a shorter text may lack."""
-    row, pos = np.repeat(np.arange(len(places)), [len(x) for x in places]), places.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+def _wanted(places: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, word and bucket's size of each wanted place; rows that share an id share places, which a shorter text may lack."""
+    row, flat = np.repeat(np.arange(len(places)), [len(x) for x in places]), places.flatten()
+    pos, many = flat.field(0).to_numpy(zero_copy_only=False).astype(np.int64), flat.field(1).to_numpy(zero_copy_only=False)
     held = pos < counts[row + 1] - counts[row]
-    return row[held], pos[held]
+    return row[held], pos[held], many[held]
 
 
 def _suffixes(rows: DataFrame) -> DataFrame:
@@ -81,20 +84,25 @@ def _suffixes(rows: DataFrame) -> DataFrame:
             for a, b in k.pieces(texts, 1 << 20):
                 hashes, counts = _word_hashes(texts.slice(a, b - a))
                 small = np.concatenate([np.zeros(SHORTEST, np.uint32), (hashes >> k.U64(32)).astype("<u4"), np.zeros(SHORTEST, np.uint32)])
-                row, pos = _wanted(batch.column(2).slice(a, b - a), counts)
+                row, pos, many = _wanted(batch.column(2).slice(a, b - a), counts)
                 for at in range(0, len(pos), 4000):
                     p, r = pos[at : at + 4000], row[at : at + 4000]
                     place = counts[r] + p + SHORTEST
                     right = small[place[:, None] + np.arange(SHORTEST)]
                     left = small[place[:, None] - 1 - np.arange(WINDOW - 1)]
                     r_size, l_size = np.minimum(SHORTEST, counts[r + 1] - counts[r] - p), np.minimum(WINDOW - 1, p)
-                    bucket = k.mix(_prefix_hash(right[:, :GRAM]))
+                    gram = k.mix(_prefix_hash(right[:, :GRAM]))
+                    hot = many[at : at + 4000] > HOT  # those above HOTTEST don't come here
+                    by_right, by_left = k.mix(_prefix_hash(right[:, :HALF]) + k.U64(1)), k.mix(_prefix_hash(left[:, :HALF]) ^ gram + k.U64(2))
                     lefts = [x[:n].tobytes() for x, n in zip(left, l_size)]
                     rights = [x[:n].tobytes() for x, n in zip(right, r_size)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket.view(np.int64)), pa.array(ids[a:b][r]), pa.array(p.astype(np.int32)), pa.array(lefts, pa.binary()), pa.array(rights, pa.binary())],
-                        ["bucket", "doc_id", "pos", "left", "right"],
-                    )
+                    for key, some in ((gram, ~hot), (by_right, hot & (r_size >= HALF)), (by_left, hot & (l_size >= HALF))):
+                        at_some = np.flatnonzero(some)
+                        if len(at_some):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(key[at_some].view(np.int64)), pa.array(ids[a:b][r[at_some]]), pa.array(p[at_some].astype(np.int32)), pa.array([lefts[i] for i in at_some], pa.binary()), pa.array([rights[i] for i in at_some], pa.binary())],
+                                ["bucket", "doc_id", "pos", "left", "right"],
+                            )
 
     return rows.mapInArrow(k.tidy(run), "bucket bigint, doc_id bigint, pos int, left binary, right binary")
 
@@ -109,7 +117,7 @@ def _windows(rows: DataFrame) -> DataFrame:
                 hashes, counts = _word_hashes(texts.slice(a, b - a))
                 starts, chosen, _ = _minima(hashes, counts)
                 hot = np.zeros(len(hashes), bool)
-                row, pos = _wanted(batch.column(2).slice(a, b - a), counts)
+                row, pos, _ = _wanted(batch.column(2).slice(a, b - a), counts)
                 hot[counts[row] + pos] = True
                 starts = starts[hot[chosen]]
                 for at in range(0, len(starts), 20_000):
@@ -216,10 +224,12 @@ def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
 
     Only hashes that two documents share go on; texts are shuffled once by id, and each
     suffix carries SHORTEST words to the right and WINDOW - 1 to the left, which is enough to
-    decide about every passage of SHORTEST words that holds it. Buckets above HOT, whose
-    neighbours may be equal for good, are never gathered: every window of SHORTEST words whose
-    retained suffix is in one of them is counted by its hash, in partial aggregates. What a
-    window retains depends on its words alone, so equal windows take the same way.
+    decide about every passage of SHORTEST words that holds it. Buckets above HOT are dealt
+    out by the next words on either side; a match has at least HALF words on one of them.
+    Buckets above HOTTEST, whose neighbours may be equal for good, are never gathered: every
+    window of SHORTEST words whose retained suffix is in one of them is counted by its hash, in
+    partial aggregates. What a window retains depends on its words alone, so equal windows take
+    the same way.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     thin = scratch.write(_positions(docs), "positions")
@@ -231,14 +241,14 @@ def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
     scratch.drop(thin, shared)
 
     def of_texts(places: DataFrame) -> DataFrame:
-        own = places.groupBy("doc_id").agg(F.collect_set("pos").alias("wanted"))
+        own = places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("wanted"))
         return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "wanted")
 
-    suffixes = _suffixes(of_texts(wanted.where(F.col("n") <= HOT))).repartition("bucket").sortWithinPartitions("bucket", "right")
+    suffixes = _suffixes(of_texts(wanted.where(F.col("n") <= HOTTEST))).repartition("bucket").sortWithinPartitions("bucket", "right")
     spans = scratch.write(_matches(suffixes, within), "spans")
-    hot = wanted.where(F.col("n") > HOT)
-    if not hot.isEmpty():
-        windows = scratch.write(_windows(of_texts(hot)), "windows")
+    hottest = wanted.where(F.col("n") > HOTTEST)
+    if not hottest.isEmpty():
+        windows = scratch.write(_windows(of_texts(hottest)), "windows")
         places = scratch.write(counts(windows.distinct() if within else windows, "key").where(several).select("key", "n"), "places")
         repeated = join_shared(windows, places, "key", total(windows))
         # Windows that start within SHORTEST words overlap, so that the first and last of them span all.

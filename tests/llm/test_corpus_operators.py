@@ -149,17 +149,18 @@ def repeated_by_force(rows, within=False):
     return out
 
 
-@pytest.mark.parametrize("hot", [2000, 0, 2, 4])
-def test_repeated_passages(docs, texts, monkeypatch, hot):
+@pytest.mark.parametrize("hot, hottest", [(2000, 20_000), (3, 20_000), (0, 0), (2, 4)])
+def test_repeated_passages(docs, texts, monkeypatch, hot, hottest):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "HOTTEST", hottest)
     got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffix_dedup.repeated_passages(docs).collect()}
     assert got == repeated_by_force(list(enumerate(texts)))
     assert any(got.values())
 
 
-@pytest.mark.parametrize("hot", [2000, 0, 2])
-def test_passages_within_one_document(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("hottest", [20_000, 0, 2])
+def test_passages_within_one_document(spark, monkeypatch, hottest):
+    monkeypatch.setattr(suffix_dedup, "HOTTEST", hottest)
     r = random.Random(3)
     passage = prose(r, 60)
     rows = [(0, f"{prose(r, 40)} {passage} {prose(r, 30)} {passage} {prose(r, 9)}"), (1, prose(r, 200)), (2, "ha " * 70), (1, None)]
@@ -169,9 +170,9 @@ def test_passages_within_one_document(spark, monkeypatch, hot):
     assert not any(x["spans"] for x in suffix_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
-def test_passages_of_rows_that_share_an_id(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+@pytest.mark.parametrize("hottest", [20_000, 1])
+def test_passages_of_rows_that_share_an_id(spark, monkeypatch, hottest):
+    monkeypatch.setattr(suffix_dedup, "HOTTEST", hottest)
     r = random.Random(4)
     a, b = prose(r, 60), prose(r, 55)
     rows = [(0, f"{prose(r, 40)} {a} {prose(r, 30)}"), (0, b), (1, f"{b} {prose(r, 7)}"), (2, a), (2, a)]
