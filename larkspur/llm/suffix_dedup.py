@@ -76,7 +76,23 @@ def _wanted(places: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _suffixes(rows: DataFrame) -> DataFrame:
-    """bucket, doc_id, pos and the words to the left (nearest first) and right, as 32-bit hashes, of the wanted suffixes."""
+    """bucket, doc_id, pos and the words to the left (nearest first) and right, as 32-bit hashes, of the wanted suffixes.
+
+    Of suffixes in buckets above HOTTEST, the windows of SHORTEST words that retain them come
+    instead: the hash of their words as bucket, doc_id and where they start; left and right are null.
+    """
+    names = ["bucket", "doc_id", "pos", "left", "right"]
+
+    def windows(ids: np.ndarray, hashes: np.ndarray, counts: np.ndarray, places: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts, chosen, _ = _minima(hashes, counts)
+        hottest = np.zeros(len(hashes), bool)
+        hottest[places] = True
+        starts = starts[hottest[chosen]]
+        for at in range(0, len(starts), 20_000):
+            own = starts[at : at + 20_000]
+            key = _prefix_hash(hashes[own[:, None] + np.arange(SHORTEST)])
+            row = np.searchsorted(counts, own, "right") - 1
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array((own - counts[row]).astype(np.int32)), pa.nulls(len(own), pa.binary()), pa.nulls(len(own), pa.binary())], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,6 +101,9 @@ def _suffixes(rows: DataFrame) -> DataFrame:
                 hashes, counts = _word_hashes(texts.slice(a, b - a))
                 small = np.concatenate([np.zeros(SHORTEST, np.uint32), (hashes >> k.U64(32)).astype("<u4"), np.zeros(SHORTEST, np.uint32)])
                 row, pos, many = _wanted(batch.column(2).slice(a, b - a), counts)
+                if len(over := np.flatnonzero(many > HOTTEST)):
+                    yield from windows(ids[a:b], hashes, counts, counts[row[over]] + pos[over])
+                    row, pos, many = np.delete(row, over), np.delete(pos, over), np.delete(many, over)
                 for at in range(0, len(pos), 4000):
                     p, r = pos[at : at + 4000], row[at : at + 4000]
                     place = counts[r] + p + SHORTEST
@@ -92,7 +111,7 @@ def _suffixes(rows: DataFrame) -> DataFrame:
                     left = small[place[:, None] - 1 - np.arange(WINDOW - 1)]
                     r_size, l_size = np.minimum(SHORTEST, counts[r + 1] - counts[r] - p), np.minimum(WINDOW - 1, p)
                     gram = k.mix(_prefix_hash(right[:, :GRAM]))
-                    hot = many[at : at + 4000] > HOT  # those above HOTTEST don't come here
+                    hot = many[at : at + 4000] > HOT
                     by_right, by_left = k.mix(_prefix_hash(right[:, :HALF]) + k.U64(1)), k.mix(_prefix_hash(left[:, :HALF]) ^ gram + k.U64(2))
                     lefts = [x[:n].tobytes() for x, n in zip(left, l_size)]
                     rights = [x[:n].tobytes() for x, n in zip(right, r_size)]
@@ -101,34 +120,12 @@ def _suffixes(rows: DataFrame) -> DataFrame:
                         if len(at_some):
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(key[at_some].view(np.int64)), pa.array(ids[a:b][r[at_some]]), pa.array(p[at_some].astype(np.int32)), pa.array([lefts[i] for i in at_some], pa.binary()), pa.array([rights[i] for i in at_some], pa.binary())],
-                                ["bucket", "doc_id", "pos", "left", "right"],
+                                names,
                             )
 
     return rows.mapInArrow(k.tidy(run), "bucket bigint, doc_id bigint, pos int, left binary, right binary")
 
 
-def _windows(rows: DataFrame) -> DataFrame:
-    """key (hash of its words), doc_id and start of every window of SHORTEST words whose retained suffix is wanted."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), k.texts_of(batch.column(1))
-            for a, b in k.pieces(texts, 1 << 20):
-                hashes, counts = _word_hashes(texts.slice(a, b - a))
-                starts, chosen, _ = _minima(hashes, counts)
-                hot = np.zeros(len(hashes), bool)
-                row, pos, _ = _wanted(batch.column(2).slice(a, b - a), counts)
-                hot[counts[row] + pos] = True
-                starts = starts[hot[chosen]]
-                for at in range(0, len(starts), 20_000):
-                    own = starts[at : at + 20_000]
-                    key = _prefix_hash(hashes[own[:, None] + np.arange(SHORTEST)])
-                    row = np.searchsorted(counts, own, "right") - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[a:b][row]), pa.array((own - counts[row]).astype(np.int32))], ["key", "doc_id", "start"])
-
-    return rows.mapInArrow(k.tidy(run), "key bigint, doc_id bigint, start int")
-
-
 def _prefix_hash(words: np.ndarray) -> np.ndarray:
     out = np.full(len(words), 0x51ED270B, np.uint64)
     with np.errstate(over="ignore"):
@@ -240,24 +237,22 @@ def repeated_passages(docs: DataFrame, within: bool = False) -> DataFrame:
     wanted = scratch.write(join_shared(thin, shared, "gram", total(thin)).select("doc_id", "pos", "n"), "wanted")
     scratch.drop(thin, shared)
 
-    def of_texts(places: DataFrame) -> DataFrame:
-        own = places.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("wanted"))
-        return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "wanted")
-
-    suffixes = _suffixes(of_texts(wanted.where(F.col("n") <= HOTTEST))).repartition("bucket").sortWithinPartitions("bucket", "right")
+    own = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("wanted"))
+    rows = scratch.write(_suffixes(docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "wanted")), "rows")
+    scratch.drop(wanted)
+    suffixes = rows.where("right IS NOT NULL").repartition("bucket").sortWithinPartitions("bucket", "right")
     spans = scratch.write(_matches(suffixes, within), "spans")
-    hottest = wanted.where(F.col("n") > HOTTEST)
-    if not hottest.isEmpty():
-        windows = scratch.write(_windows(of_texts(hottest)), "windows")
+    windows = rows.where("right IS NULL").select(F.col("bucket").alias("key"), "doc_id", F.col("pos").alias("start"))
+    if not windows.isEmpty():
         places = scratch.write(counts(windows.distinct() if within else windows, "key").where(several).select("key", "n"), "places")
         repeated = join_shared(windows, places, "key", total(windows))
         # Windows that start within SHORTEST words overlap, so that the first and last of them span all.
         block = F.floor(F.col("start") / SHORTEST).alias("block")
         span = repeated.groupBy("doc_id", block).agg(F.min("start").cast("long").alias("start"), (F.max("start") + SHORTEST).cast("long").alias("end"))
         more = scratch.write(span.drop("block"), "spans")
-        scratch.drop(windows, places)
+        scratch.drop(places)
         spans = spans.unionByName(more)
-    scratch.drop(wanted)
+    scratch.drop(rows)
     ordered = spans.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("all"))
     merged = F.aggregate(
         "all", F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)"),
