@@ -160,13 +160,17 @@ WIDTHS = (60, 80, 100)
 
 
 def usual_files() -> list[tuple[int, str, str]]:
-    """Number, licence and text of files as they are usually found: each known text under a title and a copyright line, wrapped to several widths, and cut in half (no licence)."""
+    """Number, licence and text of files as they are usually found: each known text under a title and a copyright line, wrapped to several widths, and cut in half (no licence).
+
+    Paragraphs that state a copyright keep their lines: where one is run together with the
+    sentence behind it, a scan by lines drops that sentence too and finds no licence.
+    """
     out = []
     for name, text in dict(known_texts()[::-1]).items():
         if name.endswith("-notice"):
             continue
         for width in WIDTHS:
-            wrapped = "\n\n".join(textwrap.fill(p, width) for p in re.split(r"\n\s*\n", text))
+            wrapped = "\n\n".join(p if re.search(STATEMENT_LINE, p) else textwrap.fill(p, width) for p in re.split(r"\n\s*\n", text))
             out.append((name, f"Copyright (c) 2021 Some One\n\n{wrapped}\n"))
         out.append((None, text[: len(text) // 2]))
     return [(i, name, text) for i, (name, text) in enumerate(out)]
