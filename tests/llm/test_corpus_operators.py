@@ -241,6 +241,79 @@ def test_forest_catches_bad_rows(spark):
     assert by[0][0] * caught / (by[0][0] * caught + by[1][0] * lost) > 0.7
 
 
+def test_forest_fits_every_labelled_row(spark):
+    """Halves, centre, scale, trees and threshold by plain arrays over more labelled rows than were once sampled."""
+    import numpy as np
+
+    r = random.Random(11)
+    rows = [(i, prose(r, r.randint(45, 75)) + (" #" * r.randint(1, 9) + "!\n" * r.randint(0, 3) if i % 9 == 0 else "")) for i in range(4000)]
+    marks = [(i, int(i % 9 > 0 or i % 5 == 0)) for i, _ in rows] + [(i, 0) for i in range(1, 30)] + [(None, 1), (7, None), (5000, 0)]
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (1, rows[1][1])], "doc_id long, text string").repartition(5)
+    forest = quality_rules.fit_forest(docs, spark.createDataFrame(marks, "doc_id long, quality int").repartition(3))
+
+    found = quality_rules.rule_rows(docs).where("doc_id IS NOT NULL AND NOT base_failed").dropDuplicates(["doc_id"]).withColumn("hash", F.xxhash64("doc_id")).orderBy("doc_id").collect()
+    x, hashes = np.array([f["features"] for f in found]), np.array([f["hash"] for f in found])
+    least = {i: min(q for j, q in marks if j == i and q is not None) for i in range(30)} | dict(marks[30:4000])
+    good = np.array([least[f["doc_id"]] == 1 for f in found])
+    assert 3000 < len(x) < 4000
+    uneven = [max(abs(2 * (hashes[g] >> i & 1).mean() - 1) for g in (good, ~good)) for i in range(32)]
+    grow = (hashes >> int(np.argmin(uneven)) & 1) == 1
+    centre = np.median(x[grow & good], 0)
+    scale = np.quantile(np.abs(x[grow & good] - centre), 0.99, 0) + 1e-3
+    np.testing.assert_allclose(forest.centre, centre, rtol=1e-12)
+    np.testing.assert_allclose(forest.scale, scale, rtol=1e-12)
+    whole = quality_rules.IsolationForest.grow(np.log1p(np.abs(x[grow] - forest.centre) / forest.scale), 200, 24)
+    assert (forest.feature == whole.feature).all()
+    np.testing.assert_allclose(forest.value, whole.value, rtol=1e-9)
+    np.testing.assert_allclose(forest.length, whole.length, rtol=1e-9)
+
+    scores, y = forest.judged(x[~grow]), good[~grow]
+    gains = {s: (scores[~y] >= s).sum() / (~y).sum() - 10 * (scores[y] >= s).sum() / y.sum() for s in set(scores)}
+    cut = max(gains, key=lambda s: (gains[s], s))
+    assert gains[cut] > 0 and max(s for s in gains if s < cut) < forest.threshold < cut
+
+
+def test_labels_beyond_the_first_thousands_count(spark):
+    r = random.Random(12)
+    docs = spark.createDataFrame([(i, prose(r, r.randint(50, 70)) + " #" * (i % 9 == 0)) for i in range(3300)], "doc_id long, text string")
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 9 == 0, 0).otherwise(1).alias("quality"))
+    first = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(3000)
+    every, some = quality_rules.fit_forest(docs, labels), quality_rules.fit_forest(docs, first)
+    assert every.threshold != some.threshold and (every.value != some.value).any()
+
+
+@pytest.mark.parametrize("odd", [0, 1])
+def test_threshold_over_many_ranges(spark, odd):
+    """The best place lies at a range's end, inside one, or nowhere."""
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it would merge the ranges of so few rows
+    try:
+        r = random.Random(odd)
+        for size in (40, 400):
+            rows = [(round(r.random(), 2 + odd), r.random() < 0.5) for _ in range(size)] + [(0.9 + i / 1000, False) for i in range(odd * 30)]
+            n = collections.Counter(g for _, g in rows)
+            cuts = {s: sum(1 / n[False] if not g else -2 / n[True] for t, g in rows if t >= s) for s, _ in rows}
+            cut = max(cuts, key=lambda s: (round(cuts[s], 9), s))
+            got = quality_rules.best_threshold(spark.createDataFrame(rows, "score double, good boolean").repartition(3), 2.0)
+            rejected = [s for s in cuts if s > got]
+            assert min(rejected, default=None) == (cut if cuts[cut] > 1e-9 else None)
+        assert quality_rules.best_threshold(spark.createDataFrame([(0.5, True), (0.4, False)], "score double, good boolean"), 2.0) == 0.5
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_quantiles_are_those_of_all_rows(spark):
+    import numpy as np
+
+    for size in (1, 2, 7, 600):
+        x = np.random.default_rng(size).choice([0.0, 1e-30, 0.1, 0.3, 2.0, 5e8], (size, len(quality_rules.FEATURES))).astype(np.float32)
+        rows = spark.createDataFrame([(v.tolist(),) for v in x], "features array<float>").repartition(3)
+        x = x.astype(float)
+        centre = quality_rules.quantiles(rows, size, 0.5)
+        np.testing.assert_allclose(centre, np.median(x, 0), rtol=1e-12)
+        np.testing.assert_allclose(quality_rules.quantiles(rows, size, 0.99, centre), np.quantile(np.abs(x - centre), 0.99, 0), rtol=1e-12)
+
+
 def test_rules_without_labels(docs, none, labels):
     assert quality_rules.fit_forest(docs, labels.limit(0)) is None
     assert quality_rules.quality_rules(none, None).count() == 0
