@@ -268,13 +268,22 @@ def _normal_cdf(z):
     return 0.5 * (1 + np.vectorize(math.erf)(np.asarray(z, float) / math.sqrt(2)))
 
 
+def _exp(v):
+    """Infinity where the result is beyond a double, as in SQL."""
+    try:
+        return math.exp(v)
+    except OverflowError:
+        return math.inf
+
+
 def anderson_darling(x):
+    """The statistic and its p-value; the published fit of the latter means nothing far beyond 13, and is infinite where it overflows."""
     x = np.sort(np.asarray(x, float))
     n = len(x)
     f = np.clip(_normal_cdf((x - x.mean()) / x.std(ddof=1)), 1e-300, 1 - 1e-16)
     i = np.arange(1, n + 1)
     a = (-n - ((2 * i - 1) * (np.log(f) + np.log(1 - f[::-1]))).sum() / n) * (1 + 4 / n - 25 / n**2)
-    p = math.exp(1.2937 - 5.709 * a + 0.0186 * a * a) if a > 0.6 else math.exp(0.9177 - 4.279 * a - 1.38 * a * a) if a > 0.34 else 1 - math.exp(-8.318 + 42.796 * a - 59.938 * a * a) if a > 0.2 else 1 - math.exp(-13.436 + 101.14 * a - 223.73 * a * a)
+    p = _exp(1.2937 - 5.709 * a + 0.0186 * a * a) if a > 0.6 else math.exp(0.9177 - 4.279 * a - 1.38 * a * a) if a > 0.34 else 1 - math.exp(-8.318 + 42.796 * a - 59.938 * a * a) if a > 0.2 else 1 - math.exp(-13.436 + 101.14 * a - 223.73 * a * a)
     return {"statistic": float(a), "p_value": float(p)}
 
 

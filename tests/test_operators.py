@@ -137,3 +137,9 @@ def test_text_formats(spark, tmp_path):
     got = frames.read_csv2(spark, str(tmp_path / "x.csv")).orderBy(POS).collect()
     assert [(r["INDEX"], r["d"], str(r["t"])) for r in got] == [(1, 2.5, "2020-01-02 00:00:00"), (2, None, "2020-01-03 10:11:12")]
     assert "| INDEX |" in frames.render(df.select(POS, "INDEX"), "markdown")
+
+
+def test_anderson_darling_far_from_normal():
+    found = Q.anderson_darling(np.linspace(0, 1, 40000))
+    assert found["statistic"] > 400 and found["p_value"] == np.inf
+    assert Q.anderson_darling(np.linspace(0, 1, 1000))["p_value"] < 1
