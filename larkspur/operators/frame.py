@@ -596,8 +596,10 @@ def fill_missing(df: DataFrame, name: str, policy: str, value=None, limit: int |
     """value, fill_forward, fill_backward, linear_interpolate (over the index) or mid_point; ``limit`` bounds the fills of the column."""
     x = F.when(~missing(F.col(name)), F.col(name))
     w = ordered(order, by)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    last, following = F.last(x, ignorenulls=True).over(back), F.first(x, ignorenulls=True).over(ahead)
+    # Values behind a row are found by walking backwards, since Spark sums up a frame that reaches to the end anew for each row.
+    placed = df.withColumn("__n", F.row_number().over(w)) if policy in ("fill_backward", "mid_point", "linear_interpolate") else df
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by).orderBy(F.desc("__n")).rowsBetween(Window.unboundedPreceding, -1)
+    last, following = F.last(x, ignorenulls=True).over(back), F.last(x, ignorenulls=True).over(ahead)
     if policy == "value":
         filled = F.lit(value)
     elif policy == "fill_forward":
@@ -609,13 +611,13 @@ def fill_missing(df: DataFrame, name: str, policy: str, value=None, limit: int |
     elif policy == "linear_interpolate":
         i = as_number(df, index)
         known = F.when(x.isNotNull(), i)
-        i0, i1 = F.last(known, ignorenulls=True).over(back), F.first(known, ignorenulls=True).over(ahead)
+        i0, i1 = F.last(known, ignorenulls=True).over(back), F.last(known, ignorenulls=True).over(ahead)
         filled = last + (following - last) * (i - i0) / (i1 - i0)
     else:
         raise ValueError(f"unknown fill policy {policy}")
-    out = df.withColumn("__fill", filled).withColumn("__can", x.isNull() & F.col("__fill").isNotNull())
+    out = placed.withColumn("__fill", filled).withColumn("__can", x.isNull() & F.col("__fill").isNotNull())
     allowed = F.col("__can") if limit is None else F.col("__can") & (F.sum(F.col("__can").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)) <= limit)
-    return out.withColumn(name, F.when(allowed, F.col("__fill")).otherwise(F.col(name))).drop("__fill", "__can")
+    return out.withColumn(name, F.when(allowed, F.col("__fill")).otherwise(F.col(name))).drop("__fill", "__can", "__n")
 
 
 def drop_missing(df: DataFrame, names: Sequence[str], policy: str = "any", threshold: int = 0) -> DataFrame:

@@ -63,7 +63,8 @@ def asof_join(a: DataFrame, b: DataFrame, on: str, values: Sequence[str], policy
         keys, ranges = ["__part"], Ranges(both.select("__t"), ["__t"], split_ties=False)
         rows = ranges.placed(both)
     back = F.last("__r", ignorenulls=True).over(ordered(["__t", "__side"], keys).rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__t", F.desc("__side")).rowsBetween(0, Window.unboundedFollowing))
+    # Backwards, since Spark sums up a frame that reaches to the end anew for each row.
+    ahead = F.last("__r", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc("__t"), "__side").rowsBetween(Window.unboundedPreceding, 0))
     found = rows.withColumn("__b", back).withColumn("__f", ahead).where("__side = 1")
     if not by:
         edges = rows.groupBy("__part").agg(F.max_by("__r", "__r.t").alias("__last"), F.min_by("__r", "__r.t").alias("__first"))

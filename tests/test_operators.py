@@ -143,3 +143,16 @@ def test_anderson_darling_far_from_normal():
     found = Q.anderson_darling(np.linspace(0, 1, 40000))
     assert found["statistic"] > 400 and found["p_value"] == np.inf
     assert Q.anderson_darling(np.linspace(0, 1, 1000))["p_value"] < 1
+
+
+def test_looking_ahead_takes_no_frame_to_the_end(spark):
+    """Such a frame is summed up anew for each row, which is quadratic in a range or series."""
+    points = spark.range(20).select(F.col("id").alias(POS), F.col("id").alias("t"), F.when(F.col("id") % 7 == 3, F.col("id") * 1.0).alias("x"))
+    joined = J.asof_join(points.select("t"), points.where("x is not null"), "t", ["x"], "forward")
+    filled = [O.fill_missing(points, "x", policy, index="t") for policy in ("fill_backward", "mid_point", "linear_interpolate")]
+    assert values(joined, "x", "t") == [3] * 4 + [10] * 7 + [17] * 7 + [None] * 2
+    assert values(filled[0], "x") == values(joined, "x", "t")
+    assert values(filled[2], "x") == [None] * 3 + list(range(3, 18)) + [None] * 2
+    for df in (joined, *filled):
+        to_end = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "unboundedfollowing" in line]
+        assert all("__first" in line for line in to_end)  # one row for each range, a bounded number
