@@ -185,13 +185,27 @@ def silhouette(df: DataFrame, name: str, label: str, out: str = "silhouette") ->
 # Kernels on one series
 
 
+def _within(x, reach):
+    """Where the run of sorted rows begins and ends whose squared distance from each sorted row is at most ``reach``, as doubles subtract."""
+    u, first, many = np.unique(x, return_index=True, return_counts=True)
+    low, high = np.searchsorted(u, u - math.sqrt(reach), "left"), np.searchsorted(u, u + math.sqrt(reach), "right") - 1
+    near = lambda at: (u - u[np.clip(at, 0, len(u) - 1)]) ** 2 <= reach
+    # The sums round otherwise than the differences, so that some bounds are a value or two off.
+    for ends, step, last in ((low, -1, 0), (high, 1, len(u) - 1)):
+        while (more := near(ends + step) & (ends != last)).any():
+            ends += step * more
+        while (less := ((u - u[ends]) ** 2 > reach)).any():
+            ends -= step * less
+    return np.repeat(first[low], many), np.repeat(first[high] + many[high], many)
+
+
 def dbscan(x, least=3, reach=1.0):
     """Clusters by density; scalars are compared by squared distance; -1 is noise. Neighbours are runs of the sorted rows."""
     x = np.asarray(x, float)
     order = np.argsort(x, kind="stable")
     place = np.empty(len(x), np.int64)
     place[order] = np.arange(len(x))
-    low, high = (np.searchsorted(x[order], x + sign * math.sqrt(reach), side) for sign, side in ((-1, "left"), (1, "right")))
+    low, high = (ends[place] for ends in _within(x[order], reach))
     core = high - low >= least
     out, cluster = np.full(len(x), -1), -1
     for i in np.flatnonzero(core):

@@ -87,3 +87,9 @@ def test_prices_of_zero(spark, tmp_path, name):
     got, want = _compared(spark, tmp_path, name, days)
     assert got == want
     assert any(row[-1] != "null" for row in want[1])
+
+
+def test_dbscan_at_its_reach(spark, tmp_path):
+    """As doubles, 32.02 - 2.02 is above 30 while 2.02 + 30 is 32.02."""
+    got, want = _compared(spark, tmp_path, "dbscan", [[2.02], [32.02]] * 3 + [[500]])
+    assert got == want == (["clusters", "noise", "user_id"], [("2", "1", "1")])
