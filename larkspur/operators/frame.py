@@ -305,16 +305,19 @@ def get_data_by_rand(df: DataFrame, n: float, seed: int = 0, fraction: bool = Fa
     return df.join(numbers.select((drawn(F.col("__draw"), seed) % F.col("__n")).alias(POS)).distinct(), POS, "left_semi")
 
 
-def seconds_of_day(at: Column) -> Column:
-    return F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at) + (F.date_format(at, "SSS").cast("int") / 1000)
+def micros_of_day(at: Column) -> Column:
+    minutes = F.hour(at).cast("long") * 60 + F.minute(at)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
 
 
-def _clock(h: int, m: int = 0, s: int = 0, ms: int = 0) -> float:
-    return h * 3600 + m * 60 + s + ms / 1000
+def _clock(h: int, m: int = 0, s: int = 0, ms: int = 0) -> int:
+    return ((h * 60 + m) * 60 + s) * 1_000_000 + ms * 1000
 
 
 def at_times(df: DataFrame, index: str, hour: int, minute: int = 0, second: int = 0, ms: int = 0) -> DataFrame:
-    return df.where(seconds_of_day(F.col(index)) == _clock(hour, minute, second, ms))
+    """Within the given millisecond."""
+    at = _clock(hour, minute, second, ms)
+    return df.where(micros_of_day(F.col(index)).between(at, at + 999))
 
 
 def before_times(df: DataFrame, index: str, hour: int, minute: int = 0, second: int = 0, ms: int = 0, literal: bool = False) -> DataFrame:
@@ -322,14 +325,14 @@ def before_times(df: DataFrame, index: str, hour: int, minute: int = 0, second:
     x = F.col(index)
     if literal:
         return df.where((F.hour(x) < hour) | ((F.hour(x) == hour) & (F.minute(x) < minute)) | ((F.minute(x) == minute) & (F.second(x) < second)))
-    return df.where(seconds_of_day(x) < _clock(hour, minute, second, ms))
+    return df.where(micros_of_day(x) < _clock(hour, minute, second, ms))
 
 
 def after_times(df: DataFrame, index: str, hour: int, minute: int = 0, second: int = 0, ms: int = 0, literal: bool = False) -> DataFrame:
     x = F.col(index)
     if literal:
         return df.where((F.hour(x) > hour) | ((F.hour(x) == hour) & (F.minute(x) > minute)) | ((F.minute(x) == minute) & (F.second(x) > second)))
-    return df.where(seconds_of_day(x) > _clock(hour, minute, second, ms))
+    return df.where(micros_of_day(x) > _clock(hour, minute, second, ms))
 
 
 def between_times(df: DataFrame, index: str, start: tuple, end: tuple, inclusive: str = "neither", literal: bool = False) -> DataFrame:
@@ -347,7 +350,7 @@ def between_times(df: DataFrame, index: str, start: tuple, end: tuple, inclusive
 
         begun = df.where(each(start, True)) if inclusive in ("begin", "both") else after_times(df, index, *start, literal=True)
         return begun.where(each(end, False)) if inclusive in ("end", "both") else before_times(begun, index, *end, literal=True)
-    low, high, now = _clock(*start), _clock(*end), seconds_of_day(x)
+    low, high, now = _clock(*start), _clock(*end), micros_of_day(x)
     return df.where((now >= low if inclusive in ("begin", "both") else now > low) & (now <= high if inclusive in ("end", "both") else now < high))
 
 

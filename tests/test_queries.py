@@ -93,3 +93,13 @@ def test_dbscan_at_its_reach(spark, tmp_path):
     """As doubles, 32.02 - 2.02 is above 30 while 2.02 + 30 is 32.02."""
     got, want = _compared(spark, tmp_path, "dbscan", [[2.02], [32.02]] * 3 + [[500]])
     assert got == want == (["clusters", "noise", "user_id"], [("2", "1", "1")])
+
+
+@pytest.mark.parametrize("name", ["after_times", "before_times", "between_times", "between_times_inclusive", "at_times"])
+def test_times_of_day_to_the_microsecond(spark, tmp_path, name):
+    bounds = [datetime.datetime(2024, 1, 1, *clock) for clock in ((9,), (10, 30), (12,), (17, 30))]
+    rows = [(i, at + datetime.timedelta(microseconds=m)) for i, (at, m) in enumerate((at, m) for at in bounds for m in (-1000, -999, -1, 0, 1, 999, 1000))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert plain(QUERIES[name](spark, str(tmp_path)).toPandas()) == plain(con.sql(ORACLE_SQL[name]).df())
