@@ -7,6 +7,7 @@ each series of a table.
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -397,21 +398,37 @@ def knn_outliers(x, window=5, k=3):
 
 
 def isolation_outliers(x, trees=100, threshold=0.6, seed=0):
-    """Isolation by random cuts of one column."""
+    """Isolation by random cuts of one column. Rows of a node are a run of the sorted ones, so that a cut is a search in them."""
     x, rng = np.asarray(x, float), np.random.default_rng(seed)
-    depth = np.zeros(len(x))
-    for _ in range(trees):
-        todo = [(np.arange(len(x)), 0)]
+    n = len(x)
+    order = np.argsort(x, kind="stable")
+    s = x[order].tolist()
+    if n > 1 and s[0] != s[-1] and not math.isfinite(s[-1] - s[0]):
+        raise OverflowError("values to cut must be finite")
+    expected = lambda k: 2 * (math.log(max(1, k - 1)) + 0.5772156649) - 2 * (k - 1) / k if k > 1 else 0
+    ends, draws, used = {}, rng.random(4096).tolist(), 0  # draws are the stream that single ones would be
+    depth = np.zeros(n)
+    for _ in range(trees if n else 0):
+        found, sizes, todo = [], [], [(0, n, 0)]
         while todo:
-            own, at = todo.pop()
-            low, high = x[own].min(), x[own].max()
-            if at >= 10 or len(own) < 2 or low == high:
-                depth[own] += at + (2 * (math.log(max(1, len(own) - 1)) + 0.5772156649) - 2 * (len(own) - 1) / len(own) if len(own) > 1 else 0)
+            a, b, at = todo.pop()
+            low, high = s[a], s[b - 1]
+            if at >= 10 or b - a < 2 or low == high:
+                key = at, b - a
+                if key not in ends:
+                    ends[key] = at + expected(b - a)
+                found.append(ends[key])
+                sizes.append(b - a)
                 continue
-            cut = x[own] < rng.uniform(low, high)
-            todo += [(p, at + 1) for p in (own[cut], own[~cut]) if len(p)]
-    c = 2 * (math.log(max(1, len(x) - 1)) + 0.5772156649) - 2 * (len(x) - 1) / max(1, len(x))
-    score = 2 ** (-depth / trees / max(c, 1e-9))
+            if used == len(draws):
+                draws, used = rng.random(4096).tolist(), 0
+            cut = bisect_left(s, low + (high - low) * draws[used], a, b)
+            used += 1
+            todo += [(p, q, at + 1) for p, q in ((a, cut), (cut, b)) if q > p]
+        depth += np.repeat(found[::-1], sizes[::-1])  # the last rows come first
+    c = 2 * (math.log(max(1, n - 1)) + 0.5772156649) - 2 * (n - 1) / max(1, n)
+    score = np.empty(n)
+    score[order] = 2 ** (-depth / trees / max(c, 1e-9))
     return {"score": score, "outlier": score > threshold}
 
 

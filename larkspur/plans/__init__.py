@@ -274,12 +274,14 @@ def _cuts(table: pd.DataFrame, by: Sequence[str]) -> list[int]:
     return [0, *(np.flatnonzero(change) + 1).tolist(), len(table)]
 
 
-def _dealt(df: DataFrame, order: str | Sequence[str], by: Sequence[str]) -> DataFrame:
+def _dealt(df: DataFrame, order: str | Sequence[str], by: Sequence[str], heavy: bool = False) -> DataFrame:
+    """Series of a task together and in order. Of a kernel that is ``heavy`` for its rows all partitions stay, which Spark joins by bytes otherwise."""
     keys = [*by, *([order] if isinstance(order, str) else order)]
-    return (df.repartition(*by) if by else df.repartition(1)).sortWithinPartitions(*keys)
+    parts = [int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))] if heavy else []
+    return (df.repartition(*parts, *by) if by else df.repartition(1)).sortWithinPartitions(*keys)
 
 
-def by_series(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:
+def by_series(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), heavy: bool = False, **options) -> DataFrame:
     """Adds ``outputs`` (name to type), computed by ``kernel`` from the arrays of ``columns`` of each series in order.
 
     Spark deals out and sorts the rows; a task walks through its series one after another
@@ -293,7 +295,7 @@ def by_series(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str]
             found = [kernel(*[x[a:b] for x in arrays], **options) for a, b in ranges]
             yield table.assign(**{n: np.concatenate([np.asarray(f[n]) for f in found]) for n in outputs})
 
-    return _dealt(df, order, by).mapInPandas(run, schema)
+    return _dealt(df, order, by, heavy).mapInPandas(run, schema)
 
 
 def summarised(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:

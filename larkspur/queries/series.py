@@ -26,9 +26,9 @@ def _of_users(name, kernel, columns, outputs, sql, picks=None, least=0, **option
     query(name, sql)(make)
 
 
-def _of_rows(name, kernel, columns, output, sql, digits=5, **options):
+def _of_rows(name, kernel, columns, output, sql, digits=5, heavy=False, **options):
     def make(t):
-        out = by_series(bars(t), lambda *a: {"k_out": kernel(*a, **options)[output]}, columns, {"k_out": "double"}, ["day"], ["user_id"])
+        out = by_series(bars(t), lambda *a: {"k_out": kernel(*a, **options)[output]}, columns, {"k_out": "double"}, ["day"], ["user_id"], heavy)
         return out.select("user_id", "day", fixed("k_out", digits).alias("x"))
 
     query(name, sql)(make)
@@ -128,7 +128,7 @@ _of_rows("local_outliers", lambda x: Q.local_outliers(x, 3), ["close"], "score",
     SELECT b.user_id, b.day, {FIXED('CASE WHEN cnt > 4 THEN s ELSE 1 END', 4)} AS x FROM b LEFT JOIN s ON s.user_id = b.user_id AND s.i = b.rn""", 4)
 _of_rows("knn_outliers", lambda x: Q.knn_outliers(x, 3, 2), ["close"], "score", f"""WITH {B}, p AS (SELECT user_id, rn AS i, cnt, close AS a, lead(close) OVER ({_ORDER}) AS c, lead(close, 2) OVER ({_ORDER}) AS e FROM b QUALIFY e IS NOT NULL), d AS (SELECT x.user_id, x.i, sqrt(power(x.a - y.a, 2) + power(x.c - y.c, 2) + power(x.e - y.e, 2)) AS d FROM p x JOIN p y ON y.user_id = x.user_id),
     s AS (SELECT user_id, i, list_sum(list_sort(list(d))[1:3]) / 2 AS s FROM d GROUP BY 1, 2) SELECT b.user_id, b.day, CASE WHEN any_value(cnt) >= 5 THEN {FIXED('avg(s)', 4)} END AS x FROM b LEFT JOIN s ON s.user_id = b.user_id AND s.i BETWEEN b.rn - 2 AND b.rn GROUP BY 1, 2""", 4)
-_of_rows("isolation_outliers", Q.isolation_outliers, ["close"], "score", None)
+_of_rows("isolation_outliers", Q.isolation_outliers, ["close"], "score", None, heavy=True)
 
 
 @query("kendall", f"""SELECT c_nationkey, {FIXED("sum(CASE WHEN (CASE WHEN a.c_acctbal < b.c_acctbal THEN -1 ELSE 1 END) * (CASE WHEN a.k < b.k THEN -1 ELSE 1 END) < 0 THEN -1 ELSE 1 END) / count(*)", 6)} AS kendall FROM (SELECT *, c_custkey % 11 AS k FROM customer) a JOIN (SELECT *, c_custkey % 11 AS k FROM customer) b USING (c_nationkey) WHERE a.c_custkey < b.c_custkey GROUP BY 1""")

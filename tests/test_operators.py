@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -156,3 +158,20 @@ def test_looking_ahead_takes_no_frame_to_the_end(spark):
     for df in (joined, *filled):
         to_end = [line for line in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "unboundedfollowing" in line]
         assert all("__first" in line for line in to_end)  # one row for each range, a bounded number
+
+
+def test_isolation_searches_runs_of_sorted_rows():
+    x = np.array([3.0, 1.0, 1.0, 8.0, 2.5, 40.0])
+    found = Q.isolation_outliers(x, trees=3)["score"]
+    # Scores of the code before, which searched the rows of each node anew.
+    assert found.tolist() == [0.42586291127308745, 0.40934935668872435, 0.40934935668872435, 0.5501598248578027, 0.3910180454839654, 0.7740712644423979]
+    # One Python search a node; the code before made several passes of NumPy over its rows.
+    began = time.process_time()
+    Q.isolation_outliers(np.random.default_rng(1).normal(size=200000))
+    assert time.process_time() - began < 5
+
+
+def test_heavy_series_keep_their_partitions(spark):
+    df = spark.range(40).select((F.col("id") % 8).alias("k"), "id", F.col("id").cast("double").alias("x"))
+    run = lambda heavy: by_series(df, lambda x: {"y": x}, ["x"], {"y": "double"}, "id", ["k"], heavy=heavy).rdd.getNumPartitions()
+    assert run(True) == 4
