@@ -488,43 +488,73 @@ def holt_winters(x, periods=3, season=0, alpha=0.25, beta=0.1, gamma=0.1, multip
 
 def lstm(x, periods=3, hidden=8, window=10, epochs=20, rate=0.01, seed=0):
     """One LSTM cell with a linear output, fitted by back-propagation through ``window`` steps."""
-    x = np.asarray(x, float)
-    centre, scale = x.mean(), x.std() or 1.0
-    z, rng = (x - centre) / scale, np.random.default_rng(seed)
-    w = rng.normal(0, 0.3, (4 * hidden, hidden + 2))
-    out = rng.normal(0, 0.3, hidden + 1)
+    return lstm_many([x], periods, hidden, window, epochs, rate, seed)[0]
+
+
+#: Series that are fitted side by side: enough to outweigh the calls, few enough for the cache.
+SIDE_BY_SIDE = 512
+
+
+def lstm_many(series, periods=3, hidden=8, window=10, epochs=20, rate=0.01, seed=0):
+    """``lstm`` of each of several series, which are fitted side by side: series are the last axis of all arrays."""
+    xs, forecasts = [np.asarray(x, float) for x in series], [None] * len(series)
+    longest = sorted(range(len(xs)), key=lambda i: -len(xs[i]))
+    for begin in range(0, len(xs), SIDE_BY_SIDE):
+        some = longest[begin : begin + SIDE_BY_SIDE]
+        found = _lstm_side_by_side([xs[i] for i in some], periods, hidden, window, epochs, rate, seed)
+        for i, forecast in zip(some, found):
+            forecasts[i] = {"forecast": forecast}
+    return forecasts
+
+
+def _lstm_side_by_side(xs, periods, hidden, window, epochs, rate, seed):
+    """Forecasts of series that come longest first, so that those with rows left are always the first ones."""
+    many, n = len(xs), np.array([len(x) for x in xs])
+    centre, scale = np.array([x.mean() for x in xs]), np.array([x.std() or 1.0 for x in xs])
+    z = np.zeros((n[0] + periods, many))
+    for k, x in enumerate(xs):
+        z[: n[k], k] = (x - centre[k]) / scale[k]
+    rng = np.random.default_rng(seed)
+    w = np.repeat(rng.normal(0, 0.3, (4 * hidden, hidden + 2))[:, :, None], many, 2)
+    out = np.repeat(rng.normal(0, 0.3, hidden + 1)[:, None], many, 1)
     sig = lambda v: 1 / (1 + np.exp(-v))
 
-    def forward(part):
-        h, c, steps = np.zeros(hidden), np.zeros(hidden), []
+    def forward(w, part):
+        k = part.shape[1]
+        h, c, steps = np.zeros((hidden, k)), np.zeros((hidden, k)), []
         for v in part:
-            inp = np.concatenate([h, [v, 1.0]])
-            g = w @ inp
-            i, f, o, n = sig(g[:hidden]), sig(g[hidden : 2 * hidden]), sig(g[2 * hidden : 3 * hidden]), np.tanh(g[3 * hidden :])
-            was, c = c, f * c + i * n
-            h = o * np.tanh(c)
-            steps.append((inp, i, f, o, n, was, c))
+            inp = np.concatenate([h, v[None], np.ones((1, k))])
+            g = np.einsum("ijs,js->is", w, inp)
+            (i, f, o), new = sig(g[: 3 * hidden]).reshape(3, hidden, k), np.tanh(g[3 * hidden :])
+            was, c = c, f * c + i * new
+            t = np.tanh(c)
+            h = o * t
+            steps.append((inp, i, f, o, new, was, t))
         return h, steps
 
     for _ in range(epochs):
-        for at in range(len(z) - window):
-            h, steps = forward(z[at : at + window])
-            err = out[:-1] @ h + out[-1] - z[at + window]
-            dh, dc, grad = err * out[:-1], np.zeros(hidden), np.zeros_like(w)
-            out -= rate * err * np.append(h, 1.0)
-            for inp, i, f, o, n, was, c in reversed(steps):
-                t = np.tanh(c)
+        for at in range(n[0] - window):
+            k = int(np.count_nonzero(n - window > at))
+            mine, last = w[:, :, :k], out[:, :k]  # views: what is subtracted stays
+            h, steps = forward(mine, z[at : at + window, :k])
+            err = (last[:-1] * h).sum(0) + last[-1] - z[at + window, :k]
+            dh, dc, grad = err * last[:-1], np.zeros((hidden, k)), np.zeros((4 * hidden, hidden + 2, k))
+            last -= rate * err * np.concatenate([h, np.ones((1, k))])
+            for inp, i, f, o, new, was, t in reversed(steps):
                 dc = dc + dh * o * (1 - t * t)
-                g = np.concatenate([dc * n * i * (1 - i), dc * was * f * (1 - f), dh * t * o * (1 - o), dc * i * (1 - n * n)])
-                grad += np.outer(g, inp)
-                dh, dc = (w.T @ g)[:hidden], dc * f
-            w -= rate * np.clip(grad, -1, 1)
-    seen, forecast = list(z), []
-    for _ in range(periods):
-        h, _ = forward(np.array(seen[-window:]))
-        seen.append(float(out[:-1] @ h + out[-1]))
-        forecast.append(seen[-1] * scale + centre)
-    return {"forecast": forecast}
+                g = np.concatenate([dc * new * i * (1 - i), dc * was * f * (1 - f), dh * t * o * (1 - o), dc * i * (1 - new * new)])
+                grad += g[:, None] * inp[None]
+                dh, dc = np.einsum("ijs,is->js", mine[:, :hidden], g), dc * f
+            mine -= rate * np.clip(grad, -1, 1)
+    forecast = np.empty((periods, many))
+    for p in range(periods):
+        for tail in np.unique(np.minimum(n + p, window)):  # short series have fewer rows than the window
+            which = np.flatnonzero(np.minimum(n + p, window) == tail)
+            ends = n[which] + p
+            h, _ = forward(w[:, :, which], np.stack([z[ends - tail + j, which] for j in range(tail)]) if tail else np.empty((0, len(which))))
+            z[ends, which] = (out[:-1, which] * h).sum(0) + out[-1, which]
+            forecast[p, which] = z[ends, which] * scale[which] + centre[which]
+    return forecast.T.tolist()
 
 
 def hurst(x, ranges=(1, 2, 4)):

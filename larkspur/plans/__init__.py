@@ -298,15 +298,45 @@ def by_series(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str]
     return _dealt(df, order, by, heavy).mapInPandas(run, schema)
 
 
-def summarised(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), **options) -> DataFrame:
-    """One row for each series: its key and what ``kernel`` returns for its columns in order."""
+#: Rows of whole series that a task gathers for a kernel of several series.
+GATHERED = 1 << 18
+
+
+def _gathered(series: Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]) -> Iterator[tuple[pd.DataFrame, list[tuple[int, int]]]]:
+    """The same series in larger tables."""
+    held, n = [], 0
+    for part in series:
+        held, n = [*held, part], n + len(part[0])
+        if n >= GATHERED:
+            yield _together(held)
+            held, n = [], 0
+    if held:
+        yield _together(held)
+
+
+def _together(held: list[tuple[pd.DataFrame, list[tuple[int, int]]]]) -> tuple[pd.DataFrame, list[tuple[int, int]]]:
+    starts = np.cumsum([0, *(len(table) for table, _ in held)]).tolist()
+    return pd.concat([table for table, _ in held], ignore_index=True), [(a + start, b + start) for start, (_, ranges) in zip(starts, held) for a, b in ranges]
+
+
+def summarised(df: DataFrame, kernel: Callable[..., dict], columns: Sequence[str], outputs: dict[str, str], order: str | Sequence[str] = POS, by: Sequence[str] = (), many: bool = False, **options) -> DataFrame:
+    """One row for each series: its key and what ``kernel`` returns for its columns in order.
+
+    With ``many`` a kernel takes for each column a list of arrays, one of each of many series,
+    and returns a list; a task gathers GATHERED rows for it, or one series if that is longer.
+    """
     schema = T.StructType([*(df.schema[c] for c in by), *T.StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in outputs.items())).fields])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for table, ranges in _series(parts, by):
+        series = _series(parts, by)
+        for table, ranges in _gathered(series) if many else series:
             arrays = [table[c].to_numpy() for c in columns]
-            found = pd.DataFrame([kernel(*[x[a:b] for x in arrays], **options) for a, b in ranges])
+            if many:
+                rows = kernel(*[[x[a:b] for a, b in ranges] for x in arrays], **options)
+            else:
+                rows = [kernel(*[x[a:b] for x in arrays], **options) for a, b in ranges]
+            found = pd.DataFrame(rows)
             keys = table.iloc[[a for a, _ in ranges]][list(by)].reset_index(drop=True)
             yield pd.concat([keys, found], axis=1)[[*by, *outputs]]
 
-    return _dealt(df.select(*dict.fromkeys([*by, *columns, *([order] if isinstance(order, str) else order)])), order, by).mapInPandas(run, schema)
+    return _dealt(df.select(*dict.fromkeys([*by, *columns, *([order] if isinstance(order, str) else order)])), order, by, heavy=many).mapInPandas(run, schema)

@@ -109,7 +109,17 @@ _of_users("holt_winters", lambda x: dict(zip(("first", "third"), Q.holt_winters(
 _of_rows("holt_winters_fitted", lambda x: {"f": Q.holt_winters(x, 3)["fitted"] if len(x) > 1 else [math.nan] * len(x)}, ["close"], "f", f"{_HOLT} SELECT b.user_id, b.day, CASE WHEN b.cnt > 1 THEN {FIXED('fit', 9)} END AS x FROM b JOIN h USING (user_id, rn)", 9)
 _of_users("holt_winters_seasonal", lambda x: {"first": Q.holt_winters(x, 3, 4)["forecast"][0]}, ["close"], ["first"], None, least=12)
 _of_users("arima", lambda x: {"first": Q.arima(x, 3)["forecast"][0]}, ["close"], ["first"], None, least=16)
-_of_users("lstm", lambda x: {"first": Q.lstm(x, 1, 4, 5, 3)["forecast"][0]}, ["close"], ["first"], None, {"first": 3}, least=12)
+
+
+@query("lstm")
+def _lstm(t):
+    def run(series):
+        found = iter(Q.lstm_many([x for x in series if len(x) >= 12], 1, 4, 5, 3))
+        return [{"first": next(found)["forecast"][0] if len(x) >= 12 else math.nan} for x in series]
+
+    out = summarised(bars(t), run, ["close"], {"first": "double"}, ["day"], ["user_id"], many=True)
+    return out.select("user_id", fixed("first", 3).alias("first"))
+
 
 # Smoothing and decomposition: these follow the published methods
 

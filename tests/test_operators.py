@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import indicators as I, ml as M, scalars as S, sequential as Q, windows as W
 from larkspur.operators import frame as O, grouping as G, joins as J
-from larkspur.plans import POS, by_series, with_positions
+from larkspur.plans import POS, by_series, summarised, with_positions
 from larkspur.sources import frames
 
 
@@ -175,3 +175,21 @@ def test_heavy_series_keep_their_partitions(spark):
     df = spark.range(40).select((F.col("id") % 8).alias("k"), "id", F.col("id").cast("double").alias("x"))
     run = lambda heavy: by_series(df, lambda x: {"y": x}, ["x"], {"y": "double"}, "id", ["k"], heavy=heavy).rdd.getNumPartitions()
     assert run(True) == 4
+
+
+def test_lstm_side_by_side(spark, monkeypatch):
+    """Series of any lengths are fitted together, to what each one gives alone and gave before."""
+    series = [[(i * i + k) % 7 + i / 3 for i in range(k)] for k in (3, 14, 5, 20)]
+    want = [[np.float64(2.754279053), np.float64(2.729568862)], [np.float64(4.515337258), np.float64(4.507564892)], [np.float64(3.352311349), np.float64(3.344041865)], [np.float64(5.717591768), np.float64(5.716751321)]]
+    monkeypatch.setattr(Q, "SIDE_BY_SIDE", 3)
+    assert np.allclose([f["forecast"] for f in Q.lstm_many(series, 2, 4, 5, 3)], want, atol=1e-7)
+    assert np.allclose([Q.lstm(x, 2, 4, 5, 3)["forecast"] for x in series], want, atol=1e-7)
+
+
+def test_kernels_of_many_series(spark):
+    """All series reach the kernel once and keep their keys, and calls are fewer than series."""
+    df = spark.range(3000).select((F.col("id") % 700).alias("k"), "id", F.col("id").cast("double").alias("x")).coalesce(1)
+    run = lambda series: [{"total": float(x.sum()), "together": float(len(series))} for x in series]
+    got = summarised(df, run, ["x"], {"total": "double", "together": "double"}, "id", ["k"], many=True).toPandas()
+    assert dict(zip(got["k"], got["total"])) == {k: float(sum(range(k, 3000, 700))) for k in range(700)}
+    assert got["together"].min() > 100
