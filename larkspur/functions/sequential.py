@@ -603,16 +603,19 @@ def align_slots(index, interval, from_start=True):
     """For each row the number of the value that is put there when a coarser column is laid over the index, or -1.
 
     A value comes every ``interval``; where the index jumps over that point, it goes to the
-    row before, from which the next interval counts.
+    row before, from which the next interval counts. Where several values come to one row,
+    ``slot`` is the last of them and ``first`` the first one.
     """
     t = np.asarray(index, float)
-    out, ref, value, start = np.full(len(t), -1, np.int64), 0, 0, 0
+    out, first, ref, value, start = np.full(len(t), -1, np.int64), np.full(len(t), -1, np.int64), 0, 0, 0
     if from_start and len(t):
-        out[0], value, start = 0, 1, 1
+        out[0], first[0], value, start = 0, 0, 1, 1
     for i in range(start, len(t)):
         gap = t[i] - t[ref]
         if gap >= interval:
             ref = i if gap == interval else i - 1
+            if first[ref] < 0:
+                first[ref] = value
             out[ref] = value
             value += 1
-    return {"slot": out}
+    return {"slot": out, "first": first}

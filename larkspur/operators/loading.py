@@ -56,7 +56,15 @@ def append_column(df: DataFrame, name: str, values: DataFrame, column: str) -> D
 
 def load_align_column(df: DataFrame, values: DataFrame, column: str, name: str, interval: float, from_start: bool = True, empty=None, index: str = INDEX, by: Sequence[str] = ()) -> DataFrame:
     """Lays a coarser column over the index, a value every ``interval``; other rows are ``empty``. ``values`` has a position (and ``by``)."""
-    placed = by_series(df.withColumn("__at", as_number(df, index)), lambda t: {"__slot": Q.align_slots(t, interval, from_start)["slot"]}, ["__at"], {"__slot": "bigint"}, index, by)
+
+    def slots(t):
+        found = Q.align_slots(t, interval, from_start)
+        return {"__slot": found["slot"], "__low": found["first"]}
+
+    placed = by_series(df.withColumn("__at", as_number(df, index)), slots, ["__at"], {"__slot": "bigint", "__low": "bigint"}, index, by)
+    # Of several values that come to one row the last one stays that there is.
+    placed = joined_back(placed, values.groupBy(*by).agg(F.max(POS).alias("__top")), by)
+    placed = placed.withColumn("__slot", F.when(F.col("__top") >= F.col("__low"), F.least("__slot", "__top")).otherwise(F.col("__slot")))
     got = values.select(*by, F.col(POS).alias("__slot"), F.col(column).alias("__value"), F.lit(True).alias("__has"))
     out = placed.join(got, [*by, "__slot"], "left")
     return out.select(*df.columns, F.when(F.col("__has"), F.col("__value")).otherwise(F.lit(empty)).alias(name))

@@ -103,3 +103,10 @@ def test_times_of_day_to_the_microsecond(spark, tmp_path, name):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
     assert plain(QUERIES[name](spark, str(tmp_path)).toPandas()) == plain(con.sql(ORACLE_SQL[name]).df())
+
+
+def test_aligned_value_stays_without_a_next_one(spark, tmp_path):
+    """On the 17th come the last value there is and, as the next day is nine days on, the place of one more."""
+    days = [[1] if d in (0, 4, 8, 12, 16, 25) else [] for d in range(26)]
+    got, want = _compared(spark, tmp_path, "load_align_column", days)
+    assert got == want and sum(row[1] == "40" for row in want[1]) == 1
